@@ -18,8 +18,8 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -245,19 +245,20 @@ def round_trip(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     empty table gives no rows; other columns are ignored.
     """
 
-    def of_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for rows in batches:
-            out = []
-            for chunks in bpe.batch(rows["text"].tolist()):
+            counts, of_ids, of_text = [], [], []
+            for chunks in bpe.batch(rows.column(1).to_pylist()):
                 ids = b"".join([c[0] for c in chunks])
                 said = " ".join([c[1] for c in chunks if c[1]])
-                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(said.encode()).hexdigest()))
-            yield pd.concat(
-                [rows[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])], axis=1
-            )
+                counts.append(len(ids) // 4)
+                of_ids.append(hashlib.sha256(ids).hexdigest())
+                of_text.append(hashlib.sha256(said.encode()).hexdigest())
+            arrays = [rows.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(
+    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         of_batch, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     )

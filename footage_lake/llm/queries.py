@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footage_lake.llm import bpe, quality_rules, secrets, simhash
+from footage_lake.llm import bpe, packing, quality_rules, secrets, simhash
 from footage_lake.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
+    "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
     "op8_bpe": op8_bpe,
     "op9_quality_rules": op9_quality_rules,

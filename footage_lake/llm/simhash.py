@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -63,13 +62,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) per document."""
 
-    def of_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            fps = np.array([fingerprint(t, shingle) for t in rows["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "fp": fps.view(np.int64)})
+            fps = np.array([fingerprint(t, shingle) for t in rows.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(of_batch, f"doc_id {kind}, fp bigint")
+    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(of_batch, f"doc_id {kind}, fp bigint")
 
 
 class _Forest:
