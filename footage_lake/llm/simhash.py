@@ -266,3 +266,14 @@ def near_duplicates(documents: DataFrame, distance: int = DISTANCE, shingle: int
     return prints.join(of_print, F.col("fp") == F.col("of_fp")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_first(documents: DataFrame, distance: int = DISTANCE, shingle: int = 5) -> DataFrame:
+    """One document of each group of near copies, the one of the smallest doc_id; columns as they came.
+
+    Of rows that repeat that id one stays. Rows with a null id all stay.
+    """
+    groups = near_duplicates(documents, distance, shingle)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = documents.join(first, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(documents.where(F.col("doc_id").isNull()))
