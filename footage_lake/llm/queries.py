@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footage_lake.llm import bpe, fingerprint, packing, quality_rules, secrets, simhash, toxicity
+from footage_lake.llm import bpe, fingerprint, hmm, packing, quality_rules, secrets, simhash, toxicity
 from footage_lake.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(documents, toxicity.learn(documents, table(spark, sf_dir, "labels")))
 
 
+def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scored(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
+    "op7_hmm": op7_hmm,
     "op8_bpe": op8_bpe,
     "op9_quality_rules": op9_quality_rules,
 }
