@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footage_lake.llm import bpe, fingerprint, hmm, packing, quality_rules, secrets, simhash, toxicity
+from footage_lake.llm import bpe, fingerprint, hmm, main_text, packing, quality_rules, secrets, simhash, toxicity
 from footage_lake.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(documents, rules)
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_fingerprints": op2_fingerprints,
@@ -52,6 +56,7 @@ QUERIES = {
     "op7_hmm": op7_hmm,
     "op8_bpe": op8_bpe,
     "op9_quality_rules": op9_quality_rules,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLE: dict[str, str] = {}
