@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footage_lake.llm import bpe, fingerprint, hmm, main_text, packing, quality_rules, secrets, simhash, toxicity
+from footage_lake.llm import bpe, fingerprint, hmm, main_text, packing, quality_rules, secrets, simhash, token_counts, toxicity
 from footage_lake.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_fingerprints": op2_fingerprints,
     "op3_packing": op3_packing,
+    "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_hmm": op7_hmm,
