@@ -126,16 +126,19 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
             ok = _chain((a ^ b).view(np.uint64), start.astype(int), distance)
             yield from zip(a[ok].tolist(), b[ok].tolist(), strict=True)
 
-    def large(fp, own, start):
-        """Own rows against all rows of the group, in blocks; rows of one tree are compared no further."""
-        fp = np.unique(fp) if own.all() else fp
-        base = np.unique(fp[own]) if not own.all() else fp
-        for low in range(0, len(fp), 4096):
-            part = fp[low : low + 4096]
-            for x in base:
-                diff = np.bitwise_count((part ^ x).view(np.uint64))
-                for y in part[(diff <= distance) & (diff > 0)].tolist():
-                    yield int(x), y
+    def large(fp, own):
+        """Own rows against the rows of the group that are not in their tree yet."""
+        base = np.unique(fp[own])
+        fp = np.unique(fp)
+        tree = np.array([forest.root(x) for x in fp.tolist()])
+        for x in base.tolist():
+            mine = tree[np.searchsorted(fp, x)]
+            others = np.flatnonzero(tree != mine)
+            near = others[np.bitwise_count((fp[others] ^ x).view(np.uint64)) <= distance]
+            for y in fp[near].tolist():
+                yield x, y
+            if len(near):
+                tree[np.isin(tree, [mine, *tree[near]])] = min(int(mine), int(tree[near].min()))
 
     def of_rows(place, fp, own):
         cut = np.flatnonzero(np.diff(place)) + 1
@@ -152,7 +155,7 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
                     found.append((a, b))
         for g in np.flatnonzero(wanted & ~little):
             s = slice(firsts[g], firsts[g] + sizes[g])
-            for a, b in large(fp[s], own[s], int((place[firsts[g]] >> 32) & 3)):
+            for a, b in large(fp[s], own[s]):
                 if forest.join(a, b):
                     found.append((a, b))
         return found
@@ -197,21 +200,7 @@ def linked(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
             (F.col("f") == 0).alias("own"),
         )
     )
-    hot = stored(rows.where("own").groupBy("place").count().where(F.col("count") > HOT))
-    n_hot = hot.limit(HOT_KEYS + 1).count()
-    if n_hot:
-        hot = hot.select(F.col("place").alias("hot"), F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
-        rows = rows.join(F.broadcast(hot) if n_hot <= HOT_KEYS else hot, F.col("place") == F.col("hot"), "left")
-        parts = F.coalesce("parts", F.lit(1))
-        mine = F.array(F.pmod(F.xxhash64("fp"), parts).cast("int"))
-        rows = rows.select("place", "fp", "own", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), mine[0].alias("mine"))
-        # every part of a hot key gets all rows; only its own share is looked up in each
-        rows = rows.select(
-            (F.col("place") + F.shiftleft(F.col("part").cast("long"), 34)).alias("place"),
-            "fp",
-            (F.col("own") & (F.col("mine") == F.col("part"))).alias("own"),
-        )
-    dealt = rows.repartition("place").sortWithinPartitions("place")
+    dealt = _split_hot(rows, "fp").select("place", "fp", "own").repartition("place").sortWithinPartitions("place")
     return dealt.mapInArrow(lambda it: _links(it, distance), "a bigint, b bigint").distinct()
 
 
@@ -268,12 +257,159 @@ def near_duplicates(documents: DataFrame, distance: int = DISTANCE, shingle: int
     )
 
 
-def keep_first(documents: DataFrame, distance: int = DISTANCE, shingle: int = 5) -> DataFrame:
+# ---------------------------------------------------------------- near copies by similarity
+
+#: Five words a shingle, similarity 0.8 of the shingle sets.
+COPY_SHINGLE = 5
+#: Least-hash bands: a pair of similarity 0.8 shares one of 16 bands of 4 with probability 0.9998.
+BANDS, ROWS = 16, 4
+#: Bits of the wide fingerprint, and the distance that counts as similar: at similarity
+#: 0.8 it is 77 with deviation 8, at 0.7 it is 98, between unrelated texts 256.
+WIDE, WIDE_DISTANCE = 512, 88
+_ODD = np.random.default_rng(20).integers(0, 2**63, BANDS * ROWS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mixed(x: np.ndarray, lane: int) -> np.ndarray:
+    """An independent 64-bit hash of hashes for each lane."""
+    z = x + np.uint64((0x9E3779B97F4A7C15 * (lane + 1)) % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def copy_print(text: str | None) -> tuple[int, list[int], bytes]:
+    """(signature, band keys, wide SimHash) of a text's set of five-word shingles.
+
+    Texts of one set have one signature. Texts without a word share theirs.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(words) < COPY_SHINGLE:
+        grams: Iterator[bytes] = iter([b" ".join(words)])
+    else:
+        grams = map(b" ".join, zip(*(words[k:] for k in range(COPY_SHINGLE)), strict=False))
+    hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64))
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    ones = np.zeros(WIDE, np.int64)
+    for at in range(0, len(hashes), 4096):
+        part = hashes[at : at + 4096]
+        least = np.minimum(least, (part[None, :] * _ODD[:, None]).min(axis=1))
+        lanes = np.stack([_mixed(part, k) for k in range(WIDE // 64)], axis=1)
+        ones += np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    wide = np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").tobytes()
+    bands = [xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))]
+    return xxhash.xxh64_intdigest(least.tobytes() + wide + len(hashes).to_bytes(8, "little"), SEED), bands, wide
+
+
+def _copy_prints(documents: DataFrame) -> DataFrame:
+    signed = lambda x: np.array(x, np.uint64).view(np.int64)
+
+    def of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            found = [copy_print(t) for t in rows.column(1).to_pylist()]
+            arrays = [
+                rows.column(0),
+                pa.array(signed([f[0] for f in found])),
+                pa.array([signed(f[1]) for f in found], pa.list_(pa.int64())),
+                pa.array([f[2] for f in found], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "sig", "bands", "wide"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+        of_batch, f"doc_id {kind}, sig bigint, bands array<bigint>, wide binary"
+    )
+
+
+def _close(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """Rows (place, sig, wide, own) sorted by place in; links that join two trees out.
+
+    A row is compared only with rows of its group that are not in its tree yet.
+    """
+    forest, held = _Forest(), None
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def of_rows(place, sig, wide, own):
+        found = []
+        firsts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
+        sizes = np.diff(np.concatenate([firsts, [len(place)]]))
+        for at, n in zip(firsts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            ids, w = sig[at : at + n].tolist(), wide[at : at + n]
+            tree = np.array([forest.root(x) for x in ids])
+            for i in np.flatnonzero(own[at : at + n]).tolist():
+                others = np.flatnonzero(tree != tree[i])
+                if not len(others):
+                    break
+                near = others[np.bitwise_count(w[others] ^ w[i]).sum(axis=1) <= distance]
+                for j in near.tolist():
+                    if forest.join(ids[i], ids[j]):
+                        found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                if len(near):
+                    joined = np.isin(tree, [tree[i], *tree[near]])
+                    tree[joined] = forest.root(ids[i])
+        a, b = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.array([], np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+
+    for batch in batches:
+        raw = b"".join(batch.column(2).to_pylist())
+        rows = [
+            batch.column(0).to_numpy(),
+            batch.column(1).to_numpy(),
+            np.frombuffer(raw, np.uint64).reshape(-1, WIDE // 64),
+            batch.column(3).to_numpy(zero_copy_only=False),
+        ]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        if not len(rows[0]):
+            continue
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        held = [x[last:] for x in rows]
+        if last:
+            yield of_rows(*(x[:last] for x in rows))
+    if held is not None:
+        yield of_rows(*held)
+
+
+def _split_hot(rows: DataFrame, node: str) -> DataFrame:
+    """Rows of places with over ``HOT`` own rows go to several parts: all to each, own ones looked up in one."""
+    hot = stored(rows.where("own").groupBy("place").count().where(F.col("count") > HOT))
+    n_hot = hot.limit(HOT_KEYS + 1).count()
+    if not n_hot:
+        return rows
+    hot = hot.select(F.col("place").alias("hot"), F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
+    rows = rows.join(F.broadcast(hot) if n_hot <= HOT_KEYS else hot, F.col("place") == F.col("hot"), "left")
+    parts = F.coalesce("parts", F.lit(1))
+    mine = F.pmod(F.xxhash64(node), parts).cast("int")
+    rows = rows.withColumn("mine", mine).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    place = F.when(F.col("hot").isNull(), F.col("place")).otherwise(F.xxhash64("place", "part"))
+    rest = [c for c in rows.columns if c not in ("place", "own", "hot", "parts", "mine", "part")]
+    return rows.select(place.alias("place"), *rest, (F.col("own") & (F.col("mine") == F.col("part"))).alias("own"))
+
+
+def near_copies(documents: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """(doc_id, component_id): groups of texts whose five-word shingle sets are similar to 0.8 or more.
+
+    The 64-bit fingerprints at three bits reach only the closest of such pairs, so
+    candidates share a band of least hashes here, and the SimHash that decides has
+    512 bits. Texts of one shingle set are one node, so exact copies cost nothing.
+    """
+    prints = stored(_copy_prints(documents))
+    nodes = stored(prints.groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.any_value("bands").alias("bands"), F.any_value("wide").alias("wide")))
+    rows = nodes.select(F.explode("bands").alias("place"), "sig", "wide", F.lit(True).alias("own"))
+    dealt = _split_hot(rows, "sig").select("place", "sig", "wide", "own").repartition("place").sortWithinPartitions("place")
+    links = dealt.mapInArrow(lambda it: _close(it, distance), "a bigint, b bigint").distinct()
+    roots = stored(components(links))
+    member = nodes.select("sig", "first_id").join(roots, F.col("sig") == F.col("node"), "left").select("sig", F.coalesce("root", "sig").alias("root"), "first_id")
+    lowest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of_sig = member.join(lowest, "root").select(F.col("sig").alias("of_sig"), "component_id")
+    return prints.join(of_sig, F.col("sig") == F.col("of_sig")).select("doc_id", "component_id")
+
+
+def keep_first(documents: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
     """One document of each group of near copies, the one of the smallest doc_id; columns as they came.
 
     Of rows that repeat that id one stays. Rows with a null id all stay.
     """
-    groups = near_duplicates(documents, distance, shingle)
+    groups = near_copies(documents, distance)
     first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
     kept = documents.join(first, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(documents.where(F.col("doc_id").isNull()))
