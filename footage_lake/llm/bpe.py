@@ -1,9 +1,9 @@
 """BPE encoding by speculation: greedy longest match first, exact merging where it fails.
 
-The vocabulary file is a parameter. Texts are cut at blanks; a chunk's tokens do
-not depend on its neighbours, so each chunk is encoded once per worker and kept
-in a bounded table. For chunks not yet known, a trie proposes the longest token
-at each place. A proposal is right exactly if each adjacent pair of tokens is
+The vocabulary file is a parameter. Texts are cut into words, as the library cuts
+them; a word's tokens do not depend on its neighbours, so each word is encoded once
+per worker and kept in a bounded table. For words not yet known, a trie proposes the
+longest token at each place. A proposal is right exactly if each adjacent pair of tokens is
 itself the encoding of its text; the pairs of all proposals are tested together
 on arrays by walking back the merges along their common border. Only words with
 a pair that fails are merged step by step.
@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-#: Chunks that a worker remembers; then it starts anew.
-KEPT = 250_000
+#: Words that a worker remembers; then it starts anew.
+KEPT = 500_000
 _NONE = int(np.iinfo(np.int64).max)
-_NO_JOIN = (_NONE, -1)
+#: Bits of a token id below the rank in one number.
+_ID_BITS = 20
 
 
 class WordBpe:
@@ -61,21 +62,29 @@ class WordBpe:
             wholes.append(whole)
         order = np.argsort(keys)
         self.size, self.pair_keys, self.pair_ranks = size, np.array(keys)[order], np.array(ranks)[order]
-        self.join = {k: (r, w) for k, r, w in zip(keys, ranks, wholes, strict=True)}
+        self.join = {k: r << _ID_BITS | w for k, r, w in zip(keys, ranks, wholes, strict=True)}
+        chars = [chr(_BYTE_CHARS.get(x, x)) for x in range(256)]
+        self.byte_of = {c: x for x, c in enumerate(chars)}
+        self.symbol = [self.ids[c] for c in chars]
+        self.last_symbol = [self.ids[c + self.suffix] for c in chars]
         self.trie: dict = {}
         self._fill_trie()
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
+        self.said: dict[str, str] = {}
 
-    def _symbols(self, word: str) -> list[int]:
-        """Ids of a word's symbols, the last one with the suffix."""
-        ids = self.ids
-        return [*(ids[c] for c in word[:-1]), ids[word[-1] + self.suffix]]
+    def _symbols(self, word: bytes) -> list[int]:
+        """Ids of a word's bytes, the last one with the suffix."""
+        out = [self.symbol[x] for x in word]
+        out[-1] = self.last_symbol[word[-1]]
+        return out
 
     def _fill_trie(self) -> None:
         """Paths of symbols to each token that is the encoding of its own text; its id is at -1."""
         for token, i in self.ids.items():
             inner = token.removesuffix(self.suffix)
-            symbols = self._symbols(inner) if inner and inner != token else [self.ids[c] for c in token]
+            ends = inner and inner != token
+            raw = bytes(self.byte_of[c] for c in (inner if ends else token))
+            symbols = self._symbols(raw) if ends else [self.symbol[x] for x in raw]
             if self.merged(symbols) != [i]:
                 continue
             node = self.trie
@@ -85,17 +94,16 @@ class WordBpe:
 
     def merged(self, parts: list[int]) -> list[int]:
         """Exact merging: the pair of lowest rank, leftmost first, until none is left."""
-        parts, size, join = list(parts), self.size, self.join
-        rank = lambda k: join.get(parts[k] * size + parts[k + 1], _NO_JOIN)[0]
-        ranks = [rank(k) for k in range(len(parts) - 1)]
+        parts, size, get = list(parts), self.size, self.join.get
+        ranks = [get(a * size + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
         while ranks and (low := min(ranks)) != _NONE:
             at = ranks.index(low)
-            parts[at : at + 2] = [join[parts[at] * size + parts[at + 1]][1]]
-            del ranks[at]
+            parts[at] = low & (1 << _ID_BITS) - 1
+            del parts[at + 1], ranks[at]
             if at:
-                ranks[at - 1] = rank(at - 1)
+                ranks[at - 1] = get(parts[at - 1] * size + parts[at], _NONE)
             if at < len(ranks):
-                ranks[at] = rank(at)
+                ranks[at] = get(parts[at] * size + parts[at + 1], _NONE)
         return parts
 
     def proposed(self, symbols: list[int]) -> list[int]:
@@ -139,7 +147,7 @@ class WordBpe:
             a, b = np.where(down, self.right[a], a), np.where(down, b, self.left[b])
         return ok
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of words: proposals where all pairs hold, else exact merging."""
         symbols = [self._symbols(w) for w in words]
         tried = [self.proposed(w) for w in symbols]
@@ -154,51 +162,70 @@ class WordBpe:
                 tried[k] = self.merged(symbols[k])
         return tried
 
-    def _words(self, chunk: str) -> list[str]:
-        """Words of a chunk, as the library's normalizer and splitter give them."""
-        if _PLAIN.fullmatch(chunk):
-            chunk = chunk.lower()
-            found = _SPLIT.findall(chunk)
-            return found if chunk.isascii() else [w.encode().decode("latin-1").translate(_BYTE_CHARS) for w in found]
-        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
-        return [w for w, _ in pieces]
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Enter chunks into the table: little-endian ids and decoded text of each."""
-        words = {c: None if any(s in c for s in self.special) else self._words(c) for c in chunks}
-        fresh = list(dict.fromkeys(w for ws in words.values() if ws for w in ws))
+    def words(self, text: str | None) -> list[str]:
+        """Words of a text: in plain texts as the pattern cuts them, in others chunks that need the library stay whole."""
+        text = text or ""
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return _SPLIT.findall(text.lower())
+        out = []
+        for chunk in text.translate(_BLANKS).split(" "):
+            if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+                out += _SPLIT.findall(chunk.lower())
+            else:
+                out.append(_WHOLE + chunk)
+        return out
+
+    def _learn(self, words: list[str], say: bool) -> None:
+        """Enter words into the table: their little-endian ids, and what they decode to if asked."""
+        cut: dict[str, list[bytes] | None] = {}
+        for w in words:
+            if w[0] != _WHOLE:
+                cut[w] = [w.encode()]
+            elif any(s in w for s in self.special):
+                cut[w] = None
+            else:
+                pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(w[1:]))
+                cut[w] = [bytes(map(self.byte_of.__getitem__, p)) for p, _ in pieces]
+        fresh = list(dict.fromkeys(x for c in cut.values() if c for x in c))
         encoded = dict(zip(fresh, self.encode_words(fresh), strict=True))
-        for c, ws in words.items():
-            if ws is None:
-                ids = self.library.encode(c, add_special_tokens=False).ids
+        for w, c in cut.items():
+            if c is None:
+                ids = self.library.encode(w[1:], add_special_tokens=False).ids
             else:
-                ids = [i for w in ws for i in encoded[w]]
-            self.known[c] = (_U32[len(ids)].pack(*ids) if len(ids) < len(_U32) else np.array(ids, "<u4").tobytes(), " ".join(map(self.text.__getitem__, ids)))
+                ids = encoded[c[0]] if len(c) == 1 else [i for x in c for i in encoded[x]]
+            self.known[w] = _U32[len(ids)].pack(*ids) if len(ids) < len(_U32) else np.array(ids, "<u4").tobytes()
+            if say:
+                self.said[w] = " ".join(map(self.text.__getitem__, ids))
 
-    def batch(self, texts: list[str | None]) -> Iterator[list[tuple[bytes, str]]]:
-        """For each text its chunks' (ids, decoded text); a null text is empty."""
+    def _looked_up(self, texts: list[str | None], say: bool) -> Iterator[list[str]]:
+        """Words of each text, all of them in the table."""
         for group in _bounded(texts):
-            cut = [(t or "").translate(_BLANKS).split(" ") for t in group]
-            while True:
-                known = self.known
-                new = {c for t in cut for c in t if c not in known}
-                if not new:
-                    break
-                if len(new) + len(known) > KEPT:
-                    known.clear()
-                    new = {c for t in cut for c in t}
-                self._learn(list(new))
-            for t in cut:
-                yield [self.known[c] for c in t]
+            cut = [self.words(t) for t in group]
+            new = set().union(*cut).difference(self.said if say else self.known)
+            if len(new) + len(self.known) > KEPT:
+                self.known.clear()
+                self.said.clear()
+                new = set().union(*cut)
+            if new:
+                self._learn(list(new), say)
+            yield from cut
 
     def ids_of(self, texts: list[str | None]) -> Iterator[bytes]:
-        for chunks in self.batch(texts):
-            yield b"".join([c[0] for c in chunks])
+        """Ids of each text as little-endian 32-bit integers; a null text is empty."""
+        for words in self._looked_up(texts, False):
+            yield b"".join(map(self.known.__getitem__, words))
+
+    def both_ways(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
+        """Ids of each text, and their decoding."""
+        for words in self._looked_up(texts, True):
+            yield b"".join(map(self.known.__getitem__, words)), " ".join(filter(None, map(self.said.__getitem__, words)))
 
 
-#: Chunks of printable ASCII and Latin-1 letters only: lower case and words are the same in every library.
-_PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
+#: Blanks, printable ASCII and Latin-1 letters: lower case and words are the same in every library.
+_PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9\t\n\x0b\x0c\r ]+")
+#: Before a chunk that is not cut by the pattern.
+_WHOLE = "\0"
 
 
 def _byte_chars() -> dict[int, int]:
@@ -211,12 +238,12 @@ def _byte_chars() -> dict[int, int]:
 _BYTE_CHARS = _byte_chars()
 _U32 = [struct.Struct(f"<{n}I") for n in range(64)]
 _BLANKS = {ord(c): " " for c in "\t\n\r\x0b\x0c"}
-#: Characters of the texts whose chunks are looked up together.
+#: Characters of the texts whose words are looked up together.
 _GROUP = 400_000
 
 
 def _bounded(texts: list[str | None]) -> Iterator[list[str | None]]:
-    """Runs of texts of about ``_GROUP`` characters, so that their chunks fit in the table."""
+    """Runs of texts of about ``_GROUP`` characters, so that their words fit in the table."""
     part, size = [], 0
     for t in texts:
         part.append(t)
@@ -249,9 +276,7 @@ def round_trip(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
         bpe = encoder(path)
         for rows in batches:
             counts, of_ids, of_text = [], [], []
-            for chunks in bpe.batch(rows.column(1).to_pylist()):
-                ids = b"".join([c[0] for c in chunks])
-                said = " ".join([c[1] for c in chunks if c[1]])
+            for ids, said in bpe.both_ways(rows.column(1).to_pylist()):
                 counts.append(len(ids) // 4)
                 of_ids.append(hashlib.sha256(ids).hexdigest())
                 of_text.append(hashlib.sha256(said.encode()).hexdigest())
