@@ -126,13 +126,17 @@ def hard_cuts(scores: DataFrame, regions: DataFrame | None = None, least: float
     return merge_candidates(outside_regions(peaks, regions).select(*KEYS, "t_us", "cut_score"))
 
 
+def _times(cuts: DataFrame) -> DataFrame:
+    """Array ``inner`` of each asset's cut times; bounded by the cuts of one asset."""
+    return cuts.groupBy(*KEYS).agg(F.collect_list("t_us").alias("inner"))
+
+
 def _spans(cuts: DataFrame, assets: DataFrame) -> DataFrame:
     """start_us, end_us between 0, the cuts and the duration of each asset that has a cut."""
-    w = Window.partitionBy(*KEYS).orderBy("t_us")
-    with_cut = cuts.select(*KEYS).distinct()
-    ends = assets.join(with_cut, KEYS, "left_semi").select(*KEYS, F.explode(F.array(F.lit(0).cast("bigint"), "duration_us")).alias("t_us"))
-    times = cuts.select(*KEYS, "t_us").union(ends).distinct()
-    return times.withColumn("end_us", F.lead("t_us").over(w)).where("end_us IS NOT NULL").withColumnRenamed("t_us", "start_us")
+    every = F.concat(F.array(F.lit(0).cast("bigint"), "duration_us"), "inner")
+    rows = _times(cuts).join(assets, KEYS).select(*KEYS, F.sort_array(F.array_distinct(every)).alias("times"))
+    spans = rows.select(*KEYS, "times", F.posexplode(F.slice("times", 1, F.size("times") - 1)).alias("k", "start_us"))
+    return spans.select(*KEYS, "start_us", F.get("times", F.col("k") + 1).alias("end_us"))
 
 
 def refine_long_spans(scores: DataFrame, cuts: DataFrame, regions: DataFrame, assets: DataFrame, long: int = LONG, least: float = LONG_PROMINENCE) -> DataFrame:
@@ -156,7 +160,9 @@ def refine_long_spans(scores: DataFrame, cuts: DataFrame, regions: DataFrame, as
     near = (F.col("project_id") == F.col("c_project_id")) & (F.col("asset_id") == F.col("c_asset_id")) & (F.abs(F.col("t_us") - F.col("c_us")) <= MERGE)
     free = peaks.join(c, near, "left_anti")
     best = free.groupBy(*KEYS, "span").agg(F.max_by("t_us", F.struct("prominence", -F.col("t_us"))).alias("t_us")).drop("span")
-    every = cuts.select(*KEYS, "t_us").union(best.select(*KEYS, "t_us")).distinct().withColumn("zero", F.lit(0.0))
+    more = _times(best).withColumnRenamed("inner", "more")
+    both = F.array_distinct(F.concat("inner", F.coalesce("more", F.array().cast("array<bigint>"))))
+    every = _times(cuts).join(more, KEYS, "left").select(*KEYS, F.explode(both).alias("t_us"), F.lit(0.0).alias("zero"))
     return merge_candidates(every, MERGE, "zero").select(*KEYS, "t_us")
 
 
@@ -178,7 +184,7 @@ def kept_times(times: Column, least: int = MIN_SHOT, tail: bool = True) -> Colum
 
 def cut_times(cuts: DataFrame, assets: DataFrame, least: int = MIN_SHOT) -> DataFrame:
     """Sorted array ``times`` of 0, the cuts and the duration per asset, short spans merged."""
-    found = cuts.groupBy(*KEYS).agg(F.collect_list("t_us").alias("inner"))
+    found = _times(cuts)
     every = F.concat(F.array(F.lit(0).cast("bigint"), "duration_us"), F.coalesce("inner", F.array().cast("array<bigint>")))
     times = F.sort_array(F.array_distinct(F.filter(every, lambda t: (t >= 0) & (t <= F.col("duration_us")))))
     return assets.where("duration_us > 0").join(found, KEYS, "left").select(*KEYS, "duration_us", kept_times(times, least).alias("times"))
@@ -234,8 +240,8 @@ def detect_shots(scores: DataFrame, assets: DataFrame) -> DataFrame:
     regions = activity_regions(scores)
     cuts = hard_cuts(scores, regions).select(*KEYS, "t_us")
     cuts = refine_long_spans(scores, cuts, regions, assets)
-    scored = assets.join(scores.select(*KEYS).distinct(), KEYS, "left_semi")
-    times = cut_times(cuts, scored).unionByName(whole_asset_fallback(assets, scores))
+    # an asset without scores has no cut, so its times are those of whole_asset_fallback
+    times = cut_times(cuts, assets)
     return attach_transitions(shots_from_cuts(times), regions)
 
 
