@@ -345,10 +345,11 @@ def take_selection(spark, d):
     return _selected(spark, d).select("project_id", "beat", "shot_id", "status")
 
 
-@query(f"""WITH {TAKES} SELECT g.project_id, g.beat_id, '高' AS severity FROM (SELECT DISTINCT project_id, priority || '-' || CAST(n AS VARCHAR) AS beat_id FROM (SELECT DISTINCT 'p' || CAST(o_custkey % 16 AS VARCHAR) AS project_id, o_orderpriority AS priority FROM orders), (SELECT unnest(range(250)) AS n)) g
+@query(f"""WITH {TAKES} SELECT g.project_id, g.beat_id, '高' AS severity FROM (SELECT project_id, priority || '-' || CAST(unnest(range(250)) AS VARCHAR) AS beat_id FROM (SELECT DISTINCT 'p' || CAST(o_custkey % 16 AS VARCHAR) AS project_id, o_orderpriority AS priority FROM orders)) g
 WHERE NOT EXISTS (SELECT 1 FROM sel WHERE sel.project_id = g.project_id AND sel.beat = g.beat_id AND final = '核心')""")
 def missing_beats(spark, d):
-    grid = b.shots(spark, d).select("project_id").distinct().join(b.read(spark, d, "orders").select(F.lit(1).alias("one"), "o_orderpriority").distinct(), F.col("one") == 1)
+    project = F.concat(F.lit("p"), (F.col("o_custkey") % 16).cast("string")).alias("project_id")
+    grid = b.read(spark, d, "orders").select(project, "o_orderpriority").distinct()
     beats = grid.select("project_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(249)), lambda n: F.concat("o_orderpriority", F.lit("-"), n.cast("string")))).alias("beat_id"), F.lit("").alias("act"), F.lit("").alias("scene"))
     return selection.missing_beats(beats, _selected(spark, d)).select("project_id", "beat_id", "severity")
 
