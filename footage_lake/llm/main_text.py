@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from footage_lake.llm.common import thinned
+
 #: Pages that the trees are trained on, at most, and pages composed from them.
 SAMPLE, COMPOSED = 150, 500
 TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
@@ -392,7 +394,7 @@ def composed(pages: list[str], count: int, seed: int = 3) -> list[str]:
 def learn(pages: DataFrame, sample: int = SAMPLE, count: int = COMPOSED) -> Trees:
     """Trees from up to ``sample`` pages with an article, chosen by a hash of the text, and ``count`` composed ones."""
     marked = pages.select(F.col("html").cast("string").alias("html")).where(F.col("html").rlike("(?i)<(article|main)\\b") & (F.length("html") < 50_000))
-    rows = [r["html"] for r in marked.orderBy(F.xxhash64("html"), "html").limit(sample).collect()]
+    rows = [r["html"] for r in thinned(marked, F.col("html"), sample).orderBy(F.xxhash64("html"), "html").limit(sample).collect()]
     made = composed(rows, count)
     parsed = [parse(p) for p in rows + made]
     if not parsed:

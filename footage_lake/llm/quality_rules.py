@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footage_lake.llm.common import WORD_CHAR, let, words_of
+from footage_lake.llm.common import WORD_CHAR, let, thinned, words_of
 
 #: Labelled documents that a list is learned from, at most.
 SAMPLE = 6000
@@ -226,9 +226,11 @@ def learn_rules(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
 
     Labels of null and ids without a document are left out.
     """
+    usable = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("quality")).where(
+        F.col("quality").isNotNull() & F.col("label_id").isNotNull()
+    )
     chosen = (
-        labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("quality"))
-        .where(F.col("quality").isNotNull() & F.col("label_id").isNotNull())
+        thinned(usable, F.col("label_id"), sample)
         .dropDuplicates(["label_id"])
         .orderBy(F.xxhash64("label_id"), "label_id")
         .limit(sample)

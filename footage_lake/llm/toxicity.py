@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footage_lake.llm.common import id_bucket
+from footage_lake.llm.common import id_bucket, thinned
 
 #: Labelled documents that the machine is fitted to, at most.
 SAMPLE = 8000
@@ -119,9 +119,11 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mach
 
     Null labels and ids without a document are left out.
     """
+    usable = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where(
+        F.col("toxic").isNotNull() & F.col("label_id").isNotNull() & (id_bucket(F.col("label_id"), 3) != 1)
+    )
     chosen = (
-        labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
-        .where(F.col("toxic").isNotNull() & F.col("label_id").isNotNull() & (id_bucket(F.col("label_id"), 3) != 1))
+        thinned(usable, F.col("label_id"), sample)
         .dropDuplicates(["label_id"])
         .orderBy(F.xxhash64("label_id"), "label_id")
         .limit(sample)
