@@ -263,9 +263,11 @@ def near_duplicates(documents: DataFrame, distance: int = DISTANCE, shingle: int
 COPY_SHINGLE = 5
 #: Least-hash bands: a pair of similarity 0.8 shares one of 16 bands of 4 with probability 0.9998.
 BANDS, ROWS = 16, 4
-#: Bits of the wide fingerprint, and the distance that counts as similar: at similarity
-#: 0.8 it is 77 with deviation 8, at 0.7 it is 98, between unrelated texts 256.
-WIDE, WIDE_DISTANCE = 512, 88
+#: Bits of the wide fingerprint, and the distance up to which a pair is tested: at similarity
+#: 0.8 it is 77 with deviation 8 (sets of five shingles: 96, 9), at 0.5 it is 137, between unrelated texts 256.
+WIDE, WIDE_DISTANCE = 512, 128
+#: Texts of a candidate group that are tested together; larger groups are dealt out as pairs of blocks.
+BLOCK = 1024
 _ODD = np.random.default_rng(20).integers(0, 2**63, BANDS * ROWS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -277,17 +279,32 @@ def _mixed(x: np.ndarray, lane: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def copy_print(text: str | None) -> tuple[int, list[int], bytes]:
-    """(signature, band keys, wide SimHash) of a text's set of five-word shingles.
-
-    Texts of one set have one signature. Texts without a word share theirs.
-    """
+def copy_shingles(text: str | None) -> np.ndarray:
+    """Hashes of a text's set of five-word shingles, sorted. Fewer words: their sequence is the one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if len(words) < COPY_SHINGLE:
         grams: Iterator[bytes] = iter([b" ".join(words)])
     else:
         grams = map(b" ".join, zip(*(words[k:] for k in range(COPY_SHINGLE)), strict=False))
-    hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of 0.8 or more."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 5 * len(a) < 4 * len(b):
+        return False
+    shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 9 * shared >= 4 * (len(a) + len(b))
+
+
+def copy_print(text: str | None) -> tuple[int, list[int], bytes]:
+    """(signature, band keys, wide SimHash) of a text's set of five-word shingles.
+
+    Texts of one set have one signature. Texts without a word share theirs.
+    """
+    hashes = copy_shingles(text)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
     ones = np.zeros(WIDE, np.int64)
     for at in range(0, len(hashes), 4096):
@@ -297,7 +314,7 @@ def copy_print(text: str | None) -> tuple[int, list[int], bytes]:
         ones += np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     wide = np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").tobytes()
     bands = [xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))]
-    return xxhash.xxh64_intdigest(least.tobytes() + wide + len(hashes).to_bytes(8, "little"), SEED), bands, wide
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED), bands, wide
 
 
 def _copy_prints(documents: DataFrame) -> DataFrame:
@@ -308,16 +325,21 @@ def _copy_prints(documents: DataFrame) -> DataFrame:
             found = [copy_print(t) for t in rows.column(1).to_pylist()]
             arrays = [
                 rows.column(0),
+                rows.column(2),
                 pa.array(signed([f[0] for f in found])),
                 pa.array([signed(f[1]) for f in found], pa.list_(pa.int64())),
                 pa.array([f[2] for f in found], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "sig", "bands", "wide"])
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "place", "sig", "bands", "wide"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        of_batch, f"doc_id {kind}, sig bigint, bands array<bigint>, wide binary"
-    )
+    return _placed_texts(documents).mapInArrow(of_batch, f"doc_id {kind}, place bigint, sig bigint, bands array<bigint>, wide binary")
+
+
+def _placed_texts(documents: DataFrame) -> DataFrame:
+    """doc_id, text and ``place``, a hash by which a text is found again."""
+    text = F.col("text").cast("string")
+    return documents.select("doc_id", text.alias("text"), F.xxhash64(text).alias("place"))
 
 
 def _close(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
@@ -369,6 +391,80 @@ def _close(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
         yield of_rows(*held)
 
 
+def _verified(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """Rows (place, sig, wide, shingles, own) sorted by place in; links of similar sets that join two trees out.
+
+    Where all rows of a place are its own, each meets each, else its own rows meet
+    the others. The wide fingerprint and the sizes rule pairs out, the sets decide.
+    """
+    forest = _Forest()
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def of_place(sig, wide, sets, own):
+        found = []
+        size = np.array([len(s) for s in sets])
+        tree = np.array([forest.root(x) for x in sig])
+        met = np.ones(len(sig), bool) if own.all() else ~own
+        for i in np.flatnonzero(own).tolist():
+            fits = met & (tree != tree[i]) & (5 * np.minimum(size, size[i]) >= 4 * np.maximum(size, size[i]))
+            others = np.flatnonzero(fits)
+            if not len(others):
+                continue
+            far = np.bitwise_count(wide[others] ^ wide[i]).sum(axis=1)
+            close = np.argsort(far, kind="stable")[: int((far <= distance).sum())]
+            taken = []
+            for j in others[close].tolist():
+                if forest.root(sig[i]) != forest.root(sig[j]) and similar(sets[i], sets[j]):
+                    forest.join(sig[i], sig[j])
+                    found.append((min(sig[i], sig[j]), max(sig[i], sig[j])))
+                    taken.append(j)
+            if taken:
+                tree[np.isin(tree, [tree[i], *tree[taken]])] = forest.root(sig[i])
+        a, b = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.array([], np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+
+    def held_out(rows):
+        sig, wide, sets, own = zip(*rows, strict=True)
+        return of_place(sig, np.frombuffer(b"".join(wide), np.uint64).reshape(-1, WIDE // 64), [np.frombuffer(s, np.uint64) for s in sets], np.array(own))
+
+    rows, at = [], None
+    for batch in batches:
+        for place, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if place != at:
+                if len(rows) > 1:
+                    yield held_out(rows)
+                rows, at = [], place
+            rows.append(row)
+    if len(rows) > 1:
+        yield held_out(rows)
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text, the last column, as the bytes of its shingle set."""
+    for rows in batches:
+        sets = pa.array([copy_shingles(t).tobytes() for t in rows.columns[-1].to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*rows.columns[:-1], sets], [*rows.schema.names[:-1], "shingles"])
+
+
+def _similar_links(documents: DataFrame, nodes: DataFrame, candidates: DataFrame, distance: int) -> DataFrame:
+    """Links (a, b) of similar shingle sets within the groups (node, root) of ``candidates``.
+
+    Only texts in such groups are read again, one for each set. Groups above
+    ``BLOCK`` texts are dealt out: every pair of their blocks is one place.
+    """
+    blocks = candidates.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    wanted = nodes.join(candidates.join(blocks, "root"), F.col("sig") == F.col("node")).select("place", "sig", "wide", "root", "blocks")
+    once = _placed_texts(documents).groupBy("place").agg(F.any_value("text").alias("text"))
+    texts = once.join(wanted, "place").select("sig", "wide", "root", "blocks", "text")
+    sets = texts.mapInArrow(_shingle_sets, "sig bigint, wide binary, root bigint, blocks int, shingles binary")
+    block = F.pmod(F.xxhash64(F.lit("block"), "sig"), F.col("blocks")).cast("int")
+    pairs = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    rows = pairs.select(F.xxhash64("root", low, high).alias("place"), "sig", "wide", "shingles", (F.col("block") == low).alias("own"))
+    dealt = rows.repartition("place").sortWithinPartitions("place")
+    return dealt.mapInArrow(lambda it: _verified(it, distance), "a bigint, b bigint").distinct()
+
+
 def _split_hot(rows: DataFrame, node: str) -> DataFrame:
     """Rows of places with over ``HOT`` own rows go to several parts: all to each, own ones looked up in one."""
     hot = stored(rows.where("own").groupBy("place").count().where(F.col("count") > HOT))
@@ -389,15 +485,17 @@ def near_copies(documents: DataFrame, distance: int = WIDE_DISTANCE) -> DataFram
     """(doc_id, component_id): groups of texts whose five-word shingle sets are similar to 0.8 or more.
 
     The 64-bit fingerprints at three bits reach only the closest of such pairs, so
-    candidates share a band of least hashes here, and the SimHash that decides has
-    512 bits. Texts of one shingle set are one node, so exact copies cost nothing.
+    candidates share a band of least hashes here and are close in a SimHash of 512
+    bits. That gives candidate groups; within them the shingle sets themselves
+    decide. Texts of one shingle set are one node, so exact copies cost nothing.
     """
     prints = stored(_copy_prints(documents))
-    nodes = stored(prints.groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.any_value("bands").alias("bands"), F.any_value("wide").alias("wide")))
+    nodes = stored(prints.groupBy("sig").agg(F.min("doc_id").alias("first_id"), *(F.any_value(c).alias(c) for c in ("place", "bands", "wide"))))
     rows = nodes.select(F.explode("bands").alias("place"), "sig", "wide", F.lit(True).alias("own"))
     dealt = _split_hot(rows, "sig").select("place", "sig", "wide", "own").repartition("place").sortWithinPartitions("place")
     links = dealt.mapInArrow(lambda it: _close(it, distance), "a bigint, b bigint").distinct()
-    roots = stored(components(links))
+    candidates = stored(components(links))
+    roots = stored(components(_similar_links(documents, nodes, candidates, distance)))
     member = nodes.select("sig", "first_id").join(roots, F.col("sig") == F.col("node"), "left").select("sig", F.coalesce("root", "sig").alias("root"), "first_id")
     lowest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_sig = member.join(lowest, "root").select(F.col("sig").alias("of_sig"), "component_id")

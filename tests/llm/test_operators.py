@@ -309,6 +309,44 @@ def test_near_copies_and_keep_first(spark):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("block", [1024, 8])
+def test_near_copies_are_decided_by_the_shingle_sets(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 8))
+    rows, shingles = [], lambda t: {tuple(w) for w in zip(*(t.split()[k:] for k in range(5)), strict=False)}
+    for g in range(60):
+        n = int(rng.integers(60, 400))
+        base = [word() for _ in range(n)]
+        rows.append((g * 100, " ".join(base)))
+        for c in range(1, 6):
+            # a tail of other words: similarity 0.7 to 0.9
+            kept = round((n - 4) * 2 * (s := rng.uniform(0.7, 0.9)) / (1 + s)) + 4
+            rows.append((g * 100 + c, " ".join(base[:kept] + [word() for _ in range(n - kept)])))
+    # a chain of a template: each close to the next only
+    base = [word() for _ in range(300)]
+    for k in range(20):
+        rows.append((9000 + k, " ".join(base[: 300 - 24 * (k % 2)] + [word() for _ in range(24 * (k % 2) + 18)])))
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    want = {rows[k][0]: rows[root(k)][0] for k in range(len(rows))}
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert dict(map(tuple, simhash.near_copies(frame).collect())) == want
+    assert {r["doc_id"] for r in simhash.keep_first(frame).collect()} == set(want.values())
+
+
 # ---- learned filters
 
 
