@@ -27,13 +27,15 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "entropy"]
 
 #: Candidates that are no secrets whatever their entropy: identifiers in the
-#: 8-4-4-4-12 form, digits alone, letters of one case, placeholder texts, alphabets.
+#: 8-4-4-4-12 form, digits alone, letters of one case, names and paths made of words
+#: with one digit at most, placeholder texts, alphabets.
 ALLOWED = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9_+/=-]+$",
     r"^[a-z_+/=-]+$",
     r"^[A-Z_+/=-]+$",
     r"^[A-Z]?[a-z_+/=-]+$",
+    r"^(?=[^0-9]*+[0-9]?[^0-9]*+$)[a-z]?(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+(?![a-z])|(?<![A-Z])[A-Z]+(?=[A-Z][a-z])|(?<![A-Za-z])[A-Za-z]{1,2}(?![A-Za-z])|[0-9_+/=-])++$",
     r"(?i)example|sample|dummy|placeholder|changeme|redacted",
     r"(?i)abcdefgh|01234567|12345678|qwertyui",
 ]
@@ -51,8 +53,8 @@ class EntropyClass:
 
 
 CLASSES = (
-    EntropyClass("hex", r"(?<![A-Za-z0-9+/_=-])[0-9A-Fa-f]{16,}+(?![A-Za-z0-9+/_=-])", r"^(?=.*[0-9])(?=.*[A-Fa-f])", 16, 2.8),
-    EntropyClass("base64", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}", r"^(?=(.*[0-9]){2})(?=.*[A-Za-z])", 20, 3.6),
+    EntropyClass("hex", r"(?<![A-Za-z0-9+/_-])[0-9A-Fa-f]{16,}+(?![A-Za-z0-9+/_=-])", r"^(?=.*[0-9])(?=.*[A-Fa-f])", 16, 2.8),
+    EntropyClass("base64", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}", r"^(?=.*[A-Za-z])(?=.*[0-9]|.*[a-z].*[A-Z]|.*[A-Z].*[a-z])", 20, 3.6),
 )
 #: A long candidate is looked at in pieces of this many characters, each with the window's rest after it.
 PIECE = 256
@@ -126,13 +128,15 @@ def window_entropy(text: Column, window: int) -> Column:
 
 
 def _entropy(text: Column, known: Column) -> Column:
-    """Spans of kind entropy that touch no span in ``known``."""
+    """Spans of kind entropy that lie in no span of ``known`` and are not the name that one assigns to."""
     allowed = "|".join(f"(?:{x})" for x in ALLOWED)
 
     def of_class(k: EntropyClass) -> Column:
         def keep(row: Column) -> Column:
             s = row["found"]
-            apart = ~F.exists(known, lambda b: (b["start"] < row["end"]) & (row["start"] < b["end"]))
+            inside = lambda b: (b["start"] <= row["start"]) & (row["end"] <= b["end"])
+            names = lambda b: (b["kind"] == KINDS.index("assign")) & (row["start"] < b["start"]) & (b["start"] < row["end"]) & (row["end"] < b["end"])
+            apart = ~F.exists(known, lambda b: inside(b) | names(b))
             cheap = F.rlike(s, F.lit(k.needs)) & ~F.rlike(s, F.lit(allowed)) & apart
             return F.when(cheap, window_entropy(s, k.window) >= k.bits).otherwise(False)
 

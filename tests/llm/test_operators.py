@@ -90,6 +90,31 @@ def test_entropy_spans_and_allow_list(spark):
     assert masked[1]["text"] == calm and masked[2]["text"] is None
 
 
+def test_entropy_of_values_behind_an_equals_sign(spark):
+    key, few = "kJ8sQz4LmX0vTn2RbYc7WdPe", "wJalrXUtnFEMIxKbMDENGzbPxRfiCYzKq"
+    cases = [
+        (f"AWS_SECRET_ACCESS_KEY={few}", few),
+        (f"export PRIVATE_KEY={key};", key),
+        (f"https://x.org/a?sig={key}&b=1", key),
+        ("sig=9F8E7D6C5B4A39281F0E", "9F8E7D6C5B4A39281F0E"),
+        (f"key {few} end", few),
+        (f"key {key}== end", f"{key}=="),
+        (f"{'0123456789abcdef' * 2}Zk93Lx72QmPa81TvYw0d", f"{'0123456789abcdef' * 2}Zk93Lx72QmPa81TvYw0d"[:32]),
+        ("Zk93Lx72QmPa81TvYw0d" + "fedcba98" * 3, "Zk93Lx72QmPa81TvYw0d" + "fedcba98" * 3),
+        ("MY_LONG_SERVICE42_NAME7_api_key=hunter2222", None),
+        ("utm_source=CamelCaseWordsWithoutDigitsInside&p=/wiki/About_us/page-2/The_Name", None),
+    ]
+    rows = secrets.secret_report(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id int, text string")).collect()
+    for r in rows:
+        text, want = cases[r["doc_id"]]
+        spans = [x.split(":") for x in r["spans"].split(",") if x]
+        found = [text[int(a) : int(b)] for kind, a, b in spans if kind == "entropy"]
+        if r["doc_id"] == 6:  # the allow-list knows the alphabet in the whole; its base span stays
+            assert [text[int(a) : int(b)] for _, a, b in spans] == [want]
+        else:
+            assert found == ([want] if want else []), text
+
+
 # ---- fingerprints
 
 
