@@ -57,12 +57,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def thinned(frame: DataFrame, key: Column, rows: int) -> DataFrame:
+def thinned(frame: DataFrame, key: Column, rows: int, n: int | None = None) -> DataFrame:
     """About twice ``rows`` rows of a larger table, chosen by a hash of the key.
 
     For a bounded sample: an ordering with a limit would send ``rows`` rows of each
-    task to the driver, so the tasks first leave out what cannot be needed.
+    task to the driver, so the tasks first leave out what cannot be needed. Where
+    keys repeat, ``n`` is the number of distinct ones.
     """
-    n = frame.count()
+    n = frame.count() if n is None else n
     share = min(1.0, 2 * max(rows, 500) / max(n, 1))
     return frame if share == 1.0 else frame.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) < int(share * (1 << 30)))

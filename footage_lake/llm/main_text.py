@@ -29,6 +29,8 @@ from footage_lake.llm.common import thinned
 #: Pages that the trees are trained on, at most, and pages composed from them.
 SAMPLE, COMPOSED = 150, 500
 TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
+#: Characters of a page that is trained on, at most.
+LONGEST = 50_000
 
 # Element names of HTML and words that class, id and role attributes use.
 DROPPED = set("script style noscript template iframe svg math head object canvas video audio select textarea button datalist title".split())
@@ -391,11 +393,22 @@ def composed(pages: list[str], count: int, seed: int = 3) -> list[str]:
     return out
 
 
+def _sampled(pages: DataFrame, sample: int) -> list[str]:
+    """Up to ``sample`` distinct pages in the order of a hash; the table is thinned by its count of distinct pages."""
+    n = pages.select(F.xxhash64("html").alias("h")).distinct().count()
+    few = thinned(pages, F.col("html"), sample, n).distinct()
+    return [r["html"] for r in few.orderBy(F.xxhash64("html"), "html").limit(sample).collect()]
+
+
 def learn(pages: DataFrame, sample: int = SAMPLE, count: int = COMPOSED) -> Trees:
-    """Trees from up to ``sample`` pages with an article, chosen by a hash of the text, and ``count`` composed ones."""
-    marked = pages.select(F.col("html").cast("string").alias("html")).where(F.col("html").rlike("(?i)<(article|main)\\b") & (F.length("html") < 50_000))
-    rows = [r["html"] for r in thinned(marked, F.col("html"), sample).orderBy(F.xxhash64("html"), "html").limit(sample).collect()]
-    made = composed(rows, count)
+    """Trees from up to ``sample`` pages with an article, chosen by a hash of the text, and ``count`` composed ones.
+
+    Where no page has one, from pages composed of the texts of any pages.
+    """
+    every = pages.select(F.col("html").cast("string").alias("html")).where("html is not null")
+    marked = every.where(F.col("html").rlike("(?i)<(article|main)\\b") & (F.length("html") < LONGEST))
+    rows = _sampled(marked, sample)
+    made = composed(rows or _sampled(every.select(F.left("html", F.lit(LONGEST)).alias("html")), sample), count)
     parsed = [parse(p) for p in rows + made]
     if not parsed:
         return Trees(0.0, np.zeros((0, 2**DEPTH - 1), int), np.zeros((0, 2**DEPTH - 1)), np.zeros((0, 2**DEPTH)))
@@ -409,7 +422,7 @@ def extracted(pages: DataFrame, trees: Trees) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     A null page is empty and gives the empty text. Without trained trees (no page
-    marks its article) nothing is kept. Repeated rows come back as often as they
+    has a text) nothing is kept. Repeated rows come back as often as they
     came; an empty table gives no rows; other columns are ignored.
     """
     sent = pages.sparkSession.sparkContext.broadcast(trees)

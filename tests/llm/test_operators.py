@@ -498,6 +498,15 @@ def test_main_text_of_pages(spark):
     assert main_text.main_text(empty(pages)).count() == 0
 
 
+def test_main_text_without_marked_pages_and_with_copies(spark):
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()][:30]
+    plain = [re.sub(r"(?i)(</?)(article|main)\b", r"\1div", p) for p in pages]
+    frame = lambda rows: spark.createDataFrame([(k, "u", h) for k, h in enumerate(rows)], "page_id int, url string, html string")
+    assert all(r["n_chars"] > 0 for r in main_text.main_text(frame(plain)).collect())
+    copies = frame(pages[:4]).crossJoin(spark.range(100_000)).select("html")
+    assert sorted(main_text._sampled(copies, 150)) == sorted(set(pages[:4]))
+
+
 def test_main_text_in_other_layouts(spark):
     pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
     parsed = [main_text.parse(p) for p in pages[:30] + main_text.composed(pages[:30], 250)]
