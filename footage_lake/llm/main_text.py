@@ -33,10 +33,13 @@ TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
 LONGEST = 50_000
 
 # Element names of HTML and words that class, id and role attributes use.
-DROPPED = set("script style noscript template iframe svg math head object canvas video audio select textarea button datalist title".split())
+RAW = set("script style noscript iframe textarea title".split())  # text up to the end tag
+REJECTED = set("template svg object canvas video audio select button datalist".split())  # elements that may hold others
+NESTED = set("template svg object".split())  # of these, those that may hold one of their own name
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var"
+    " math semantics annotation mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mphantom menclose mtable mtr mtd".split()
 )
 GROUPS = {
     "paragraph": "p blockquote pre dd dt figcaption",
@@ -94,6 +97,18 @@ def parse(page: str | None) -> list[Node]:
     stack: list[tuple[str, int]] = [("body", 0)]  # open elements and the node that holds their text
     run: list[str] = []
     links = [0, 0]  # open links, characters inside them in the run
+    quiet = 0  # place in the stack of the outermost rejected element, 0: none is open
+    ends: dict[str, tuple[int, bool]] = {}  # per rejected name, where its next tag is and whether it is an end tag
+
+    def ended(tag: str, start: int) -> bool:
+        """Whether the element that starts before ``start`` has an end tag."""
+        place, closes = ends.get(tag, (-1, False))
+        if place < start:
+            nested = tag in NESTED
+            found = re.compile(f"</{tag}\\b" if nested else f"</?{tag}\\b", re.I).search(page, start)
+            place, closes = (found.start(), found.group(0)[1] == "/") if found else (len(page), False)
+            ends[tag] = place, closes
+        return closes
 
     def flush() -> None:
         text = " ".join("".join(run).split())
@@ -105,7 +120,7 @@ def parse(page: str | None) -> list[Node]:
         links[1] = 0
 
     def say(raw: str) -> None:
-        if raw:
+        if raw and not quiet:
             text = html.unescape(raw) if "&" in raw else raw
             run.append(text)
             if links[0]:
@@ -113,10 +128,14 @@ def parse(page: str | None) -> list[Node]:
 
     def close(k: int) -> None:
         """Close the open elements from number ``k`` on."""
-        if any(t not in INLINE for t, _ in stack[k:]):
+        nonlocal quiet
+        heard = stack[k:quiet] if quiet else stack[k:]
+        if any(t not in INLINE for t, _ in heard):
             flush()
-        links[0] -= sum(t == "a" for t, _ in stack[k:])
+        links[0] -= sum(t == "a" for t, _ in heard)
         del stack[k:]
+        if k <= quiet:
+            quiet = 0
 
     at, end = 0, len(page)
     while at < end:
@@ -141,10 +160,18 @@ def parse(page: str | None) -> list[Node]:
         if tag == "head":
             at = _head_end(page, at)
             continue
-        if tag in DROPPED:
+        if tag in RAW and not (quiet and attrs.endswith("/")):
             stop = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else end
             continue
+        if quiet or tag in REJECTED:
+            own = not attrs.endswith("/") and tag not in VOID
+            if own and (tag not in REJECTED or ended(tag, at)):
+                quiet = quiet or len(stack)
+                stack.append((tag, stack[-1][1]))
+            continue
+        if tag == "math" and attrs.endswith("/"):
+            continue
         if tag == "br":
             run.append(" ")
             continue

@@ -520,6 +520,24 @@ def test_main_text_in_other_layouts(spark):
     assert exact >= 85
 
 
+@pytest.mark.parametrize(
+    "inside, want",
+    [
+        ('<p>one</p><svg class="x"/><p>two</p>', "one two"),
+        ("<p>one <math/> half</p><p>two</p>", "one half two"),
+        ("<p>one <math><mi>x</mi><mo>=</mo><mn>2</mn></math> half</p>", "one x=2 half"),
+        ("<p>one</p><video src=a><p>two</p>", "one two"),
+        ("<button>go<p>one</p><select><option>a<p>two</p>", "go one a two"),
+        ("<p>one <svg><svg><text>no</text></svg><text>no</text><path d='m'/></svg> half</p>", "one half"),
+        ("<div><p>one</p><object><p>no</p></div><p>two</p><object></object>", "one two"),
+        ("<p>one <button><div>no</div><a href=x>no</a></button> half</p><script>if (a < b) no</script><p>two</p>", "one half two"),
+    ],
+)
+def test_parser_drops_no_text_behind_a_rejected_element(inside, want):
+    nodes = main_text.parse(f"<html><body><article>{inside}</article><p>after</p></body></html>")
+    assert " ".join(x.text for x in nodes if x.text) == want + " after"
+
+
 def test_decoding_never_keeps_below_a_rejected_node():
     nodes = main_text.parse("<div><p>a</p><div><p>b</p></div></div>")
     rng = np.random.default_rng(0)
