@@ -16,6 +16,7 @@ import json
 import re
 import struct
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-#: Words that a worker remembers; then it starts anew.
-KEPT = 500_000
+#: Words that a worker remembers, and their characters; then it starts anew.
+KEPT, KEPT_CHARS = 500_000, 16_000_000
 _NONE = int(np.iinfo(np.int64).max)
 #: Bits of a token id below the rank in one number.
 _ID_BITS = 20
@@ -44,7 +45,6 @@ class WordBpe:
         self.library.no_padding()
         model = said["model"]
         self.suffix = model["end_of_word_suffix"]
-        self.special = [t["content"] for t in said["added_tokens"]]
         self.ids: dict[str, int] = model["vocab"]
         self.text = {i: t for t, i in self.ids.items()} | {t["id"]: t["content"] for t in said["added_tokens"]}
         self.merges = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
@@ -69,8 +69,11 @@ class WordBpe:
         self.last_symbol = [self.ids[c + self.suffix] for c in chars]
         self.trie: dict = {}
         self._fill_trie()
+        self.special_of = {t["content"]: t["id"] for t in said["added_tokens"]}
+        self.special = re.compile("|".join(map(re.escape, self.special_of)))
         self.known: dict[str, bytes] = {}
         self.said: dict[str, str] = {}
+        self.known_chars = 0
 
     def _symbols(self, word: bytes) -> list[int]:
         """Ids of a word's bytes, the last one with the suffix."""
@@ -93,18 +96,29 @@ class WordBpe:
             node[-1] = i
 
     def merged(self, parts: list[int]) -> list[int]:
-        """Exact merging: the pair of lowest rank, leftmost first, until none is left."""
-        parts, size, get = list(parts), self.size, self.join.get
-        ranks = [get(a * size + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
-        while ranks and (low := min(ranks)) != _NONE:
-            at = ranks.index(low)
-            parts[at] = low & (1 << _ID_BITS) - 1
-            del parts[at + 1], ranks[at]
-            if at:
-                ranks[at - 1] = get(parts[at - 1] * size + parts[at], _NONE)
-            if at < len(ranks):
-                ranks[at] = get(parts[at] * size + parts[at + 1], _NONE)
-        return parts
+        """Exact merging: the pair of lowest rank, leftmost first, until none is left.
+
+        Parts are linked to their neighbours and pairs wait in a heap, so the work
+        is n log n; a pair whose parts have changed since is passed over.
+        """
+        parts, size, get, n = list(parts), self.size, self.join.get, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(low, k, a, b) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (low := get(a * size + b)) is not None]
+        heapify(heap)
+        while heap:
+            low, at, a, b = heappop(heap)
+            to = after[at]
+            if parts[at] != a or to == n or parts[to] != b:
+                continue
+            parts[at], parts[to] = low & (1 << _ID_BITS) - 1, -1
+            after[at] = nxt = after[to]
+            if nxt < n:
+                before[nxt] = at
+                if (up := get(parts[at] * size + parts[nxt])) is not None:
+                    heappush(heap, (up, at, parts[at], parts[nxt]))
+            if (prev := before[at]) >= 0 and (up := get(parts[prev] * size + parts[at])) is not None:
+                heappush(heap, (up, prev, parts[prev], parts[at]))
+        return [p for p in parts if p >= 0]
 
     def proposed(self, symbols: list[int]) -> list[int]:
         """Longest tokens from the left; each symbol is a token itself."""
@@ -175,25 +189,27 @@ class WordBpe:
                 out.append(_WHOLE + chunk)
         return out
 
+    def _pieces(self, chunk: str) -> Iterator[bytes | int]:
+        """What the library cuts a chunk into: words, and ids of the special tokens, which are cut out first."""
+        at = 0
+        for found in [*self.special.finditer(chunk), None]:
+            plain = chunk[at : found.start() if found else len(chunk)]
+            for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(plain)):
+                yield bytes(map(self.byte_of.__getitem__, piece))
+            if found:
+                yield self.special_of[found.group()]
+                at = found.end()
+
     def _learn(self, words: list[str], say: bool) -> None:
         """Enter words into the table: their little-endian ids, and what they decode to if asked."""
-        cut: dict[str, list[bytes] | None] = {}
-        for w in words:
-            if w[0] != _WHOLE:
-                cut[w] = [w.encode()]
-            elif any(s in w for s in self.special):
-                cut[w] = None
-            else:
-                pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(w[1:]))
-                cut[w] = [bytes(map(self.byte_of.__getitem__, p)) for p, _ in pieces]
-        fresh = list(dict.fromkeys(x for c in cut.values() if c for x in c))
-        encoded = dict(zip(fresh, self.encode_words(fresh), strict=True))
+        cut: dict[str, list[bytes | int]] = {w: list(self._pieces(w[1:])) if w[0] == _WHOLE else [w.encode()] for w in words}
+        fresh = list(dict.fromkeys(x for c in cut.values() for x in c if isinstance(x, bytes)))
+        encoded: dict[bytes | int, list[int]] = dict(zip(fresh, self.encode_words(fresh), strict=True))
+        encoded |= {i: [i] for i in self.special_of.values()}
         for w, c in cut.items():
-            if c is None:
-                ids = self.library.encode(w[1:], add_special_tokens=False).ids
-            else:
-                ids = encoded[c[0]] if len(c) == 1 else [i for x in c for i in encoded[x]]
+            ids = encoded[c[0]] if len(c) == 1 else [i for x in c for i in encoded[x]]
             self.known[w] = _U32[len(ids)].pack(*ids) if len(ids) < len(_U32) else np.array(ids, "<u4").tobytes()
+            self.known_chars += len(w)
             if say:
                 self.said[w] = " ".join(map(self.text.__getitem__, ids))
 
@@ -202,9 +218,10 @@ class WordBpe:
         for group in _bounded(texts):
             cut = [self.words(t) for t in group]
             new = set().union(*cut).difference(self.said if say else self.known)
-            if len(new) + len(self.known) > KEPT:
+            if len(new) + len(self.known) > KEPT or self.known_chars > KEPT_CHARS:
                 self.known.clear()
                 self.said.clear()
+                self.known_chars = 0
                 new = set().union(*cut)
             if new:
                 self._learn(list(new), say)

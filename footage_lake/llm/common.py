@@ -18,6 +18,50 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Elements of a block of ``running``.
+_RUN = 256
+
+
+def running(values: Column, zero: Column, plus) -> Column:
+    """Element k is ``plus`` over the elements of ``values`` before it, from ``zero``; ``plus`` is associative.
+
+    A fold that appends to an array copies it at each step, so the array is cut into
+    blocks: the totals of the blocks are run up first, then the elements of each.
+    """
+
+    def up(array: Column, first: Column, last: Column, start: Column) -> Column:
+        """Running values of the elements ``first`` to ``last``."""
+        begin = F.struct(F.array().cast("array<int>").alias("rows"), start.alias("at"))
+        step = lambda acc, k: F.struct(F.array_append(acc["rows"], acc["at"]).alias("rows"), plus(acc["at"], F.get(array, k)).alias("at"))
+        return F.aggregate(F.sequence(first, last), begin, step, lambda acc: acc["rows"])
+
+    def of_array(v: Column) -> Column:
+        n = F.size(v)
+        starts = F.sequence(F.lit(0), n - 1, F.lit(_RUN))
+        last = lambda s: F.least(s + _RUN, n) - 1
+        totals = F.transform(starts, lambda s: F.aggregate(F.sequence(s, last(s)), zero, lambda acc, k: plus(acc, F.get(v, k))))
+        before = let(totals, lambda t: up(t, F.lit(0), F.size(t) - 1, zero))
+        rows = F.flatten(F.zip_with(starts, before, lambda s, b: up(v, s, last(s), b)))
+        return F.when(n == 0, F.array().cast("array<int>")).otherwise(rows)
+
+    return let(values, of_array)
+
+
+def found_before(n: Column, holds) -> Column:
+    """How many of the indices 0 to n - 1 satisfy ``holds``, which is true for the first of them: a binary search."""
+
+    def step(acc: Column, _: Column) -> Column:
+        def halved(mid: Column) -> Column:
+            right = F.coalesce(holds(mid), F.lit(False))
+            return F.struct(F.when(right, mid + 1).otherwise(acc["low"]).alias("low"), F.when(right, acc["high"]).otherwise(mid).alias("high"))
+
+        return F.when(acc["low"] < acc["high"], let(F.floor((acc["low"] + acc["high"]) / 2).cast("int"), halved)).otherwise(acc)
+
+    start = F.struct(F.lit(0).alias("low"), n.cast("int").alias("high"))
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
+    return F.when(n > 0, F.aggregate(halvings, start, step, lambda acc: acc["low"])).otherwise(F.lit(0))
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null one as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -36,11 +80,13 @@ def id_bucket(doc_id: Column, modulus: int) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """A new path under the folder in spark.checkpoint.dir, which all executors share.
 
-    Where that is unset (a local session in tests) a local folder is used and
-    remembered in the session.
+    Unset, a session in one process gets a folder of its own, which it remembers; on a
+    cluster that is an error, as each executor would write to its own disk.
     """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("footage_lake.scratch", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("footage_lake.scratch", top)
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"

@@ -167,13 +167,29 @@ def test_bpe_equals_the_library(docs, odd, library):
 
 def test_bpe_on_random_strings(library):
     rng = np.random.default_rng(5)
-    letters = list("abcdefghij'ABC .,!?%\t\n\x0b\x0c\x1c\x85 éÉßΑΣς12三́​İ😀ñ") + ["<|endoftext|>"]
+    letters = list("abcdefghij'ABC .,!?%\t\n\x0b\x0c\x1c\x85 éÉßΑΣς12三́​İ😀ñ") + ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>"]
     made = ["".join(rng.choice(letters, rng.integers(0, 50))) for _ in range(1500)] + ["".join(rng.choice(list("thinesro"), rng.integers(1, 30))) for _ in range(1500)]
     for t, (ids, dec) in zip(made, bpe.encoder().both_ways(made), strict=True):
         want = library.encode(t, add_special_tokens=False).ids
         assert ids == np.array(want, "<u4").tobytes() and dec == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_of_very_long_words(library):
+    rng = np.random.default_rng(6)
+    for word in ("".join(rng.choice(list("thinesroa"), 200_000)), "ab" * 100_000, "é" * 50_000 + "<|endoftext|>" + "x" * 50_000):
+        (ids, _), want = next(bpe.encoder().both_ways([word])), library.encode(word, add_special_tokens=False).ids
+        assert ids == np.array(want, "<u4").tobytes()
+
+
+def test_bpe_forgets_words(library, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_CHARS", 50)
+    monkeypatch.setattr(bpe, "_GROUP", 30)
+    made = [f"word{k} other{k % 7} w{'x' * (k % 50)}" for k in range(300)]
+    for t, ids in zip(made, bpe.encoder().ids_of(made), strict=True):
+        assert ids == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert bpe.encoder().known_chars < 500
+
+
 def test_compatible_pairs_are_their_own_encoding():
     w = bpe.encoder()
     rng = np.random.default_rng(2)
