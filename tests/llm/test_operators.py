@@ -491,6 +491,41 @@ def test_language_model_scores(docs, odd):
     assert hmm.scored(empty(docs)).count() == 0
 
 
+def test_language_model_scores_by_a_plain_forward_pass(spark, docs, odd):
+    every = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    fit = hmm.fitted(every)
+    tokens = lambda t: [*(t or "").encode().lower().split(), b" "]
+    c = Counter(w for i, t in texts(every) if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for w in tokens(t))
+    ranked = sorted((w for w in c if w != b" "), key=lambda w: (-c[w], w))
+    assert fit.own == [w.decode() for w in ranked[: hmm.OWN]] and len(ranked) > 2 * hmm.OWN
+    words = sorted({w.decode() for _, t in texts(every) for w in tokens(t)})
+    tail = dict(map(tuple, spark.createDataFrame([(w,) for w in words], "w string").select("w", hmm._tail_class(F.col("w"))).collect()))
+    classes = tail | {w: k for k, w in enumerate(fit.own)}
+    once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+    discount = (once + 0.5) / (once + 2 * twice + 1)
+    n, v = Counter(), Counter()
+    for w, k in c.items():
+        n[classes[w.decode()]] += k
+        v[classes[w.decode()]] += 1
+    m = fit.model
+
+    def plain(t):
+        log, alpha = 0.0, None
+        for w in tokens(t):
+            k = classes[w.decode()]
+            alpha = (m.start if alpha is None else [sum(alpha[a] * m.move[a, b] for a in range(len(alpha))) for b in range(len(alpha))]) * m.emit[k]
+            log += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+            own = k < hmm.OWN
+            log += math.log10((1.0 if own else (c[w] - discount) / n[k]) if c[w] else (discount * v[k] / n[k] if n[k] else 1.0))
+        return log
+
+    some = [(i, t) for i, t in texts(every) if len(t or "") < 1500]
+    want = Counter((i, round(plain(t), 5)) for i, t in some)
+    got = Counter((r["doc_id"], round(r["score"], 5)) for r in hmm.scores(fit).collect())
+    assert len(some) > 50 and not want - got
+
+
 # ---- pages
 
 
