@@ -92,13 +92,36 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(frame: DataFrame) -> DataFrame:
+def stored(frame: DataFrame, path: str | None = None) -> DataFrame:
     """Write the rows to the shared folder and read them back: lineage ends here."""
-    path = shared_folder(frame.sparkSession)
+    path = path or shared_folder(frame.sparkSession)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder of ``stored`` that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def fresh_name(frame: DataFrame, name: str) -> str:
+    """``name``, made longer until no column has it."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows of keys that are broadcast at most; more are joined by a shuffle.
+FEW = 500_000
+
+
+def small(frame: DataFrame, n: int) -> DataFrame:
+    """``frame`` of ``n`` rows, to be broadcast if these are few."""
+    return F.broadcast(frame) if n <= FEW else frame
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

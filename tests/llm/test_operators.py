@@ -316,7 +316,7 @@ def test_links_in_dense_and_hot_groups(spark, monkeypatch):
             if (a ^ b).bit_count() <= 3:
                 up[root(a)] = root(b)
     want = {frozenset(p for p in prints if root(p) == r) for r in {root(p) for p in prints}}
-    for hot in (4096, 20):
+    for hot in (65_536, 20):
         monkeypatch.setattr(simhash, "HOT", hot)
         comps: dict = {}
         links = simhash.linked(frame)
@@ -341,18 +341,23 @@ def test_near_copies_and_keep_first(spark):
                 new[at] = word()
             rows.append((g * 100 + c, " ".join(new)))
         rows.append((g * 100 + 50, " ".join(base[:60] + [word() for _ in range(240)])))
-    rows += [(5000, None), (5001, ""), (5002, "x y"), (5002, "x y"), (None, "x y")]
-    frame = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id bigint, text string, sig string")
+    rows += [(5000, None), (5001, ""), (5002, "x y"), (5002, "x y"), (None, "x y"), (None, "only here"), (None, "only here")]
+    rows += [(7, "one text of this id"), (7, "and wholly another one"), (7, "and wholly another one")]
+    names = ["sig", "kept_id", "place", "near_id", "near_place", "n", "kept", "root", "first"]
+    frame = spark.createDataFrame([(i, t, *names) for i, t in rows], "doc_id bigint, text string, " + ", ".join(f"{c} string" for c in names))
     kept = simhash.keep_first(frame)
     assert kept.columns == frame.columns
-    got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect())
-    want = [(False, g * 100 + k) for g in range(12) for k in (0, 50)] + [(False, 5000), (False, 5002), (True, 0)]
-    assert got == sorted(want)
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    want = Counter((i, t) for i, t in rows if i is not None and i < 5000 and i % 100 in (0, 50))
+    want.update([(5000, None), (5002, "x y"), (None, "only here"), (7, "one text of this id"), (7, "and wholly another one")])
+    assert got == want
+    assert simhash.keep_first(empty(frame)).count() == 0
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_near_copies_are_decided_by_the_shingle_sets(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, band", [(1024, 4096), (8, 4096), (8, 5)])
+def test_near_copies_are_decided_by_the_shingle_sets(spark, monkeypatch, block, band):
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "BAND", band)
     rng = np.random.default_rng(8)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 8))
     rows, shingles = [], lambda t: {tuple(w) for w in zip(*(t.split()[k:] for k in range(5)), strict=False)}
@@ -384,10 +389,23 @@ def test_near_copies_are_decided_by_the_shingle_sets(spark, monkeypatch, block):
                 up[y] = x
     want = {rows[k][0]: rows[root(k)][0] for k in range(len(rows))}
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert dict(map(tuple, simhash.near_copies(frame).collect())) == want
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame).collect()} == want
     assert {r["doc_id"] for r in simhash.keep_first(frame).collect()} == set(want.values())
 
 
+def test_chains_keep_every_pair_within_the_distance():
+    rng = np.random.default_rng(9)
+    wide = rng.integers(0, 2**63, (400, 8)).astype(np.uint64)
+    near = wide[0] ^ np.packbits((rng.random((300, 512)) < rng.uniform(0.1, 0.35, (300, 1))).astype(np.uint8), axis=1).view(np.uint64)
+    every = np.concatenate([wide, near])
+    for distance in (0, 60, 128):
+        assert simhash._near(every, wide[0], distance).tolist() == np.flatnonzero(np.bitwise_count(every ^ wide[0]).sum(axis=1) <= distance).tolist()
+    counts = rng.integers(0, 3, (3000, 4))
+    for distance in (1, 2, 3):
+        some = np.any([simhash._chain(counts, np.full(3000, s), distance) for s in range(4)], axis=0)
+        assert (some == (counts.sum(axis=1) <= distance)).all()
+
+
 # ---- learned filters
 
 
