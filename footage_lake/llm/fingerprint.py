@@ -5,8 +5,8 @@ bucket in which quartile of the counts it lies, and for the whole text its lengt
 a logarithmic scale and two ratios of quartiles. Digests are compared bucket by bucket.
 
 The pairing of each document with the next one by id needs no global sort in one
-task: ids are cut at approximate quantiles, each range is sorted by itself, and the
-first document of a range is copied into the range before.
+task: Spark cuts the ids into ranges, each range is sorted by itself, and only the
+last document of a range waits for the first one of the range after it.
 """
 
 from __future__ import annotations
@@ -17,15 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from footage_lake.llm.common import stored
 
 #: Buckets of the digest; two bits each.
 BUCKETS = 256
-#: Documents of a range, about.
-RANGE_ROWS = 1000
-#: Ranges at most: their bounds are literals in the plan. Larger tables get longer ranges, which are streamed.
-RANGES = 8192
 #: Places of the triplets in a window of five bytes, and the salt of each.
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4))
 SALTS = (2, 3, 5, 7, 11, 13)
@@ -87,69 +87,75 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(documents: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
-    """doc_id, text and range ``part`` of each document, and copies of the first document of the next range.
+COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
-    Copies have ``copied`` true. Order is by doc_id, null ids first, then text.
-    The range after the last is the first.
-    """
-    docs = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = docs.count()
-    n_parts = min(RANGES, max(1, math.ceil(n / rows)))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n_parts for k in range(1, n_parts)] or [0.5], 10 * n_parts + 1000)).first()[0]
-    cuts = sorted(set(cuts or [])) if n_parts > 1 else []
-    # a row's range is the number of cuts under its id
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))))
-    placed = docs.withColumn("part", part.cast("int"))
-    first = placed.groupBy("part").agg(F.min(F.struct("doc_id")).alias("head"))  # a struct, as null ids come first
-    heads = {r["part"]: r["head"]["doc_id"] for r in first.collect()}
-    order = sorted(heads)
-    before = {p: order[k - 1] for k, p in enumerate(order)}
-    spark = documents.sparkSession
-    known = spark.createDataFrame([(heads[p], p, before[p]) for p in order], "head_id bigint, head_part int, to_part int")
-    copies = placed.join(
-        F.broadcast(known), (F.col("part") == F.col("head_part")) & F.col("doc_id").eqNullSafe(F.col("head_id"))
-    )
-    # of repeated ids the smallest text is the first row
-    copies = copies.groupBy("to_part", "doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.col("to_part").alias("part"))
-    return placed.withColumn("copied", F.lit(False)).unionByName(copies.withColumn("copied", F.lit(True)))
 
+def _compared(doc_id, text: str, mark: str, following: str, next_mark: str) -> tuple:
+    """The columns of a document and the one after it."""
+    new = edited(text, following)
+    of_new = digest(new)
+    sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
+    return doc_id, len(text), sha, mark, of_new, likeness(mark, of_new), likeness(mark, next_mark)
 
-def fingerprint_report(documents: DataFrame) -> DataFrame:
+
+def fingerprint_report(documents: DataFrame, ranges: int | None = None) -> DataFrame:
     """A row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    A null text counts as empty. A single document is its own next one. Repeated
-    rows are neighbours of each other; an empty table gives no rows.
+    A null text counts as empty. Order is by doc_id (of any type), null ids first;
+    rows of one id follow each other in the order of a hash of their texts. A single
+    document is its own next one. Repeated rows are neighbours of each other; an
+    empty table gives no rows; other columns are ignored. ``ranges`` is the number of
+    tasks, by default that of the input or of the session's shuffles.
     """
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    spark = documents.sparkSession
+    kind = documents.schema["doc_id"].dataType
+    docs = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if ranges is None:
+        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    # the last two only cut an id of very many rows; where they come from decides between equal rows
+    keys = ["doc_id", F.xxhash64("text"), F.spark_partition_id()]
+    names = [*COLUMNS, "part", "place", "text"]
+    types = [to_arrow_type(kind), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
+
+    def of_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of documents whose next one is here; the first and last one with their texts, place 'first' and 'last'."""
+        part = TaskContext.get().partitionId()
+        out: list[tuple] = []
+        held = None
+
+        def batch() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [[]] * len(names)
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            out.clear()
+            return made
 
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            yield from zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                mark = digest(text)
+                if held is None:
+                    out.append((doc_id, None, None, mark, None, None, None, part, "first", text))
+                else:
+                    out.append((*_compared(*held, text, mark), part, None, None))
+                held = (doc_id, text, mark)
+                if len(out) >= 2000:
+                    yield batch()
+        if held is not None:
+            out.append((held[0], None, None, held[2], None, None, None, part, "last", held[1]))
+        yield batch()
+
+    shape = f"doc_id {kind.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    ranged = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(ranges, *keys).sortWithinPartitions("doc_id", "h", "text")
+    rows = stored(ranged.select("doc_id", "text").mapInArrow(of_range, f"{shape}, part int, place string, text string"))
+    parts = sorted(r["part"] for r in rows.where("place = 'first'").select("part").collect())
+    follows = spark.createDataFrame([(p, parts[(k + 1) % len(parts)]) for k, p in enumerate(parts)], "part int, next_part int")
+    firsts = rows.where("place = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_mark"))
+    lasts = rows.where("place = 'last'").select("part", "doc_id", "text", "fingerprint").join(F.broadcast(follows), "part").join(firsts, "next_part")
+
+    def of_border(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [_compared(*row) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            columns = zip(*out, strict=True) if out else [[]] * len(COLUMNS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types[: len(COLUMNS)], strict=True)], COLUMNS)
 
-    def of_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by part, copies last: each row but the copies meets the row after it."""
-        out: list[tuple] = []
-        held = None
-        for doc_id, text, part, copied in rows_of(batches):
-            mark = digest(text)
-            if held is not None and held[2] == part and not held[3]:
-                new = edited(held[1], text)
-                of_new = digest(new)
-                sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((held[0], len(held[1]), sha, held[4], of_new, likeness(held[4], of_new), likeness(held[4], mark)))
-            held = (doc_id, text, part, copied, mark)
-            if len(out) >= 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
-
-    placed = with_next(documents)
-    sorted_rows = placed.repartition("part").sortWithinPartitions("part", "copied", "doc_id", "text").select("doc_id", "text", "part", "copied")
-    return sorted_rows.mapInArrow(
-        of_part,
-        f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
-    )
+    borders = lasts.select("doc_id", "text", "fingerprint", "next_text", "next_mark").mapInArrow(of_border, shape)
+    return rows.where("place IS NULL").select(*COLUMNS).unionByName(borders)

@@ -29,16 +29,16 @@ from footage_lake.llm.common import thinned
 #: Pages that the trees are trained on, at most, and pages composed from them.
 SAMPLE, COMPOSED = 150, 500
 TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
-#: Characters of a page that is trained on, at most.
-LONGEST = 50_000
+#: Characters of the training pages together, at most: pages are taken in the order of a hash until they reach it.
+SAMPLE_CHARS = 8_000_000
 
 # Element names of HTML and words that class, id and role attributes use.
 RAW = set("script style noscript iframe textarea title".split())  # text up to the end tag
-REJECTED = set("template svg object canvas video audio select button datalist".split())  # elements that may hold others
-NESTED = set("template svg object".split())  # of these, those that may hold one of their own name
+REJECTED = set("template svg canvas video audio select button datalist".split())  # elements that may hold others
+NESTED = set("template svg".split())  # of these, those that may hold one of their own name
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var"
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark object q rp rt ruby s samp small span strike strong sub sup time tt u var"
     " math semantics annotation mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mphantom menclose mtable mtr mtd".split()
 )
 GROUPS = {
@@ -90,8 +90,11 @@ class Node:
     link: int = 0
 
 
-def parse(page: str | None) -> list[Node]:
-    """Nodes in page order, parents first; the root is an empty box. A null page is empty."""
+def parse(page: str | None, composed: bool = False) -> list[Node]:
+    """Nodes in page order, parents first; the root is an empty box. A null page is empty.
+
+    Only pages that ``composed`` made say of their elements what is content.
+    """
     page = page or ""
     nodes = [Node("body", -1, 0)]
     stack: list[tuple[str, int]] = [("body", 0)]  # open elements and the node that holds their text
@@ -197,7 +200,7 @@ def parse(page: str | None) -> list[Node]:
             said["class"] = said.get("class", "") + " popup"
         tokens = frozenset(t for a in ("class", "id", "role", "aria-label") if a in said for t in _TOKEN.findall(said[a]))
         owner = stack[-1][1]
-        nodes.append(Node(tag, owner, nodes[owner].depth + 1, tokens, said.get("data-truth")))
+        nodes.append(Node(tag, owner, nodes[owner].depth + 1, tokens, said.get("data-truth") if composed else None))
         nodes[owner].kids.append(len(nodes) - 1)
         stack.append((tag, len(nodes) - 1))
     flush()
@@ -421,10 +424,18 @@ def composed(pages: list[str], count: int, seed: int = 3) -> list[str]:
 
 
 def _sampled(pages: DataFrame, sample: int) -> list[str]:
-    """Up to ``sample`` distinct pages in the order of a hash; the table is thinned by its count of distinct pages."""
-    n = pages.select(F.xxhash64("html").alias("h")).distinct().count()
-    few = thinned(pages, F.col("html"), sample, n).distinct()
-    return [r["html"] for r in few.orderBy(F.xxhash64("html"), "html").limit(sample).collect()]
+    """Up to ``sample`` distinct pages in the order of a hash, up to the page that brings them to ``SAMPLE_CHARS``.
+
+    The table is thinned by its count of distinct pages; lengths come to the driver
+    first, so that only the pages taken do.
+    """
+    keyed = pages.select("html", F.xxhash64("html").alias("h"))
+    few = thinned(keyed, F.col("html"), sample, keyed.select("h").distinct().count())
+    sizes = few.groupBy("h").agg(F.max(F.length("html")).alias("size")).orderBy("h").limit(sample).collect()
+    before = np.cumsum([0, *(r["size"] for r in sizes)])
+    taken = [r["h"] for r, n in zip(sizes, before, strict=False) if n < SAMPLE_CHARS]
+    rows = few.where(F.col("h").isin(taken)).groupBy("h").agg(F.min("html").alias("html")).collect() if taken else []
+    return [r["html"] for r in sorted(rows, key=lambda r: r["h"])]
 
 
 def learn(pages: DataFrame, sample: int = SAMPLE, count: int = COMPOSED) -> Trees:
@@ -433,10 +444,9 @@ def learn(pages: DataFrame, sample: int = SAMPLE, count: int = COMPOSED) -> Tree
     Where no page has one, from pages composed of the texts of any pages.
     """
     every = pages.select(F.col("html").cast("string").alias("html")).where("html is not null")
-    marked = every.where(F.col("html").rlike("(?i)<(article|main)\\b") & (F.length("html") < LONGEST))
-    rows = _sampled(marked, sample)
-    made = composed(rows or _sampled(every.select(F.left("html", F.lit(LONGEST)).alias("html")), sample), count)
-    parsed = [parse(p) for p in rows + made]
+    rows = _sampled(every.where(F.col("html").rlike("(?i)<(article|main)\\b")), sample)
+    made = composed(rows or _sampled(every, sample), count)
+    parsed = [parse(p) for p in rows] + [parse(p, True) for p in made]
     if not parsed:
         return Trees(0.0, np.zeros((0, 2**DEPTH - 1), int), np.zeros((0, 2**DEPTH - 1)), np.zeros((0, 2**DEPTH)))
     x = np.concatenate([node_features(p) for p in parsed])

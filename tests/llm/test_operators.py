@@ -118,26 +118,34 @@ def test_entropy_of_values_behind_an_equals_sign(spark):
 # ---- fingerprints
 
 
-@pytest.mark.parametrize("rows", [7, 50, 1000])
-def test_fingerprint_meets_next_document(docs, rows):
-    old = fingerprint.with_next.__defaults__
-    fingerprint.with_next.__defaults__ = (rows,)
-    try:
-        got = {r["doc_id"]: r for r in fingerprint.fingerprint_report(docs).collect()}
-    finally:
-        fingerprint.with_next.__defaults__ = old
+@pytest.mark.parametrize("ranges", [None, 1, 29, 500])
+def test_fingerprint_meets_next_document(docs, ranges):
+    got = {r["doc_id"]: r for r in fingerprint.fingerprint_report(docs, ranges).collect()}
     every = sorted(texts(docs))
     for k, (i, t) in enumerate(every):
-        new = fingerprint.edited(t, every[(k + 1) % len(every)][1])
+        after = every[(k + 1) % len(every)][1]
+        new = fingerprint.edited(t, after)
         assert got[i]["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest() and got[i]["n_chars"] == len(t)
         assert got[i]["fingerprint"] == fingerprint.digest(t) and got[i]["near_edited"] == fingerprint.likeness(fingerprint.digest(t), fingerprint.digest(new))
+        assert got[i]["near_next"] == fingerprint.likeness(fingerprint.digest(t), fingerprint.digest(after))
     assert sum(r["near_edited"] > r["near_next"] for r in got.values()) > 0.97 * len(got)
 
 
+def test_fingerprint_of_text_ids_and_one_id(spark, docs):
+    named = docs.select(F.concat(F.lit("n"), F.lpad(F.col("doc_id").cast("string"), 5, "0")).alias("doc_id"), "text")
+    plain = {f"n{r['doc_id']:05d}": tuple(r)[1:] for r in fingerprint.fingerprint_report(docs).collect()}
+    assert {r["doc_id"]: tuple(r)[1:] for r in fingerprint.fingerprint_report(named, 13).collect()} == plain
+    one = docs.select(F.lit(1).alias("doc_id"), "text")
+    rows = fingerprint.fingerprint_report(one, 13).collect()
+    assert Counter(r["n_chars"] for r in rows) == Counter(len(t) for _, t in texts(docs))
+
+
 def test_fingerprint_edge_cases(docs, odd):
     rows = fingerprint.fingerprint_report(odd).collect()
     assert len(rows) == len(ODD) and all(0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1 for r in rows)
     assert fingerprint.fingerprint_report(empty(docs)).count() == 0
+    alone = fingerprint.fingerprint_report(docs.where("doc_id = 3")).collect()
+    assert len(alone) == 1 and alone[0]["near_next"] == 1
     assert fingerprint.likeness(fingerprint.digest("abc" * 99), fingerprint.digest("abc" * 99)) == 1
 
 
@@ -567,6 +575,22 @@ def test_main_text_of_pages(spark):
     assert main_text.main_text(empty(pages)).count() == 0
 
 
+def test_foreign_truth_marks_are_not_read(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    marked = pages.withColumn("html", F.regexp_replace("html", "<(article|div|p)\\b", "<$1 data-truth='yes'"))
+    nodes = [main_text.parse(r["html"]) for r in marked.limit(5).collect()]
+    assert all(x.truth is None for p in nodes for x in p) and all(set(main_text.truths(p)) <= {0.0, 1.0} for p in nodes)
+    want = {r["page_id"]: r["text"] for r in main_text.main_text(pages).collect()}
+    assert {r["page_id"]: r["text"] for r in main_text.main_text(marked).collect()} == want
+
+
+def test_long_pages_are_trained_on(spark):
+    page = "<html><body><nav><a href=#>menu</a></nav><article>" + "<p>Some words of a long page, again and again.</p>" * 3000 + "</article><footer>end</footer></body></html>"
+    frame = spark.createDataFrame([(1, "u", page)], "page_id int, url string, html string")
+    assert main_text._sampled(frame, 5) == [page]
+    assert main_text.main_text(frame).first()["text"].startswith("Some words")
+
+
 def test_main_text_without_marked_pages_and_with_copies(spark):
     pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()][:30]
     plain = [re.sub(r"(?i)(</?)(article|main)\b", r"\1div", p) for p in pages]
@@ -578,12 +602,12 @@ def test_main_text_without_marked_pages_and_with_copies(spark):
 
 def test_main_text_in_other_layouts(spark):
     pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
-    parsed = [main_text.parse(p) for p in pages[:30] + main_text.composed(pages[:30], 250)]
+    parsed = [main_text.parse(p) for p in pages[:30]] + [main_text.parse(p, True) for p in main_text.composed(pages[:30], 250)]
     trees = main_text.boost(np.concatenate([main_text.node_features(p) for p in parsed]), np.concatenate([main_text.truths(p) for p in parsed]), np.ones(sum(map(len, parsed))))
     exact = 0
     tests = main_text.composed(pages[30:], 100, seed=77)
     for h in tests:
-        nodes = main_text.parse(h)
+        nodes = main_text.parse(h, True)
         want = " ".join(x.text for x, t in zip(nodes, main_text.truths(nodes), strict=True) if t and x.text)
         exact += main_text.decoded(nodes, trees.log_odds(main_text.node_features(nodes))) == want
     assert exact >= 85
@@ -598,7 +622,8 @@ def test_main_text_in_other_layouts(spark):
         ("<p>one</p><video src=a><p>two</p>", "one two"),
         ("<button>go<p>one</p><select><option>a<p>two</p>", "go one a two"),
         ("<p>one <svg><svg><text>no</text></svg><text>no</text><path d='m'/></svg> half</p>", "one half"),
-        ("<div><p>one</p><object><p>no</p></div><p>two</p><object></object>", "one two"),
+        ("<div><p>one</p><object>half</div><p>two</p><object></object>", "one half two"),
+        ('<p data-truth="yes">one</p><p data-truth="0">two</p>', "one two"),
         ("<p>one <button><div>no</div><a href=x>no</a></button> half</p><script>if (a < b) no</script><p>two</p>", "one half two"),
     ],
 )
