@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from footage_lake.functions.ordered import few
+
 #: Weight of a shared token by the field that it comes from.
 WEIGHTS = {"location": 0.3, "action": 0.3, "emotion": 0.2, "dialogue": 0.2}
 
@@ -20,6 +22,8 @@ def anchor_lexical(shots: DataFrame, beats: DataFrame, weights: dict[str, float]
     """The beat of highest weighted token overlap; below ``floor`` UNMATCHED.
 
     Joined on (project, field, token), so only shots and beats that share a token meet.
+    Beats of a script are few: where their tokens fit a broadcast, the shared tokens
+    of a shot are counted in its own task, and a common token makes no hot key.
     A field's share is shared tokens over the beat's tokens in it. Ties: the first beat.
     """
     w = weights or WEIGHTS
@@ -28,7 +32,7 @@ def anchor_lexical(shots: DataFrame, beats: DataFrame, weights: dict[str, float]
     b = _tokens(beats, ["project_id", "beat_id"], fields)
     size = b.groupBy("project_id", "beat_id", "field").agg(F.count("*").alias("n_beat"))
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in w.items() for x in kv]), F.col("field"))
-    common = s.join(b, ["project_id", "field", "token"]).groupBy("project_id", "shot_id", "beat_id", "field").agg(F.count("*").alias("n"))
+    common = s.join(few(b), ["project_id", "field", "token"]).groupBy("project_id", "shot_id", "beat_id", "field").agg(F.count("*").alias("n"))
     scored = common.join(size, ["project_id", "beat_id", "field"]).groupBy("project_id", "shot_id", "beat_id").agg(
         F.round(F.sum(weight * F.col("n") / F.col("n_beat")), 6).alias("confidence")
     )

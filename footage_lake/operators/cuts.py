@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from footage_lake.functions.ordered import numbered
 from footage_lake.functions.timecode import sec_to_tc, shot_id
 
 KEYS = ["project_id", "asset_id"]
@@ -169,7 +170,8 @@ def refine_long_spans(scores: DataFrame, cuts: DataFrame, regions: DataFrame, as
 def kept_times(times: Column, least: int = MIN_SHOT, tail: bool = True) -> Column:
     """Fold over sorted times: a time stays if it is ``least`` after the last that stayed; the last always does.
 
-    With ``tail`` a last span shorter than ``least`` loses the inner cut before it.
+    With ``tail`` a last span shorter than ``least`` loses the inner cut before it. What
+    stays is one time for each ``least`` of the asset at most, which bounds the array.
     """
     inner = F.slice(times, 2, F.greatest(F.size(times) - 2, F.lit(0)))
     first, last = F.get(times, F.lit(0)), F.element_at(times, -1)
@@ -199,12 +201,12 @@ def shots_from_cuts(times: DataFrame, fps: float = 24.0) -> DataFrame:
     """A row per span with its number in the asset, a shot id in the project, time codes and seconds."""
     spans = times.select(*KEYS, F.posexplode(F.slice("times", 1, F.size("times") - 1)).alias("seq", "start_us"), "times")
     spans = spans.withColumn("end_us", F.get("times", F.col("seq") + 1)).drop("times")
-    number = F.row_number().over(Window.partitionBy("project_id").orderBy("asset_id", "start_us"))
+    spans = numbered(spans, "number", ["project_id"], {"_asset": F.col("asset_id")}, ["start_us"])
     rate = lambda c: sec_to_tc(F.col(c) / 1e6, fps)
     return spans.select(
         *KEYS,
         "seq",
-        shot_id(number).alias("shot_id"),
+        shot_id(F.col("number")).alias("shot_id"),
         "start_us",
         "end_us",
         rate("start_us").alias("tc_in"),

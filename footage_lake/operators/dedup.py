@@ -7,7 +7,7 @@ join itself, so only close pairs leave it.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,13 +68,21 @@ PAIR = ["idx", "shot_id", "quality_score", "source_file", "source_path", "charac
 
 
 def _pairs(shots: DataFrame, close, value: str, related: bool) -> DataFrame:
-    side = lambda n: shots.select("project_id", "beat", F.struct(*PAIR, value).alias(n)).withColumnsRenamed({"project_id": f"{n}_project", "beat": f"{n}_beat"})
+    """Close pairs of a project's beat, the earlier row first; with an array column ``runs`` only of rows that agree in one of them."""
+    runs = "runs" in shots.columns
+    rows = shots if runs else shots.withColumn("runs", F.array(F.lit("")))
+    rows = rows.select("project_id", "beat", F.struct(*PAIR, value, "runs").alias("row"), F.posexplode("runs").alias("run", "at"))
+    side = lambda n: rows.select(*[F.col(c).alias(f"{n}_{c}") for c in ("project_id", "beat", "run", "at")], F.col("row").alias(n))
     a, b = F.col("a"), F.col("b")
-    on = (F.col("a_project") == F.col("b_project")) & (F.col("a_beat") == F.col("b_beat")) & (a["idx"] < b["idx"]) & close(a[value], b[value])
+    on = (F.col("a_project_id") == F.col("b_project_id")) & (F.col("a_beat") == F.col("b_beat")) & (F.col("a_run") == F.col("b_run")) & (F.col("a_at") == F.col("b_at"))
+    on = on & (a["idx"] < b["idx"]) & close(a[value], b[value])
+    if runs:
+        before = lambda s: F.slice(s["runs"], 1, F.col("a_run"))
+        on = on & ~F.exists(F.zip_with(before(a), before(b), lambda x, y: x == y), lambda same: same)
     if related:
         on = on & ~are_related(a, b)
     return side("a").join(side("b"), on).select(
-        F.col("a_project").alias("project_id"),
+        F.col("a_project_id").alias("project_id"),
         F.col("a_beat").alias("beat"),
         a["idx"].alias("i"),
         b["idx"].alias("j"),
@@ -87,10 +95,25 @@ def _pairs(shots: DataFrame, close, value: str, related: bool) -> DataFrame:
     )
 
 
+def _bands(length: int, most: int) -> list[tuple[int, int]]:
+    """(start, size) of ``most`` + 1 runs of like size over ``length`` places: hashes that differ in ``most`` places agree in a run."""
+    n = min(most + 1, length)
+    cuts = [k * length // n for k in range(n + 1)]
+    return [(x, y - x) for x, y in zip(cuts, cuts[1:], strict=False)]
+
+
 def hash_pairs(candidates: DataFrame, most: int = 10, mode: str = "bits", related: bool = True) -> DataFrame:
-    """Pairs of candidates in a beat whose hashes (16 hex digits) differ in ``most`` places, bits or digits."""
+    """Pairs of candidates in a beat whose hashes (16 hex digits) differ in ``most`` places, bits or digits.
+
+    Joined on a run of places that both share, so that a beat's shots do not all
+    meet; a pair counts in its first common run. From 64 bits (16 digits) on all meet.
+    """
     distance = bit_hamming if mode == "bits" else hex_hamming
-    found = _pairs(candidates.where("phash IS NOT NULL"), lambda x, y: distance(x, y) <= most, "phash", related)
+    rows = candidates.where("phash IS NOT NULL")
+    places = F.concat(*[F.lpad(F.conv(F.substring("phash", k, 8), 16, 2), 32, "0") for k in (1, 9)]) if mode == "bits" else F.col("phash")
+    length = 64 if mode == "bits" else 16
+    runs = [F.substring(places, start + 1, size) for start, size in _bands(length, most)] if most < length else [F.lit("")]
+    found = _pairs(rows.withColumn("runs", F.array(*runs)), lambda x, y: distance(x, y) <= most, "phash", related)
     return found.withColumn("distance", distance(F.col("value_a"), F.col("value_b"))).drop("value_a", "value_b")
 
 
@@ -116,21 +139,29 @@ def resolve_greedy(pairs: DataFrame) -> DataFrame:
     """Losers of the greedy walk over close pairs, with the winner, per project and beat.
 
     Pairs are taken in order of i, then j; a pair with a removed side is skipped;
-    the lower quality goes, on a tie the later; a losing i ends its row.
+    the lower quality goes, on a tie the later; a losing i ends its row. Each choice
+    depends on those before, so a beat's close pairs pass one task, which holds the
+    numbers of the removed shots only.
     """
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        gone: set = set()
-        out = []
-        for r in rows.sort_values(["i", "j"]).itertuples():
-            if r.i in gone or r.j in gone:
-                continue
-            first_wins = r.q_a >= r.q_b
-            gone.add(r.j if first_wins else r.i)
-            out.append((r.project_id, r.beat, *((r.shot_b, r.shot_a) if first_wins else (r.shot_a, r.shot_b))))
-        return pd.DataFrame(out, columns=["project_id", "beat", "shot_id", "kept_shot"])
-
-    return pairs.groupBy("project_id", "beat").applyInPandas(walk, "project_id string, beat string, shot_id string, kept_shot string")
+    names = ["project_id", "beat", "shot_id", "kept_shot"]
+
+    def of_task(batches):
+        group, gone = None, set()
+        for b in batches:
+            out = []
+            for project, beat, i, j, shot_a, shot_b, q_a, q_b in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (project, beat) != group:
+                    group, gone = (project, beat), set()
+                if i in gone or j in gone:
+                    continue
+                first_wins = q_a >= q_b
+                gone.add(j if first_wins else i)
+                out.append((project, beat, *((shot_b, shot_a) if first_wins else (shot_a, shot_b))))
+            columns = zip(*out, strict=True) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names)
+
+    rows = pairs.select("project_id", F.col("beat").cast("string").alias("beat"), "i", "j", F.col("shot_a").cast("string"), F.col("shot_b").cast("string"), "q_a", "q_b")
+    return rows.repartition("project_id", "beat").sortWithinPartitions("project_id", "beat", "i", "j").mapInArrow(of_task, ", ".join(f"{n} string" for n in names))
 
 
 def drop_losers(candidates: DataFrame, losers: DataFrame, level: str) -> DataFrame:

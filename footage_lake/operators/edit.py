@@ -1,18 +1,24 @@
 """Edit decisions and the duration budget.
 
 Decisions have project_id, seq, shot_id, speed, notes and more; shots have
-duration_sec, fps, state, status, quality_score, tags, camera_movement. The folds of
-the extension walk one project's ordered array, so their size is bounded by the
-decisions of one project.
+duration_sec, fps, state, status, quality_score, tags, camera_movement. A decision
+without a shot stays as it is and counts by its time codes. The extension depends on
+what was written before, so its rows are walked project by project in one pass that
+holds a total only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from footage_lake.functions.binding import let
-from footage_lake.functions.timecode import act_number, format_speed, parse_duration, parse_speed, scene_number, tc_span
+from footage_lake.functions.ordered import numbered
+from footage_lake.functions.timecode import act_number, parse_duration, parse_speed, scene_number, tc_span
 from footage_lake.operators.dedup import ALTERNATE, CORE, PROTECTED, REVIEW
 
 SLOW_TAGS = ["升格", "子弹时间", "bullet_time", "slow_motion", "慢动作"]
@@ -29,9 +35,9 @@ def edit_pools(shots: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def narrative_order(shots: DataFrame) -> DataFrame:
     """Number by act, scene, beat and time code in the project."""
-    w = Window.partitionBy("project_id").orderBy("act_no", "scene_no", "beat", "tc_in", "shot_id")
-    rows = shots.withColumn("act_no", act_number(F.col("act"))).withColumn("scene_no", scene_number(F.col("beat")))
-    return rows.withColumn("narrative_no", F.row_number().over(w))
+    place = {"act_no": act_number(F.col("act")), "scene_no": scene_number(F.col("beat")), "of_beat": F.col("beat")}
+    rows = shots.withColumns({k: place[k] for k in ("act_no", "scene_no")})
+    return numbered(rows, "narrative_no", ["project_id"], place, ["tc_in", "shot_id"])
 
 
 def default_decisions(shots: DataFrame) -> DataFrame:
@@ -51,15 +57,17 @@ def decisions_from_responses(responses: DataFrame, shots: DataFrame) -> DataFram
 
 
 def _with_shot(decisions: DataFrame, shots: DataFrame, columns: list[str]) -> DataFrame:
-    return decisions.join(shots.select("project_id", "shot_id", *[F.col(c).alias(f"s_{c}") for c in columns]), ["project_id", "shot_id"])
+    """Decisions with columns ``s_*`` of their shots, null where there is no shot; ``s_found`` tells."""
+    s = shots.select("project_id", "shot_id", *[F.col(c).alias(f"s_{c}") for c in columns], F.lit(True).alias("s_found"))
+    return decisions.join(s, ["project_id", "shot_id"], "left").withColumn("s_found", F.coalesce("s_found", F.lit(False)))
 
 
 def protect(decisions: DataFrame, shots: DataFrame) -> DataFrame:
     """Deletes of protected and review shots play at 1x, other deletes and unknown shots go."""
-    rows = _with_shot(decisions, shots, ["status"])
-    cut, held = F.col("speed") == DELETE, F.col("s_status").isin(*HELD)
+    rows = _with_shot(decisions, shots, ["status"]).where("s_found")
+    cut, held = F.col("speed") == DELETE, F.coalesce(F.col("s_status").isin(*HELD), F.lit(False))
     notes = F.when(cut & held, F.concat("notes", F.lit(" [保护素材，不删除]"))).otherwise(F.col("notes"))
-    return rows.where(~cut | held).withColumn("notes", notes).withColumn("speed", F.when(cut, "1x").otherwise(F.col("speed"))).drop("s_status")
+    return rows.where(~cut | held).withColumn("notes", notes).withColumn("speed", F.when(cut, "1x").otherwise(F.col("speed"))).drop("s_status", "s_found")
 
 
 def guard_speed(decisions: DataFrame, shots: DataFrame, min_fps: float = 60.0) -> DataFrame:
@@ -68,7 +76,7 @@ def guard_speed(decisions: DataFrame, shots: DataFrame, min_fps: float = 60.0) -
     slow = (parse_speed(F.col("speed")) < 1) & (F.col("s_fps") < min_fps) & (F.coalesce("s_state", F.lit("")) != "PROCESSED")
     slow = F.coalesce(slow, F.lit(False))
     notes = F.when(slow, F.concat("notes", F.lit(" [帧率不足，禁止升格]"))).otherwise(F.col("notes"))
-    return rows.withColumn("notes", notes).withColumn("speed", F.when(slow, "1x").otherwise(F.col("speed"))).drop("s_fps", "s_state")
+    return rows.withColumn("notes", notes).withColumn("speed", F.when(slow, "1x").otherwise(F.col("speed"))).drop("s_fps", "s_state", "s_found")
 
 
 def played(duration: Column, speed: Column) -> Column:
@@ -77,38 +85,48 @@ def played(duration: Column, speed: Column) -> Column:
     return F.when(m > 0, duration / m)
 
 
+def _length(rows: DataFrame) -> Column:
+    """Seconds that a decision plays: of its shot, else of its time codes; 0 where it does not play."""
+    return F.coalesce(played(F.when(F.col("s_found"), F.col("s_duration_sec")).otherwise(tc_span(F.col("tc_in"), F.col("tc_out"))), F.col("speed")), F.lit(0.0))
+
+
 def projected_duration(decisions: DataFrame, shots: DataFrame | None = None) -> DataFrame:
-    """Total per project, by the shots' seconds, or by time codes at 24 frames where none are given."""
+    """Total per project, by the shots' seconds, or by time codes at 24 frames where there is no shot or none are given."""
     if shots is None:
         rows = decisions.withColumn("len", played(tc_span(F.col("tc_in"), F.col("tc_out")), F.col("speed")))
     else:
-        rows = _with_shot(decisions, shots, ["duration_sec"]).withColumn("len", played(F.col("s_duration_sec"), F.col("speed")))
+        rows = _with_shot(decisions, shots, ["duration_sec"])
+        rows = rows.withColumn("len", _length(rows))
     return rows.groupBy("project_id").agg(F.round(F.coalesce(F.sum("len"), F.lit(0.0)), 6).alias("total_sec"))
 
 
 def compress_speed(decisions: DataFrame, shots: DataFrame) -> DataFrame:
-    """Every unprotected decision slower than 2x goes to 200 %."""
+    """Every unprotected decision that has a shot and is slower than 2x goes to 200 %."""
     rows = _with_shot(decisions, shots, ["status"])
-    up = ~F.coalesce(F.col("s_status"), F.lit("")).isin(*HELD) & F.coalesce(parse_speed(F.col("speed")) < 2, F.lit(False))
+    up = F.col("s_found") & ~F.coalesce(F.col("s_status"), F.lit("")).isin(*HELD) & F.coalesce(parse_speed(F.col("speed")) < 2, F.lit(False))
     notes = F.when(up, F.concat("notes", F.lit(" [自动压缩: 提速到200%以控制总时长]"))).otherwise(F.col("notes"))
-    return rows.withColumn("notes", notes).withColumn("speed", F.when(up, "200%").otherwise(F.col("speed"))).drop("s_status")
+    return rows.withColumn("notes", notes).withColumn("speed", F.when(up, "200%").otherwise(F.col("speed"))).drop("s_status", "s_found")
 
 
 def compress_drop(decisions: DataFrame, shots: DataFrame, most: Column) -> DataFrame:
-    """Unprotected decisions go by rising quality until the project's total is at most ``most``.
+    """Unprotected shots go, with all their decisions, by rising quality until the project's total is at most ``most``.
 
-    The total only falls, so what goes is a prefix of that order: a row goes if the
-    total without the rows before it is still too long. ``most`` may read project columns.
+    The total only falls, so what goes is a prefix of that order: a shot goes if the
+    total without the shots before it is still too long. Decisions without a shot
+    have quality 0. ``most`` may read project columns.
     """
     rows = _with_shot(decisions, shots, ["status", "duration_sec", "quality_score"])
-    rows = rows.withColumn("len", F.coalesce(played(F.col("s_duration_sec"), F.col("speed")), F.lit(0.0)))
-    rows = rows.withColumn("held", F.coalesce(F.col("s_status"), F.lit("")).isin(*HELD))
-    w = Window.partitionBy("project_id")
-    before = w.orderBy("s_quality_score", "seq", "shot_id").rowsBetween(Window.unboundedPreceding, -1)
-    gone = F.coalesce(F.sum(F.when(~F.col("held"), F.col("len"))).over(before), F.lit(0.0))
-    too_long = F.round(F.sum("len").over(w) - gone, 9) > most
-    kept = rows.withColumn("goes", ~F.col("held") & too_long).where("NOT goes")
-    return kept.drop("goes", "len", "held", "s_status", "s_duration_sec", "s_quality_score")
+    rows = rows.withColumn("len", _length(rows)).withColumn("most", most)
+    held = F.coalesce(F.col("s_status"), F.lit("")).isin(*HELD)
+    of_shot = rows.groupBy("project_id", "shot_id").agg(
+        F.sum("len").alias("len"), F.min("seq").alias("first_seq"), F.max(F.coalesce("s_quality_score", F.lit(0.0))).alias("quality"), F.max(held).alias("held"), F.max("most").alias("most")
+    )
+    of_project = Window.partitionBy("project_id")
+    before = of_project.orderBy("quality", "first_seq", "shot_id").rowsBetween(Window.unboundedPreceding, -1)
+    gone = F.coalesce(F.sum(F.when(F.col("held"), 0.0).otherwise(F.col("len"))).over(before), F.lit(0.0))
+    ranked = of_shot.withColumn("too_long", F.round(F.sum("len").over(of_project) - gone, 9) > F.col("most"))
+    dropped = ranked.where("too_long AND NOT held").select("project_id", "shot_id")
+    return decisions.join(dropped, ["project_id", "shot_id"], "left_anti")
 
 
 def is_special_slow(tags: Column, fps: Column, movement: Column, min_fps: float = 60.0) -> Column:
@@ -120,74 +138,112 @@ def is_special_slow(tags: Column, fps: Column, movement: Column, min_fps: float
 def slow_caps(decisions: DataFrame, shots: DataFrame, min_fps: float = 60.0) -> DataFrame:
     """How far each decision's shot may be stretched: 4x, 1.5x next to two specials, 1x under ``min_fps``; null: not at all."""
     rows = _with_shot(decisions, shots, ["duration_sec", "fps", "state", "tags", "camera_movement"])
-    rows = rows.withColumn("special", is_special_slow(F.col("s_tags"), F.col("s_fps"), F.col("s_camera_movement"), min_fps))
+    special = F.coalesce(is_special_slow(F.col("s_tags"), F.col("s_fps"), F.col("s_camera_movement"), min_fps), F.lit(False))
+    rows = rows.withColumn("special", F.col("s_found") & special)
     w = Window.partitionBy("project_id").orderBy("seq", "shot_id").rowsBetween(-2, 2)
     near = F.sum(F.col("special").cast("int")).over(w) - F.col("special").cast("int")
     cap = F.when(F.col("s_fps") < min_fps, 1.0).when(F.col("special") & (near >= 2), 1.5).when(F.col("special"), 4.0).otherwise(2.0)
-    return rows.withColumn("cap", F.when(F.coalesce("s_state", F.lit("")) != "PROCESSED", cap)).drop("special", "s_fps", "s_state", "s_tags", "s_camera_movement")
+    may = F.col("s_found") & (F.coalesce("s_state", F.lit("")) != "PROCESSED")
+    return rows.withColumn("cap", F.when(may, cap)).drop("special", "s_fps", "s_state", "s_tags", "s_camera_movement")
 
 
-def extend_slow(decisions: DataFrame, shots: DataFrame, least: DataFrame, min_fps: float = 60.0) -> DataFrame:
-    """In order, shots are slowed up to their caps until the project lasts ``least`` (project_id, target_min).
+def walked(rows: DataFrame, order: list[str], reads: list[str], start, step, adds: dict[str, pa.DataType]) -> DataFrame:
+    """Rows of each project one after the other, with the columns ``adds`` that ``step`` gives; only its state is held.
 
-    The written speed is rounded and what it plays feeds the next step, so this is
-    a fold over the project's decisions.
+    ``start`` makes the state from the project's first values of ``reads``, and
+    ``step`` a new state and the added values from the state and a row's. Steps
+    depend on each other, so a project is one task.
     """
+    names = [*rows.columns, *adds]
+    at = [rows.columns.index(c) for c in ("project_id", *reads)]
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        project, state = object(), None
+        for b in batches:
+            out = []
+            for p, *values in zip(*(b.column(k).to_pylist() for k in at), strict=True):
+                if p != project:
+                    project, state = p, start(*values)
+                state, added = step(state, *values)
+                out.append(added)
+            more = [pa.array([r[k] for r in out], t) for k, t in enumerate(adds.values())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names)
+
+    kinds = {pa.string(): "string", pa.bool_(): "boolean", pa.float64(): "double"}
+    shape = rows.schema
+    for n, t in adds.items():
+        shape = shape.add(n, kinds[t])
+    return rows.repartition("project_id").sortWithinPartitions("project_id", *order).mapInArrow(of_task, shape)
+
+
+def written_speed(x: float) -> tuple[str, float]:
+    """A speed as ``format_speed`` writes it, and what that text says."""
+    if abs(x - 1) < 0.01:
+        return "1x", 1.0
+    if x < 1:
+        return f"{round(x * 100)}%", round(x * 100) / 100
+    if abs(x - round(x)) < 0.01:
+        return f"{round(x)}x", float(round(x))
+    tenth = Decimal(repr(x)).quantize(Decimal("0.1"), ROUND_HALF_UP)
+    return f"{tenth}x", float(tenth)
+
+
+def _slowed(decisions: DataFrame, shots: DataFrame, least: Column, min_fps: float) -> DataFrame:
+    """E8, with ``p_played``: the seconds that each decision then plays."""
     rows = slow_caps(decisions, shots, min_fps)
+    total = F.round(F.sum("p_was").over(Window.partitionBy("project_id")), 6)
+    rows = rows.withColumn("p_was", _length(rows)).withColumns({"p_total": total, "p_least": least})
     m = parse_speed(F.col("speed"))
-    now = F.col("s_duration_sec") / F.when(m > 0, m).otherwise(F.lit(1.0))
-    lens = F.struct(now.alias("now"), F.coalesce(played(F.col("s_duration_sec"), F.col("speed")), F.lit(0.0)).alias("was"))
-    row = F.struct("seq", "shot_id", "speed", F.col("s_duration_sec").alias("dur"), "cap", lens.alias("lens"))
-    sorted_rows = rows.groupBy("project_id").agg(F.sort_array(F.collect_list(row)).alias("rows")).join(least, "project_id")
-    length = lambda d, s: F.coalesce(played(d, s), F.lit(0.0))
-    total = F.aggregate("rows", F.lit(0.0), lambda acc, r: acc + r["lens"]["was"])
-
-    def step(acc: Column, r: Column) -> Column:
-        def chosen(x: Column) -> Column:
-            deficit = F.col("target_min") - acc["total"]
-            room = r["dur"] * r["cap"] - x["now"]
-            use = F.coalesce((deficit > 0) & (room > 0), F.lit(False))
-            speed = F.when(use, format_speed(r["dur"] / (x["now"] + F.least(room, deficit)))).otherwise(r["speed"])
-            return F.struct(x["now"], speed.alias("speed"), use.alias("slowed"), x["was"])
-
-        def moved(x: Column) -> Column:
-            after = acc["total"] - x["was"] + F.when(x["slowed"], length(r["dur"], x["speed"])).otherwise(x["was"])
-            return F.struct(after.alias("total"), F.array_append(acc["out"], F.struct(r["shot_id"], x["speed"], x["slowed"])).alias("out"))
-
-        return let(let(r["lens"], chosen), moved)
-
-    empty = F.array().cast("array<struct<shot_id:string,speed:string,slowed:boolean>>")
-    fold = F.aggregate("rows", F.struct(F.col("total").alias("total"), empty.alias("out")), step)
-    done = sorted_rows.withColumn("total", total).select("project_id", fold.alias("f")).select("project_id", F.explode("f.out").alias("r"))
-    new = done.select("project_id", F.col("r.shot_id").alias("shot_id"), F.col("r.speed").alias("new_speed"), F.col("r.slowed").alias("slowed"))
-    out = decisions.join(new, ["project_id", "shot_id"])
-    notes = F.when(F.col("slowed"), F.concat("notes", F.lit(" [自动延展: 慢放以补足时长]"))).otherwise(F.col("notes"))
-    return out.withColumn("notes", notes).withColumn("speed", F.col("new_speed")).drop("new_speed", "slowed")
+    rows = rows.withColumn("p_now", F.col("s_duration_sec") / F.when(m > 0, m).otherwise(F.lit(1.0)))
 
+    def step(total, speed, duration, cap, now, was, _, least):
+        deficit = least - total
+        if cap is None or duration is None or deficit <= 0 or (room := duration * cap - now) <= 0:
+            return total, (speed, False, was)
+        said, x = written_speed(duration / (now + min(room, deficit)))
+        plays = duration / x if x > 0 else 0.0
+        return total - was + plays, (said, True, plays)
 
-def extend_supplement(decisions: DataFrame, shots: DataFrame, supplements: DataFrame, targets: DataFrame) -> DataFrame:
-    """Supplements in narrative order that are not used yet and fit under target_max, until target_min is met.
+    reads = ["speed", "s_duration_sec", "cap", "p_now", "p_was", "p_total", "p_least"]
+    adds = {"p_speed": pa.string(), "p_slowed": pa.bool_(), "p_played": pa.float64()}
+    done = walked(rows, ["seq", "shot_id"], reads, lambda *v: v[5], step, adds)
+    notes = F.when(F.col("p_slowed"), F.concat("notes", F.lit(" [自动延展: 慢放以补足时长]"))).otherwise(F.col("notes"))
+    return done.withColumn("notes", notes).withColumn("speed", F.col("p_speed")).select(*decisions.columns, "p_played")
 
-    ``targets`` has project_id, target_min, target_max. New decisions have seq 0.
+
+def extend_slow(decisions: DataFrame, shots: DataFrame, least: DataFrame, min_fps: float = 60.0) -> DataFrame:
+    """In order, shots are slowed up to their caps until the project lasts ``least`` (project_id, target_min).
+
+    The written speed is rounded and what it plays feeds the next step. Decisions
+    are told apart by their place, so a shot that is used twice is slowed twice.
     """
+    rows = decisions.join(least.select("project_id", F.col("target_min").alias("p_lo")), "project_id")
+    return _slowed(rows, shots, F.col("p_lo"), min_fps).select(decisions.columns)
+
+
+def _supplements(decisions: DataFrame, totals: DataFrame, supplements: DataFrame) -> DataFrame:
+    """The new decisions; ``totals`` has project_id, total_sec, target_min, target_max."""
     unused = narrative_order(supplements.join(decisions.select("project_id", "shot_id"), ["project_id", "shot_id"], "left_anti"))
-    row = F.struct("narrative_no", "shot_id", F.col("duration_sec").alias("dur"))
-    rows = unused.groupBy("project_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    rows = rows.join(targets, "project_id").join(projected_duration(decisions, shots), "project_id", "left").withColumn("total_sec", F.coalesce("total_sec", F.lit(0.0)))
-
-    def step(acc: Column, r: Column) -> Column:
-        use = (acc["total"] < F.col("target_min")) & (acc["total"] + r["dur"] <= F.col("target_max"))
-        return F.struct(
-            F.when(use, acc["total"] + r["dur"]).otherwise(acc["total"]).alias("total"),
-            F.when(use, F.array_append(acc["out"], r["shot_id"])).otherwise(acc["out"]).alias("out"),
-        )
-
-    fold = F.aggregate("rows", F.struct(F.col("total_sec").alias("total"), F.array().cast("array<string>").alias("out")), step, lambda acc: acc["out"])
-    used = rows.select("project_id", F.explode(fold).alias("shot_id")).join(supplements, ["project_id", "shot_id"])
-    new = used.select(
+    rows = unused.select("project_id", "shot_id", "source_file", "tc_in", "tc_out", "duration_sec", "narrative_no").join(totals, "project_id")
+
+    def step(total, duration, least, most, _):
+        use = duration is not None and total < least and total + duration <= most
+        return (total + duration if use else total), (use,)
+
+    used = walked(rows, ["narrative_no"], ["duration_sec", "target_min", "target_max", "total_sec"], lambda *v: v[3], step, {"used": pa.bool_()})
+    return used.where("used").select(
         "project_id", F.lit(0).alias("seq"), "shot_id", "source_file", "tc_in", "tc_out", F.lit("1x").alias("speed"), F.lit("补充插入").alias("technique"),
         F.lit("硬切").alias("transition"), F.lit("保留原声").alias("audio"), F.lit("补充时长 / 缺失情节点").alias("purpose"), F.lit("由时长不足自动从备选池补充").alias("notes"),
     )
+
+
+def extend_supplement(decisions: DataFrame, shots: DataFrame, supplements: DataFrame, targets: DataFrame) -> DataFrame:
+    """Supplements in narrative order that are not used yet and fit under target_max, until target_min is met.
+
+    ``targets`` has project_id, target_min, target_max. New decisions have seq 0.
+    """
+    totals = targets.join(projected_duration(decisions, shots), "project_id", "left").select("project_id", F.coalesce("total_sec", F.lit(0.0)).alias("total_sec"), "target_min", "target_max")
+    new = _supplements(decisions, totals, supplements)
     return decisions.select(new.columns).unionByName(new)
 
 
@@ -200,19 +256,25 @@ def targets(projects: DataFrame, text: str = "target") -> DataFrame:
 def fit_duration(decisions: DataFrame, shots: DataFrame, supplements: DataFrame, budget: DataFrame, min_fps: float = 60.0) -> DataFrame:
     """Projects over the band are compressed, under it extended, the others left alone.
 
-    Whether to act is judged by time codes at 24 frames, the steps by the shots' seconds.
+    Whether to act is judged by time codes at 24 frames, the steps by the shots'
+    seconds. A project without decisions is extended from nothing.
     """
-    judged = budget.join(projected_duration(decisions), "project_id", "left")
-    mode = F.when(F.col("target_sec") <= 0, "none").when(F.col("total_sec") > F.col("target_max"), "compress").when(F.coalesce("total_sec", F.lit(0.0)) < F.col("target_min"), "extend").otherwise("none")
-    judged = judged.select("project_id", "target_min", "target_max", mode.alias("mode"))
-    of_mode = lambda m: decisions.join(judged.where(F.col("mode") == m).select("project_id"), "project_id", "left_semi")
-    faster = compress_speed(of_mode("compress"), shots).join(judged.select("project_id", "target_max"), "project_id")
-    shorter = compress_drop(faster, shots, F.col("target_max")).drop("target_max")
-    slower = extend_slow(of_mode("extend"), shots, judged.select("project_id", "target_min"), min_fps)
-    band = judged.where("mode = 'extend'").select("project_id", "target_min", "target_max")
-    longer = extend_supplement(slower, shots, supplements, band)
-    kept = decisions.join(judged.where("mode IN ('compress', 'extend')").select("project_id"), "project_id", "left_anti")
-    return kept.unionByName(shorter.select(kept.columns)).unionByName(longer.select(kept.columns))
+    band = budget.select("project_id", "target_sec", "target_min", "target_max").join(projected_duration(decisions), "project_id", "left")
+    total = F.coalesce("total_sec", F.lit(0.0))
+    acts = F.when(F.col("target_sec") <= 0, "none").when(total > F.col("target_max"), "compress").when(total < F.col("target_min"), "extend").otherwise("none")
+    band = band.select("project_id", F.col("target_min").alias("p_lo"), F.col("target_max").alias("p_hi"), acts.alias("p_mode"))
+    marked = decisions.join(band, "project_id", "left")
+    of_mode = lambda m: marked.where(F.coalesce("p_mode", F.lit("none")) == m)
+    shorter = compress_drop(compress_speed(of_mode("compress"), shots), shots, F.col("p_hi"))
+    slower = _slowed(of_mode("extend"), shots, F.col("p_lo"), min_fps)
+    lengths = slower.groupBy("project_id").agg(F.round(F.sum("p_played"), 6).alias("total_sec"))
+    wanted = band.where("p_mode = 'extend'").join(lengths, "project_id", "left")
+    totals = wanted.select("project_id", F.coalesce("total_sec", F.lit(0.0)).alias("total_sec"), F.col("p_lo").alias("target_min"), F.col("p_hi").alias("target_max"))
+    new = _supplements(decisions, totals, supplements)
+    out = of_mode("none").select(new.columns)
+    for more in (shorter, slower, new):
+        out = out.unionByName(more.select(new.columns))
+    return out
 
 
 def final_order(decisions: DataFrame) -> DataFrame:
@@ -228,6 +290,6 @@ def warnings_text(warnings: DataFrame) -> DataFrame:
 
 
 def request_batches(rows: DataFrame, size: int, order: str) -> DataFrame:
-    """Batch number of each row in the project."""
-    w = Window.partitionBy("project_id").orderBy(order)
-    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    """Batch number of each row in the project, ordered by a number or text column."""
+    block = F.floor(F.col(order) / 1000) if isinstance(rows.schema[order].dataType, NumericType) else F.substring(order, 1, 3)
+    return numbered(rows, "batch", ["project_id"], {"_block": block}, [order]).withColumn("batch", F.floor((F.col("batch") - 1) / size).cast("int"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from footage_lake.functions.binding import let
 from footage_lake.operators.dedup import dot, unit
 
 KEYS = ["project_id", "asset_id"]
@@ -56,9 +57,7 @@ def nearest_person(faces: DataFrame, persons: DataFrame, least: float = 0.65, mo
         raise ValueError(f"the gallery has more than {most_persons} persons")
     held = persons.groupBy(F.lit(1).alias("one")).agg(F.sort_array(F.collect_list(F.struct("person", "centroid"))).alias("gallery"))
     rows = faces.withColumn("one", F.lit(1)).join(F.broadcast(held), "one")
-    v = unit(F.col("embedding"))
-    scored = F.transform("gallery", lambda g: F.struct(dot(F.col("v"), g["centroid"]).alias("sim"), g["person"].alias("person")))
-    best = F.array_max(scored)
-    rows = rows.withColumn("v", v).withColumn("best", best)
+    scored = lambda v: F.transform("gallery", lambda g: F.struct(dot(v, g["centroid"]).alias("sim"), g["person"].alias("person")))
+    rows = rows.select("face_id", let(unit(F.col("embedding")), lambda v: F.array_max(scored(v))).alias("best"))
     sim = F.col("best.sim")
     return rows.select("face_id", F.when(F.col("best.sim") >= least, F.col("best.person")).otherwise(UNKNOWN).alias("person"), sim.alias("similarity"))

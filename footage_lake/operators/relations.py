@@ -56,10 +56,16 @@ def relations(shots: DataFrame, within_asset: bool = False, order: str = "tc_in"
     The order runs over a project and so links the last shot of a file with the
     first of the next, unless ``within_asset``.
     """
-    keys = ["project_id", "source_file"] if within_asset else ["project_id"]
-    w = Window.partitionBy(*keys).orderBy("source_file", order, "shot_id")
+    keys = ["project_id", "source_file"]
+    w = Window.partitionBy(*keys).orderBy(order, "shot_id")
     attrs = F.struct("shot_id", *ATTRIBUTES)
-    pairs = shots.select("project_id", attrs.alias("b"), F.lag(attrs).over(w).alias("a")).where("a IS NOT NULL")
+    pairs = shots.select("project_id", F.lag(attrs).over(w).alias("a"), attrs.alias("b")).where("a IS NOT NULL")
+    if not within_asset:
+        # of each file the first and last shot; only these are ordered over the project
+        at = F.struct(F.col(order), F.col("shot_id"))
+        ends = shots.groupBy(*keys).agg(F.min_by(attrs, at).alias("b"), F.max_by(attrs, at).alias("last"))
+        across = ends.select("project_id", F.lag("last").over(Window.partitionBy("project_id").orderBy("source_file")).alias("a"), "b")
+        pairs = pairs.unionByName(across.where("a IS NOT NULL"))
     return pairs.select("project_id", F.col("a.shot_id").alias("src_shot"), F.col("b.shot_id").alias("dst_shot"), classify_pair(F.col("a"), F.col("b")).alias("r")).select(
         "project_id", "src_shot", "dst_shot", "r.*"
     )

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 # The forms of a scene heading, at the start of a line.
 HEADINGS = [
-    *[rf"第\s*[一二三四五六七八九十百零\d]+\s*{unit}[：:.\s]" for unit in "场章节回集幕"],
+    r"第\s*[一二三四五六七八九十百零\d]+\s*场[：:.\s]",
+    r"第\s*[一二三四五六七八九十百零\d]+\s*章[：:.\s]",
+    r"第\s*[一二三四五六七八九十百零\d]+\s*节[：:.\s]",
+    r"第\s*[一二三四五六七八九十百零\d]+\s*回[：:.\s]",
+    r"第\s*[一二三四五六七八九十百零\d]+\s*集[：:.\s]",
+    r"第\s*[一二三四五六七八九十百零\d]+\s*幕[：:.\s]",
     r"场\s*\d+\s*[：:.\s]",
     r"(?:内景|外景|日内|日外|夜内|夜外|晨内|晨外)[\.\\/]",
     r"(?:INT|EXT|INT\./EXT|EXT\./INT)[\.\\/\s]",

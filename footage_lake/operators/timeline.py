@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from footage_lake.functions.ordered import sums_before
 from footage_lake.functions.timecode import export_speed, reel_name, sec_to_tc, tc_to_sec
 
 
@@ -24,9 +25,8 @@ def layout(rows: DataFrame, fps: float = 24.0) -> DataFrame:
     speed = export_speed(F.col("speed"))
     length = (tc_to_sec(F.col("tc_out"), F.col("fps")) - tc_to_sec(F.col("tc_in"), F.col("fps"))) / F.when(speed != 0, speed).otherwise(1.0)
     rows = rows.withColumn("speed_x", speed).withColumn("len_us", F.round(F.coalesce(length, F.lit(0.0)) * 1e6).cast("bigint"))
-    w = Window.partitionBy("project_id").orderBy("sequence", "shot_id")
-    rows = rows.withColumn("start_us", F.coalesce(F.sum("len_us").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("end_us", F.col("start_us") + F.col("len_us")).withColumn("entry", F.row_number().over(w))
+    rows = sums_before(rows, ["project_id"], {"_block": F.floor(F.col("sequence") / 1000)}, ["sequence", "shot_id"], {"start_us": F.col("len_us"), "entry": F.lit(1)})
+    rows = rows.withColumn("end_us", F.col("start_us") + F.col("len_us")).withColumn("entry", (F.col("entry") + 1).cast("int"))
     return rows.withColumn("rec_in", sec_to_tc(F.col("start_us") / 1e6, fps)).withColumn("rec_out", sec_to_tc(F.col("end_us") / 1e6, fps))
 
 

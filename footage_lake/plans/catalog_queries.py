@@ -2,32 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footage_lake.functions import timecode as tc
-from footage_lake.operators import anchors, cuts, dedup, edit, labels, people, quality, relations, scripts, segments, selection, timeline
+from footage_lake.operators import anchors, cuts, dedup, edit, labels, people, quality, relations, segments, selection, timeline
 from footage_lake.plans import bindings as b
+from footage_lake.plans.registry import query
 from footage_lake.sources import adapters, catalog
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its DuckDB text."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 # ---------------------------------------------------------------- cuts
 
 BASE = f"""{b.FS},
@@ -114,10 +96,10 @@ def cut_activity_regions(spark, d):
     return cuts.activity_regions(b.frame_scores(spark, d)).withColumn("peak", F.round("peak", 6))
 
 
-@query(f"WITH {REGIONS} SELECT project_id, asset_id, count(*) AS n_outside FROM fs WHERE {OUTSIDE.format(p='fs')} GROUP BY ALL")
+@query(f"WITH {REGIONS} SELECT project_id, asset_id, t_us FROM fs WHERE {OUTSIDE.format(p='fs')}")
 def cut_outside_regions(spark, d):
     fs = b.frame_scores(spark, d)
-    return cuts.outside_regions(fs, cuts.activity_regions(fs)).groupBy(*cuts.KEYS).agg(F.count("*").alias("n_outside"))
+    return cuts.outside_regions(fs, cuts.activity_regions(fs)).select(*cuts.KEYS, "t_us")
 
 
 @query(f"WITH {PEAKS} SELECT project_id, asset_id, t_us FROM peaks WHERE is_max")
@@ -196,11 +178,10 @@ def keyframe_plan(spark, d):
     return cuts.keyframe_plan(rows).select("project_id", "shot_id", F.col("frame_seq").cast("bigint").alias("frame_seq"), "at_sec")
 
 
-@query(f"""WITH {b.FS} SELECT project_id, asset_id, count(*) AS n_frames, round(sum(i), 3) AS sum_sec FROM
-(SELECT project_id, asset_id, unnest(range(CAST(floor(duration_us / 1e6) AS BIGINT))) AS i FROM assets) GROUP BY ALL""")
+@query(f"""WITH {b.FS} SELECT project_id, asset_id, unnest(range(n)) AS frame_seq, unnest(range(n))::DOUBLE AS at_sec FROM (SELECT *, CAST(floor(duration_us / 1e6) AS BIGINT) AS n FROM assets)""")
 def frame_plan(spark, d):
     _, assets = _scores(spark, d)
-    return cuts.frame_plan(assets).groupBy(*cuts.KEYS).agg(F.count("*").alias("n_frames"), F.round(F.sum("at_sec"), 3).cast("double").alias("sum_sec"))
+    return cuts.frame_plan(assets).select(*cuts.KEYS, F.col("frame_seq").cast("bigint").alias("frame_seq"), "at_sec")
 
 
 # ---------------------------------------------------------------- segments
@@ -314,11 +295,6 @@ def dedup_vector_pairs(spark, d):
     return dedup.vector_pairs(_vector_shots(spark, d), 0.30, related=False).select("beat", "i", "j", F.round("similarity", 5).alias("similarity"))
 
 
-@query()
-def dedup_vector_greedy(spark, d):
-    return dedup.resolve_greedy(dedup.vector_pairs(_vector_shots(spark, d), 0.30))
-
-
 @query("""WITH h AS (SELECT lang, source, doc_id, left(md5(text), 16) AS p FROM documents)
 SELECT a.lang, a.source, a.doc_id AS i, b.doc_id AS j, bit_count(xor(('0x' || left(a.p, 8))::UBIGINT, ('0x' || left(b.p, 8))::UBIGINT)) + bit_count(xor(('0x' || right(a.p, 8))::UBIGINT, ('0x' || right(b.p, 8))::UBIGINT)) AS distance
 FROM h a JOIN h b ON a.lang = b.lang AND a.source = b.source AND a.doc_id < b.doc_id
@@ -469,15 +445,6 @@ def compress_to_target(spark, d):
     return n.join(edit.projected_duration(kept, shots), "project_id").withColumn("total_sec", F.round("total_sec", 3))
 
 
-@query()
-def extend_to_target(spark, d):
-    shots = _selected(spark, d)
-    core = shots.where(F.col("status") == dedup.CORE)
-    budget = edit.targets(core.select("project_id").distinct().withColumn("target", F.lit("3h")))
-    out = edit.fit_duration(b.decisions(core), shots, shots.where(F.col("status") == dedup.ALTERNATE), budget)
-    return edit.final_order(out).select("project_id", "sequence", "shot_id", "speed", "technique")
-
-
 LAYOUT = f"""{b.SHOTS}, tl AS (SELECT *, CAST(round(duration_sec / speed_x * 1e6) AS BIGINT) AS len_us, row_number() OVER (PARTITION BY project_id ORDER BY idx, shot_id) AS entry FROM shots),
 laid AS (SELECT *, CAST(sum(len_us) OVER (PARTITION BY project_id ORDER BY entry) - len_us AS BIGINT) AS start_us FROM tl)"""
 
@@ -492,21 +459,17 @@ def timeline_layout(spark, d):
     return timeline.layout(_laid(spark, d)).select("project_id", F.col("entry").cast("bigint").alias("entry"), "shot_id", "start_us", "end_us")
 
 
-@query(f"""WITH {LAYOUT} SELECT project_id, entry, CASE WHEN speed_x <> 1 THEN 4 ELSE 3 END::BIGINT AS n_lines, '* FROM CLIP NAME: ' || source_file AS clip_line FROM laid""")
-def edl_lines(spark, d):
-    lines = timeline.edl_lines(_laid(spark, d))
-    return lines.groupBy("project_id", F.col("entry").cast("bigint").alias("entry")).agg(F.count("*").alias("n_lines"), F.max(F.when(F.col("line").startswith("* FROM"), F.col("line"))).alias("clip_line"))
-
-
 @query(f"WITH {LAYOUT} SELECT project_id, 'r' || CAST(row_number() OVER (PARTITION BY project_id ORDER BY min(entry), source_file) + 1 AS VARCHAR) AS asset_ref, source_file FROM laid GROUP BY project_id, source_file")
 def timeline_assets(spark, d):
     return timeline.xml_assets(_laid(spark, d)).drop("source_path")
 
 
-@query("SELECT o_orderkey, CAST(o_orderkey % 86400 AS DOUBLE) AS seconds FROM orders")
+@query("""SELECT o_orderkey, code, CAST(substr(code, 1, 2) AS INT) * 3600 + CAST(substr(code, 4, 2) AS INT) * 60 + CAST(substr(code, 7, 2) AS INT) + CAST(substr(code, 10) AS INT) / 24.0::DOUBLE AS seconds FROM
+(SELECT o_orderkey, lpad(CAST(s // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor((t - s) * 24) AS INT) AS VARCHAR), 2, '0') AS code
+FROM (SELECT o_orderkey, o_totalprice / 7 AS t, CAST(floor(o_totalprice / 7) AS BIGINT) AS s FROM orders))""")
 def timecode_roundtrip(spark, d):
-    rows = b.read(spark, d, "orders")
-    return rows.select("o_orderkey", tc.tc_to_sec(tc.sec_to_tc(F.col("o_orderkey") % 86_400)).alias("seconds"))
+    rows = b.read(spark, d, "orders").select("o_orderkey", tc.sec_to_tc(F.col("o_totalprice") / 7).alias("code"))
+    return rows.withColumn("seconds", tc.tc_to_sec(F.col("code")))
 
 
 @query(f"WITH {b.SHOTS} SELECT project_id, shot_id, (row_number() OVER (PARTITION BY project_id ORDER BY idx) - 1) // 20 AS batch FROM shots")
@@ -517,32 +480,6 @@ def request_batches(spark, d):
 # ---------------------------------------------------------------- scripts
 
 
-@query("""SELECT r_name AS script_id, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS beat_seq, '第' || CAST(n_nationkey % 3 + 1 AS VARCHAR) || '幕' AS act, 'loc' || n_name AS location, n_name AS key_dialogue FROM nation JOIN region ON n_regionkey = r_regionkey
-QUALIFY true""".replace("row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey)", "row_number() OVER (PARTITION BY r_name ORDER BY first_seen, n_nationkey)").replace("FROM nation JOIN region ON n_regionkey = r_regionkey", "FROM (SELECT *, min(n_nationkey) OVER (PARTITION BY n_regionkey, n_nationkey % 3) AS first_seen FROM nation JOIN region ON n_regionkey = r_regionkey)"))
-def outline_roundtrip(spark, d):
-    n = b.read(spark, d, "nation").join(b.read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    act = F.concat(F.lit("第"), (F.col("n_nationkey") % 3 + 1).cast("string"), F.lit("幕"))
-    beats = n.select(
-        F.col("r_name").alias("script_id"), F.col("n_nationkey").alias("beat_seq"), act.alias("act"), F.concat(F.lit("场1-"), "n_name").alias("beat_id"), F.concat(F.lit("loc"), "n_name").alias("location"), F.lit("夜").alias("time"),
-        F.col("n_name").alias("content"), F.lit("静").alias("emotion"), F.lit("走，看").alias("key_actions"), F.col("n_name").alias("key_dialogue"), F.lit("").alias("suggested_shots"),
-    )
-    back = scripts.parse_outline(scripts.render_outline(beats))
-    return back.select("script_id", F.col("beat_seq").cast("bigint").alias("beat_seq"), "act", "location", "key_dialogue")
-
-
-@query()
-def scene_split(spark, d):
-    docs = b.read(spark, d, "documents").select(F.col("doc_id").alias("script_id"), "text")
-    return scripts.split_scripts(docs).select("script_id", "scene_no", F.length("scene_text").alias("n_chars"), F.md5("scene_text").alias("md5"))
-
-
-@query("""SELECT doc_id AS script_id, CAST(sum(length(p)) AS BIGINT) AS n_chars, len(string_split(any_value(text), chr(10)))::BIGINT AS n_lines FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS p FROM documents) GROUP BY doc_id""")
-def text_chunks(spark, d):
-    docs = b.read(spark, d, "documents").select(F.col("doc_id").alias("script_id"), F.explode(scripts.chunks(F.col("text"))).alias("c"))
-    n = F.size(F.split("c", "\n", -1))
-    return docs.groupBy("script_id").agg(F.sum(F.length("c") - (n - 1)).cast("bigint").alias("n_chars"), F.sum(n).cast("bigint").alias("n_lines"))
-
-
 @query("""WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark), bt AS (SELECT item_id, len(t) AS n_beat, unnest(t) AS tok FROM b),
 dt AS (SELECT DISTINCT doc_id, tok FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM documents)),
 sc AS (SELECT doc_id, item_id, round(count(*) * 1.0 / any_value(n_beat), 6) AS conf FROM dt JOIN bt USING (tok) GROUP BY doc_id, item_id),

@@ -11,8 +11,38 @@ from footage_lake.functions.timecode import frame_rate
 
 VIDEO, IMAGE = ["mp4", "mov", "mkv", "avi", "mxf"], ["jpg", "jpeg", "png"]
 DEFAULT_STATE = "RAW"
-#: Rules and defaults where a configuration leaves them out.
-DEFAULTS = {"default_state": DEFAULT_STATE, "min_shot_duration": 1.0, "target": "5m", "phash_threshold": 10, "vector_threshold": 0.92, "slow_motion_min_fps": 60}
+# Fixed values, S20: sections of a configuration that is given without them, as (section, key, value).
+DEFAULTS = [
+    ("split_scoring", "weights.camera_change", "0.35"),
+    ("split_scoring", "weights.subject_change", "0.25"),
+    ("split_scoring", "weights.emotion_break", "0.15"),
+    ("split_scoring", "weights.plot_shift", "0.10"),
+    ("split_scoring", "weights.action_break", "0.10"),
+    ("split_scoring", "weights.dialogue_break", "0.05"),
+    ("split_scoring", "thresholds.high", "0.55"),
+    ("split_scoring", "thresholds.medium", "0.40"),
+    ("split_scoring", "long_take_protection.enabled", "true"),
+    ("split_scoring", "long_take_protection.min_duration", "30.0"),
+    ("split_scoring", "long_take_protection.threshold_boost", "0.15"),
+    ("materials", "0.state", "RAW"),
+    ("materials", "0.split", "true"),
+    ("materials", "0.analyze", "true"),
+]
+RAW_FOLDER = "./materials/"
+
+
+def with_defaults(given: DataFrame) -> DataFrame:
+    """Settings (project_id, section, key, value) with the defaults of each section that a project leaves out.
+
+    The default material folder is the project's ``paths.raw_materials``.
+    """
+    rows = F.array(*[F.struct(F.lit(a).alias("section"), F.lit(b).alias("key"), F.lit(c).alias("value")) for a, b, c in DEFAULTS])
+    folder = F.max(F.when((F.col("section") == "paths") & (F.col("key") == "raw_materials"), F.col("value")))
+    projects = given.groupBy("project_id").agg(F.coalesce(folder, F.lit(RAW_FOLDER)).alias("folder"))
+    path = F.struct(F.lit("materials").alias("section"), F.lit("0.path").alias("key"), F.col("folder").alias("value"))
+    every = projects.select("project_id", F.explode(F.array_append(rows, path)).alias("d")).select("project_id", "d.*")
+    missing = every.join(given.select("project_id", "section").distinct(), ["project_id", "section"], "left_anti")
+    return given.select("project_id", "section", "key", "value").unionByName(missing.select("project_id", "section", "key", "value"))
 
 
 def keep_media(files: DataFrame, extensions: list[str] = VIDEO) -> DataFrame:
@@ -55,18 +85,24 @@ def frame_scores_from_log(lines: DataFrame) -> DataFrame:
     return first.select("asset_id", F.round(F.col("at") * 1e6).cast("bigint").alias("t_us"), "cut_score", F.lit(0.0).alias("hist_score"))
 
 
-def resolve_state(media: DataFrame, rules: DataFrame) -> DataFrame:
+def resolve_state(media: DataFrame, rules: DataFrame, most_rules: int = 10_000) -> DataFrame:
     """State of each path by the first of: global pattern, item pattern (both on the base name), longest directory, RAW.
 
     Rules (tier 1..3, rule_seq, kind 'regex' or 'dir', pattern, state) are a small
-    configuration and are sent to every task; a directory matches with its slash.
+    configuration: their number is checked, then they go to every task as one array,
+    so paths are neither shuffled nor paired with them. A directory matches with its slash.
     """
+    if rules.limit(most_rules + 1).count() > most_rules:
+        raise ValueError(f"there are more than {most_rules} rules")
+    place = F.when(F.col("kind") == "dir", -F.length("pattern")).otherwise(F.col("rule_seq"))
+    rule = F.struct("tier", place.alias("place"), "rule_seq", "kind", "pattern", "state")
+    held = rules.groupBy(F.lit(1).alias("one")).agg(F.sort_array(F.collect_list(rule)).alias("held"))
     name = F.element_at(F.split("path", "/"), -1)
-    r = F.broadcast(rules.select("tier", "rule_seq", "kind", "pattern", F.col("state").alias("rule_state")))
-    hit = F.when(F.col("kind") == "regex", F.rlike(name, F.col("pattern"))).otherwise(F.startswith("path", F.concat(F.regexp_replace("pattern", "/$", ""), F.lit("/"))))
-    order = F.struct("tier", F.when(F.col("kind") == "dir", -F.length("pattern")).otherwise(F.col("rule_seq")), "rule_seq")
-    best = media.select("path").distinct().join(r, hit).groupBy("path").agg(F.min_by("rule_state", order).alias("state"))
-    return media.join(best, "path", "left").withColumn("state", F.coalesce("state", F.lit(DEFAULT_STATE)))
+    regex = lambda r: F.rlike(name, r["pattern"])
+    folder = lambda r: F.startswith("path", F.concat(F.regexp_replace(r["pattern"], "/$", ""), F.lit("/")))
+    hit = F.filter("held", lambda r: F.when(r["kind"] == "regex", regex(r)).otherwise(folder(r)))
+    rows = media.withColumn("one", F.lit(1)).join(F.broadcast(held), "one", "left")
+    return rows.withColumn("state", F.coalesce(F.get(hit, F.lit(0))["state"], F.lit(DEFAULT_STATE))).drop("one", "held")
 
 
 def collect_assets(parts: list[DataFrame], rules: DataFrame) -> DataFrame:

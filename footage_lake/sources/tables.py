@@ -13,8 +13,8 @@ def read_shots(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def rough_shots_for(shots: DataFrame, assets: DataFrame) -> DataFrame:
-    """The rough shots of each asset, or one row over the whole asset where there is none."""
-    rows = assets.join(shots.drop("project_id"), "asset_id", "left")
+    """The rough shots of each asset of a project, or one row over the whole asset where there is none."""
+    rows = assets.join(shots, ["project_id", "asset_id"], "left")
     return rows.withColumns({"start_us": F.coalesce("start_us", F.lit(0)), "end_us": F.coalesce("end_us", "duration_us")})
 
 
@@ -40,6 +40,18 @@ def stage_documents(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("project_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(record)).alias(name))).alias("value"))
 
 
+#: K3: columns of the decision table and their headings.
+DECISION_COLUMNS = {
+    "sequence": "序列", "shot_id": "镜头ID", "source_file": "源文件", "tc_in": "入点", "tc_out": "出点", "speed": "速度",
+    "technique": "剪辑手法", "transition": "转场", "audio": "音频", "purpose": "叙事目的", "notes": "备注",
+}
+
+
+def decision_rows(decisions: DataFrame) -> DataFrame:
+    """K3: the eleven columns of the decision table under their headings, in order."""
+    return decisions.select(*[F.col(c).alias(n) for c, n in DECISION_COLUMNS.items()]).orderBy("序列")
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """K2-K4: a table with a header whose first name carries a byte order mark."""
     first = rows.columns[0]

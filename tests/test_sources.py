@@ -1,12 +1,14 @@
 """Catalog, adapters, labels, people and scripts on small fixtures; named queries against DuckDB."""
 
+import json
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from footage_lake.operators import labels, people, scripts
-from footage_lake.plans import catalog_queries
+from footage_lake.plans import registry
 from footage_lake.sources import adapters, catalog, tables
 
 SF = "/root/testdata/sf0.001"
@@ -77,9 +79,17 @@ def test_adapters(spark):
 
 def test_shot_documents(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"project_id":"p","shots":[{"shot_id":"S1","location":null,"vlm_description":{"location":"L","shot_size":"wide"}}]}')
-    kind = "struct<shot_id:string," + ",".join(f"{c}:string" for c in adapters.SHOT_TEXT) + ",vlm_description:struct<" + ",".join(f"{c}:string" for c in adapters.SHOT_TEXT) + ">>"
-    row = adapters.unpack_description(tables.read_shots(spark, str(tmp_path / "s.json"), kind)).first()
-    assert (row["location"], row["shot_size"], row["action"]) == ("L", "wide", "")
+    fields = ",".join(f"{c}:{t}" for c, t in adapters.DESCRIPTION.items())
+    shots = tables.read_shots(spark, str(tmp_path / "s.json"), f"struct<shot_id:string,{fields},vlm_description:struct<{fields}>>")
+    flat = adapters.unpack_description(shots)
+    row = flat.first()
+    assert (row["location"], row["shot_size"], row["action"], row["characters"], row["focus"], row["continuity_score"]) == ("L", "wide", "", [], None, 0.0)
+    packed = adapters.pack_description(flat).first()["vlm_description"]
+    assert len(adapters.DESCRIPTION) == len(packed) == 27 and packed["location"] == "L"
+    config = adapters.config_fields(flat.withColumn("meta", F.expr("named_struct('description', 'said', 'emotion', 'calm', 'shot_size', '未知')"))).first()["shot_config"]
+    assert len(config) == 40 and (config["content_summary"], config["emotion"], config["location"], config["tags"]) == ("said", "calm", "L", ["calm"])
+    record = json.loads(adapters.shot_config(flat.withColumn("project_id", F.lit("p"))).first()["config"])
+    assert record["clip_path"] == "S1.mp4" and record["split_clip_path"] == "" and record["source_file"] is None
     tables.write_csv(spark.createDataFrame([("a", 1)], "x string, y int"), str(tmp_path / "out"))
     head = next((tmp_path / "out").glob("*.csv")).read_text(encoding="utf-8").split("\n")[0]
     assert head == "﻿x,y"
@@ -149,16 +159,16 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog_queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_named_query(spark, duck, name):
     plain = lambda v: round(v, 6) + 0.0 if isinstance(v, float) else v
-    frame = catalog_queries.QUERIES[name](spark, SF)
+    frame = registry.QUERIES[name](spark, SF)
     columns = sorted(frame.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in frame.collect()), key=repr)
-    if name not in catalog_queries.ORACLE:
+    if name not in registry.ORACLE:
         assert got
         return
-    result = duck.execute(catalog_queries.ORACLE[name])
+    result = duck.execute(registry.ORACLE[name])
     said = [d[0] for d in result.description]
     assert sorted(said) == columns
     assert got == sorted((tuple(plain(r[said.index(c)]) for c in columns) for r in result.fetchall()), key=repr)
