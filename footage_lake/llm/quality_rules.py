@@ -274,5 +274,9 @@ def quality_report(documents: DataFrame, rules: DecisionList) -> DataFrame:
 
 
 def keep_good(documents: DataFrame, rules: DecisionList) -> DataFrame:
-    """The documents that neither the base test nor the list rejects, columns as they came."""
+    """The documents that neither the base test nor the list rejects, columns as they came.
+
+    Null and empty texts fail the base test and go. Repeated rows are judged alike;
+    an empty table gives no rows.
+    """
     return documents.where(quality_columns(F.col("text"), rules)["kept"])

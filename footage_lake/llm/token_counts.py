@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
-#: Words that a worker remembers; then it starts anew.
-KEPT = 300_000
+#: Words of up to ``KEPT_LETTERS`` that a worker remembers; then it starts anew.
+KEPT, KEPT_LETTERS = 300_000, 64
 _START, _GO_ON = 0, 1
 
 
@@ -147,6 +147,9 @@ def token_counts(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
                     n = [known[w] for w in t]
                     unknown = n.count(-1)
                     out.append((len(t), sum(n) + 2 * unknown, unknown))
+                for w in new:
+                    if len(w) > KEPT_LETTERS:
+                        del known[w]
             columns = zip(*out, strict=True) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n_words", "n_tokens", "n_unknown"]

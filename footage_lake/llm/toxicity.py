@@ -33,8 +33,8 @@ FACTORS = 4
 POSITIVE = 6.0
 PREFIX = 5
 THRESHOLD = 0.7
-#: Words that a worker remembers; then it starts anew.
-KEPT = 200_000
+#: Words of up to ``KEPT_LETTERS`` that a worker remembers; then it starts anew.
+KEPT, KEPT_LETTERS = 200_000, 64
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -161,7 +161,9 @@ def score_column(machine: Machine, documents: DataFrame, text: Column) -> Column
             for w in set(_WORD.findall((t or "").lower())):
                 at = known.get(w)
                 if at is None:
-                    at = known[w] = tuple(m.place[b] for b in _buckets(w) if b in m.place)
+                    at = tuple(m.place[b] for b in _buckets(w) if b in m.place)
+                    if len(w) <= KEPT_LETTERS:
+                        known[w] = at
                 if at:
                     rows.update(at)
             return m.score(np.array(sorted(rows), int))
@@ -185,5 +187,9 @@ def toxicity_report(documents: DataFrame, machine: Machine) -> DataFrame:
 
 
 def keep_civil(documents: DataFrame, machine: Machine) -> DataFrame:
-    """The documents that score under the threshold, columns as they came."""
+    """The documents that score under the threshold, columns as they came.
+
+    Null and empty texts get the machine's bias as their score. Repeated rows are
+    judged alike; an empty table gives no rows.
+    """
     return documents.where(score_column(machine, documents, F.col("text")) < THRESHOLD)

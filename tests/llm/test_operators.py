@@ -90,6 +90,72 @@ def test_entropy_spans_and_allow_list(spark):
     assert masked[1]["text"] == calm and masked[2]["text"] is None
 
 
+def brute_spans(text):
+    """All spans, by Python's own regular expressions and a fresh count for each window."""
+    text = text or ""
+    base = brute_base(text)
+    out = set()
+    for k in secrets.CLASSES:
+        for m in re.finditer(k.candidate, text):
+            s, at, end = m[0], m.start(), m.end()
+            windows = [s[i : i + k.window] for i in range(max(1, len(s) - k.window + 1))]
+            if not re.search(k.needs, s) or any(re.search(a, s) for a in secrets.ALLOWED):
+                continue
+            if any(a <= at and end <= e or kind == 0 and at < a < end < e for a, kind, e in base):
+                continue
+            if max(-sum(c / len(w) * math.log2(c / len(w)) for c in Counter(w).values()) for w in windows) >= k.bits:
+                out.add((at, 3, end))
+    return sorted(base + sorted(out))
+
+
+def test_secret_spans_and_masks(spark, docs, odd):
+    rng = np.random.default_rng(11)
+    bits = ["token = abcdef123 ", "AKIA" + "Z9" * 9, "0123456789abcdef" * 2, "Zk93Lx72QmPa81TvYw0dRsBn45", " ", "é", "=", "api_key:", "/", "hello world ", "9F8E7D6C5B4A39281F0E", "password='", "\n"]
+    made = ["".join(rng.choice(bits, int(rng.integers(0, 40)))) for _ in range(400)] + ["".join(rng.choice(list("aB3/+=f"), 300)) for _ in range(20)]
+    more = spark.createDataFrame([(10_000 + k, t) for k, t in enumerate(made)], "doc_id bigint, text string")
+    every = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(more)
+
+    def masked(t):
+        out, at = "", 0
+        for a, _, e in brute_spans(t):
+            out += t[at:a] + secrets.MARK if a >= at else ""
+            at = max(at, e)
+        return t if t is None else out + t[at:]
+
+    rows = texts(every)
+    assert Counter((r["doc_id"], r["spans"]) for r in secrets.secret_report(every).collect()) == Counter((i, said(brute_spans(t))) for i, t in rows)
+    assert Counter(texts(secrets.redact(every))) == Counter((i, masked(t)) for i, t in rows)
+    assert secrets.redact(empty(docs)).count() == 0 and secrets.redact(odd).columns == odd.columns
+
+
+def test_running_totals_and_searches(spark):
+    from footage_lake.llm.common import found_before, running
+
+    rows = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 255, 256, 257, 2000)], "v array<int>")
+    for r in rows.select("v", running(F.col("v"), F.lit(0), lambda a, b: a + b).alias("s"), running(F.col("v"), F.lit(-1), F.greatest).alias("m")).collect():
+        assert r["s"] == [sum(r["v"][:k]) for k in range(len(r["v"]))] and r["m"] == [max([-1, *r["v"][:k]]) for k in range(len(r["v"]))]
+    for r in rows.select("v", *[found_before(F.size("v"), lambda k, b=b: F.get(F.col("v"), k) < b).alias(f"f{b}") for b in (0, 1, 256, 5000)]).collect():
+        assert [r[f"f{b}"] for b in (0, 1, 256, 5000)] == [sum(x < b for x in r["v"]) for b in (0, 1, 256, 5000)]
+
+
+def test_very_long_texts(spark, docs, labels):
+    long = {1: "token = abcdef123 " * 30_000, 2: "a" * 300_000, 3: "one word after another, all in a row. " * 20_000, 4: "x\n" * 100_000}
+    frame = spark.createDataFrame(list(long.items()), "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in secrets.secret_report(frame).collect()}
+    assert found[1]["n_assign"] == 30_000 and found[2]["spans"] == "hex:0:300000" and found[3]["spans"] == ""
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(frame).collect()} == {**long, 1: "[SECRET] " * 30_000, 2: "[SECRET]"}
+    words = {i: len(t.split()) for i, t in long.items()}
+    rules, machine = quality_rules.learn_rules(docs, labels), toxicity.learn(docs, labels)
+    assert {r["doc_id"]: r["n_words"] for r in quality_rules.quality_report(frame, rules).collect()} == words
+    assert {r["doc_id"]: r["n_words"] for r in token_counts.token_counts(frame).collect()} == words
+    assert {r["doc_id"]: r["n_tokens"] for r in hmm.scored(frame).collect()} == {i: n + 1 for i, n in words.items()}
+    assert {r["doc_id"]: r["n_chars"] for r in fingerprint.fingerprint_report(frame).collect()} == {i: len(t) for i, t in long.items()}
+    pieces = packing.packed(frame).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("of")).collect()
+    assert len(pieces) == 4 and all(r["n"] == r["of"] for r in pieces)
+    assert len({r["fingerprint"] for r in simhash.near_duplicates(frame).collect()}) == 4
+    assert simhash.keep_first(frame).count() == 4 and toxicity.toxicity_report(frame, machine).count() == 4
+
+
 def test_entropy_of_values_behind_an_equals_sign(spark):
     key, few = "kJ8sQz4LmX0vTn2RbYc7WdPe", "wJalrXUtnFEMIxKbMDENGzbPxRfiCYzKq"
     cases = [
@@ -437,6 +503,29 @@ def test_quality_counts(spark, docs, odd, labels):
     assert quality_rules.keep_good(odd, rules).columns == odd.columns
 
 
+def test_quality_verdicts_by_the_list(docs, labels):
+    rules = quality_rules.learn_rules(docs, labels)
+    assert rules.rules
+    want = {}
+    for i, t in texts(docs):
+        n = lambda p, t=t: len(re.findall(p, t))
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        seen = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        repeated = len({k + j for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1 for j in range(8)})
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        chars = max(1, sum(map(len, w)))
+        f = {
+            "words": len(w), "word_length": sum(map(len, w)) / max(1, len(w)), "symbols": n(r"[#*$%&|<>]") / chars, "upper": n("[A-Z]") / chars, "digits": n("[0-9]") / chars,
+            "marks": n("[!?]") / chars, "dup_lines": (len(lines) - len(set(lines))) / max(1, len(lines)), "repeated": repeated / max(1, len(w)),
+        }
+        failed = len(w) < 20 or 100 * repeated > 30 * len(w)
+        rejected = any(all((f[x.feature] > x.bound) == x.above for x in rule) for rule in rules.rules)
+        want[i] = not failed and not rejected
+    assert {r["doc_id"]: r["kept"] for r in quality_rules.quality_report(docs, rules).collect()} == want
+    assert {r["doc_id"] for r in quality_rules.keep_good(docs, rules).collect()} == {i for i, k in want.items() if k}
+    assert quality_rules.keep_good(empty(docs), rules).count() == 0
+
+
 def test_decision_list_finds_planted_rules():
     rng = np.random.default_rng(0)
     rows = [({"x": float(a), "y": float(b)}, 0 if a > 0.7 and b < 0.4 else 1) for a, b in rng.random((1500, 2))]
@@ -471,6 +560,19 @@ def test_toxicity_on_held_out_documents(spark):
     assert auc > 0.97
 
 
+def test_toxicity_scores_by_all_pairs(docs, labels):
+    m = toxicity.learn(docs, labels)
+    assert len(m.place) > 20
+    want = {}
+    for i, t in texts(docs):
+        rows = [m.place[b] for b in toxicity.terms(t) if b in m.place]
+        pairs = sum(float(m.factors[a] @ m.factors[b]) for k, a in enumerate(rows) for b in rows[:k])
+        want[i] = round(1 / (1 + math.exp(-max(-30.0, min(30.0, m.bias + float(m.weight[rows].sum()) + pairs)))), 8)
+    assert {r["doc_id"]: round(r["score"], 8) for r in toxicity.toxicity_report(docs, m).collect()} == want
+    assert {r["doc_id"] for r in toxicity.keep_civil(docs, m).collect()} == {i for i, s in want.items() if s < toxicity.THRESHOLD}
+    assert toxicity.keep_civil(empty(docs), m).count() == 0
+
+
 def test_toxicity_edge_cases(odd, docs, labels):
     machine = toxicity.learn(docs, labels)
     rows = toxicity.toxicity_report(odd, machine).collect()
@@ -600,6 +702,21 @@ def test_main_text_without_marked_pages_and_with_copies(spark):
     assert sorted(main_text._sampled(copies, 150)) == sorted(set(pages[:4]))
 
 
+def test_main_text_of_plain_divisions_by_hand(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    prose = ["The harbour was quiet that morning, and only two boats had gone out before the fog came in.", "Nobody in the village could say when the old lamp had last been lit, but all of them knew who kept it.", "By noon the wind had turned; the nets were hung to dry along the wall, and the children came down to look."]
+    said = "".join(f"<p>{p}</p>" for p in prose)
+    menu = '<div class="nav"><ul><li><a href="#">Home</a></li><li><a href="#">News</a></li><li><a href="#">About us</a></li></ul></div>'
+    cases = [
+        f'<html><body>{menu}<div class="content">{said}</div><div class="footer">Copyright 2020</div></body></html>',
+        f'<html><body>{menu}<div id="main"><h1>The lamp</h1>{said}</div><div class="comments"><div class="comment"><p>Nice story, thank you.</p></div></div></body></html>',
+        f'<html><body>{menu}<article><p>{prose[0]}</p><div class="notice">We use cookies to improve this site.</div><p>{prose[1]}</p><p>{prose[2]}</p></article></body></html>',
+    ]
+    want = [" ".join(prose), "The lamp " + " ".join(prose), " ".join(prose)]
+    frame = spark.createDataFrame([(k, "u", h) for k, h in enumerate(cases)], "page_id int, url string, html string")
+    assert [r["text"] for r in main_text.extracted(frame, main_text.learn(pages)).orderBy("page_id").collect()] == want
+
+
 def test_main_text_in_other_layouts(spark):
     pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
     parsed = [main_text.parse(p) for p in pages[:30]] + [main_text.parse(p, True) for p in main_text.composed(pages[:30], 250)]
