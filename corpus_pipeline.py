@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs. All but the last return the
-columns of documents.
+columns of documents, whatever other columns there are and whatever they are called.
+Every stage gives no rows for an empty table.
 """
 
 from __future__ import annotations
@@ -14,29 +15,33 @@ from footage_lake.llm.common import stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base test or the learned list rejects go."""
+    """Documents that the base test or the learned list rejects go: null and empty texts always; repeated rows alike."""
     rules = quality_rules.learn_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality_rules.keep_good(docs, rules)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score at the threshold or above go."""
+    """Documents that score at the threshold or above go; null and empty texts score as the machine's bias, repeated rows alike."""
     machine = toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.keep_civil(docs, machine)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of the smallest id."""
+    """One document of each group of near copies stays, the one of the smallest id, null ids last; of repeated rows one.
+
+    Near copies share four fifths of their five-word shingles. Null and empty texts
+    are copies of each other; different texts of one id are judged by themselves.
+    """
     return simhash.keep_first(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are masked."""
+    """Secrets in the texts are masked; null texts stay null, all rows stay."""
     return secrets.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences: a row per piece."""
+    """Token sequences: a row per piece; null and empty texts have the end token alone, repeated rows are packed each."""
     return packing.packed(docs)
 
 
