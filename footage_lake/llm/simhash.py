@@ -330,7 +330,7 @@ BANDS, ROWS = 16, 4
 #: 0.8 it is 77 with deviation 8 (sets of five shingles: 96, 9), at 0.5 it is 137, between unrelated texts 256.
 WIDE, WIDE_DISTANCE = 512, 128
 #: Texts of a candidate group that are tested together; of larger groups some are pivots.
-BLOCK, PIVOTS = 1024, 8
+BLOCK, PIVOTS = 256, 8
 #: Texts under one band that are tested; in larger ones all are candidates of each other.
 BAND = 4096
 _ODD = np.random.default_rng(20).integers(0, 2**63, BANDS * ROWS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -540,12 +540,17 @@ def _similar_links(documents: DataFrame, nodes: DataFrame, candidates: DataFrame
     once = stored(once.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "sig"), F.col("blocks"))))
 
     def met(own: DataFrame | None, others: DataFrame, every: bool) -> DataFrame:
-        """Own rows in each block of their group against the block's other rows."""
-        place = F.xxhash64("root", "block").alias("place")
-        rows = others.select(place, "sig", "wide", "shingles", F.lit(own is None).alias("own"))
-        if own is not None:
-            copies = own.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1L)")))
-            rows = rows.unionByName(copies.select(place, "sig", "wide", "shingles", F.lit(True).alias("own")))
+        """Own rows of a group, in parts, against its other rows, in blocks: a place for each part and block."""
+        columns = [F.xxhash64("root", "block", "part").alias("place"), "sig", "wide", "shingles"]
+        if own is None:
+            rows = others.withColumn("part", F.lit(0)).select(*columns, F.lit(True).alias("own"))
+        else:
+            parts = stored(own.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("parts")))
+            parts = small(parts, parts.count())
+            dealt = own.join(parts, "root").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "sig"), F.col("parts")))
+            rows = dealt.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1L)"))).select(*columns, F.lit(True).alias("own"))
+            met_by = others.join(parts, "root").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1L)")))
+            rows = rows.unionByName(met_by.select(*columns, F.lit(False).alias("own")))
         dealt = rows.repartition("place").sortWithinPartitions("place", "sig")
         return dealt.mapInArrow(lambda it: _verified(it, distance, every), _LINK)
 
