@@ -22,7 +22,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footage_lake.llm.common import discard, fresh_name, shared_folder, small, stored
@@ -241,10 +241,23 @@ def _longer_keys(rows: DataFrame) -> DataFrame:
     return marked.where("hot IS NULL").drop("hot").unionByName(longer)
 
 
-#: Nodes of very many links, at most, whose least neighbour is broadcast.
+#: Keys of very many rows, at most, whose least value is broadcast.
 CENTRES = 10_000
 
 
+def with_least(rows: DataFrame, n: int, key: str, value: Column, name: str) -> DataFrame:
+    """``rows`` (``n`` of them) with the smallest ``value`` among those of their key.
+
+    Keys of very many rows are few, so their value is sent to the rows instead of all
+    their rows to one task.
+    """
+    least = rows.groupBy(key).agg(F.min(value).alias(name), F.count("*").alias("of_key"))
+    much = max(100, 2 * n // CENTRES)
+    large, few = (least.where(test).drop("of_key") for test in (F.col("of_key") > much, F.col("of_key") <= much))
+    marked = rows.join(F.broadcast(large), key, "left")
+    return marked.where(F.col(name).isNotNull()).unionByName(marked.where(F.col(name).isNull()).drop(name).join(few, key))
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): each linked node and the smallest node that it reaches.
 
@@ -256,22 +269,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     spark = links.sparkSession
 
-    def told(e: DataFrame, n: int) -> DataFrame:
-        """Edges (u, v) with the smallest v of each u as m."""
-        m = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        much = max(100, 2 * n // CENTRES)
-        centres = m.where(F.col("n") > much).select("u", "m")
-        few = m.where(F.col("n") <= much).select("u", "m")
-        marked = e.join(F.broadcast(centres), "u", "left")
-        return marked.where("m IS NOT NULL").unionByName(marked.where("m IS NULL").drop("m").join(few, "u"))
-
     def large_star(e: DataFrame, n: int) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
-        return told(both, 2 * n).where("v > u").select(F.least("u", "m").alias("a"), F.col("v").alias("b"))
+        return with_least(both, 2 * n, "u", F.col("v"), "m").where("v > u").select(F.least("u", "m").alias("a"), F.col("v").alias("b"))
 
     def small_star(e: DataFrame, n: int) -> DataFrame:
         down = e.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        rows = told(down, n)
+        rows = with_least(down, n, "u", F.col("v"), "m")
         # the smallest neighbour itself keeps its link to the node, the others go to it
         return rows.select(F.col("m").alias("a"), F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("b")).distinct()
 
@@ -310,11 +314,9 @@ def near_duplicates(documents: DataFrame, distance: int = DISTANCE, shingle: int
     prints = stored(fingerprints(documents, shingle))
     first = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     nodes = stored(components(linked(first.select("fp"), distance)))
-    member = first.join(nodes, F.col("fp") == F.col("node"), "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "first_id"
-    )
-    lowest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = member.join(lowest, "root").select(F.col("fp").alias("of_fp"), "component_id")
+    member = stored(first.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id"))
+    lowest = F.struct(F.col("first_id").isNull().alias("unnamed"), F.col("first_id").alias("id"))
+    of_print = with_least(member, member.count(), "root", lowest, "lowest").select(F.col("fp").alias("of_fp"), F.col("lowest.id").alias("component_id"))
     return prints.join(of_print, F.col("fp") == F.col("of_fp")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -528,9 +530,9 @@ def _similar_links(documents: DataFrame, nodes: DataFrame, candidates: DataFrame
     texts that are similar to the best of these hang together, so only the others
     have to meet all.
     """
-    grouped = candidates.groupBy("root").agg(F.count("*").alias("n"))
+    grouped = stored(candidates.groupBy("root").agg(F.count("*").alias("n")))
     wanted = stored(
-        nodes.join(candidates.join(grouped, "root"), F.col("sig") == F.col("node"))
+        nodes.join(candidates.join(small(grouped, grouped.count()), "root"), F.col("sig") == F.col("node"))
         .select(F.col("first.doc_id").alias("first_id"), F.col("first.place").alias("first_place"), "sig", "wide", "root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
     of_text = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("place") == F.col("first_place"))
@@ -563,9 +565,9 @@ def _similar_links(documents: DataFrame, nodes: DataFrame, candidates: DataFrame
     order = F.row_number().over(Window.partitionBy("root").orderBy("sig"))
     pivots = some.withColumn("nth", order).where(F.col("nth") <= PIVOTS).drop("nth")
     tied = stored(met(pivots, large, True))
-    best = tied.join(pivots.select(F.col("sig").alias("a"), "root"), "a").groupBy("root", "a").count()
-    best = best.groupBy("root").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
-    held = tied.join(best, "a").select(F.col("b").alias("sig")).unionByName(best.select(F.col("a").alias("sig")))
+    of_pivot = pivots.select(F.col("sig").alias("a"), "root").join(tied.groupBy("a").count(), "a")
+    best = stored(of_pivot.groupBy("root").agg(F.max_by("a", F.struct("count", "a")).alias("a")))
+    held = tied.join(small(best, best.count()), "a").select(F.col("b").alias("sig")).unionByName(best.select(F.col("a").alias("sig")))
     held = stored(held.distinct())
     rest = large.join(small(held, held.count()), "sig", "left_anti")
     return links.unionByName(tied).unionByName(met(rest, large, False)).distinct()
@@ -589,9 +591,8 @@ def near_copies(documents: DataFrame, distance: int = WIDE_DISTANCE) -> DataFram
     nodes = stored(prints.groupBy("sig").agg(F.min(row).alias("first"), *(F.any_value(c).alias(c) for c in ("bands", "wide"))))
     candidates = stored(components(_candidates(nodes, distance)))
     roots = stored(components(_similar_links(documents, nodes, candidates, distance)))
-    member = nodes.select("sig", "first").join(roots, F.col("sig") == F.col("node"), "left").select("sig", F.coalesce("root", "sig").alias("root"), "first")
-    lowest = member.groupBy("root").agg(F.min("first").alias("kept_row"))
-    of_sig = member.join(lowest, "root").select(F.col("sig").alias("of_sig"), "kept_row")
+    member = stored(nodes.select("sig", "first").join(roots, F.col("sig") == F.col("node"), "left").select("sig", F.coalesce("root", "sig").alias("root"), "first"))
+    of_sig = with_least(member, member.count(), "root", F.col("first"), "kept_row").select(F.col("sig").alias("of_sig"), "kept_row")
     texts = prints.groupBy("doc_id", "place", "sig").agg(F.count("*").alias("n"))
     return texts.join(of_sig, F.col("sig") == F.col("of_sig")).select(
         "doc_id", "place", F.col("kept_row.doc_id").alias("component_id"), "n", (F.col("kept_row") == row).alias("kept")
