@@ -267,7 +267,8 @@ def config_fields(shots: DataFrame, meta: str = "meta", scan: str = "cv", clip:
 def shot_config(shots: DataFrame, **records: str) -> DataFrame:
     """K8: one JSON record per shot: its configuration, id, clip, place in the source, links and key frames."""
     rows = config_fields(shots, **records)
-    more = [F.col("shot_id"), F.concat("shot_id", F.lit(".mp4")).alias("clip_path"), F.col("tc_in"), F.col("tc_out")]
+    times = [F.coalesce(*_of(rows, None, n, "string"), F.lit(None).cast("string")).alias(n) for n in ("tc_in", "tc_out")]
+    more = [F.col("shot_id"), F.concat("shot_id", F.lit(".mp4")).alias("clip_path"), *times]
     if {"prev", "next"} <= set(rows.columns):
         more.append(F.struct("prev", "next").alias("relationships"))
     if "keyframes" in rows.columns:

@@ -149,6 +149,22 @@ def test_extend(spark):
     assert 28.5 <= total <= 31.5 and rows[-1]["technique"] == "补充插入" and rows[0]["shot_id"] == "S000"
 
 
+def test_decisions_keep_their_place_and_stay_without_a_shot(spark):
+    s = shots(spark, {"status": "核心", "fps": 60.0, "quality_score": 0.9}, {"status": "核心", "quality_score": 0.2}, {"status": "强制保留", "quality_score": 0.1})
+    d = decide(spark, {}, {"shot_id": "S000"}, {"shot_id": "X"}, {"shot_id": "S001", "speed": "2x"}, {"shot_id": "S002"})
+    least = spark.createDataFrame([("p", 47.0)], "project_id string, target_min double")
+    # 22.5 seconds before; S000 may play four times as long, twice; S001 and S002 have 24 frames
+    rows = edit.extend_slow(d, s, least).orderBy("seq").collect()
+    assert [(r["shot_id"], r["speed"]) for r in rows] == [("S000", "25%"), ("S000", "34%"), ("X", "1x"), ("S001", "2x"), ("S002", "1x")]
+    assert len(rows) == 5 and rows[2]["notes"] == "" and edit.projected_duration(d, s).first()["total_sec"] == 22.5
+    fast = {r["seq"]: r["speed"] for r in edit.compress_speed(d, s).collect()}
+    assert fast == {1: "200%", 2: "200%", 3: "1x", 4: "2x", 5: "1x"}
+    kept = edit.compress_drop(d, s, F.lit(12.0)).collect()  # X (quality 0) and S001 go, then both of S000
+    assert sorted(r["seq"] for r in kept) == [5]
+    assert {r["seq"] for r in edit.compress_drop(d, s, F.lit(15.0)).collect()} == {1, 2, 5}
+    assert {r["seq"] for r in edit.protect(d, s).collect()} == {1, 2, 4, 5} and edit.guard_speed(d, s).count() == 5
+
+
 def test_timeline_and_exports(spark):
     s = shots(spark, {"tc_out": "00:00:10:00"}, {})
     d = decide(spark, {"speed": "2x", "tc_out": "00:00:10:00"}, {"transition": "叠化", "notes": "n"}).withColumn("sequence", F.col("seq"))
