@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words that a worker remembers, and their characters; then it starts anew.
 KEPT, KEPT_CHARS = 500_000, 16_000_000
+#: Symbols up to which a word is merged in a list.
+SHORT = 64
 _NONE = int(np.iinfo(np.int64).max)
 #: Bits of a token id below the rank in one number.
 _ID_BITS = 20
@@ -96,10 +98,27 @@ class WordBpe:
             node[-1] = i
 
     def merged(self, parts: list[int]) -> list[int]:
-        """Exact merging: the pair of lowest rank, leftmost first, until none is left.
-
-        Parts are linked to their neighbours and pairs wait in a heap, so the work
-        is n log n; a pair whose parts have changed since is passed over.
+        """Exact merging: the pair of lowest rank, leftmost first, until none is left."""
+        return self._merged_list(parts) if len(parts) <= SHORT else self._merged_heap(parts)
+
+    def _merged_list(self, parts: list[int]) -> list[int]:
+        """Merging with the ranks of all pairs in a list, which is fastest for few parts."""
+        parts, size, get = list(parts), self.size, self.join.get
+        ranks = [get(a * size + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (low := min(ranks)) != _NONE:
+            at = ranks.index(low)
+            parts[at] = low & (1 << _ID_BITS) - 1
+            del parts[at + 1], ranks[at]
+            if at:
+                ranks[at - 1] = get(parts[at - 1] * size + parts[at], _NONE)
+            if at < len(ranks):
+                ranks[at] = get(parts[at] * size + parts[at + 1], _NONE)
+        return parts
+
+    def _merged_heap(self, parts: list[int]) -> list[int]:
+        """Merging in n log n: parts are linked to their neighbours and pairs wait in a heap.
+
+        A pair whose parts have changed since is passed over.
         """
         parts, size, get, n = list(parts), self.size, self.join.get, len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))

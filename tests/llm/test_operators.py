@@ -255,6 +255,13 @@ def test_bpe_of_very_long_words(library):
         assert ids == np.array(want, "<u4").tobytes()
 
 
+def test_both_ways_of_merging_agree():
+    w, rng = bpe.encoder(), np.random.default_rng(12)
+    for _ in range(500):
+        symbols = w._symbols("".join(rng.choice(list("thinesroab"), int(rng.integers(1, 90)))).encode())
+        assert w._merged_list(symbols) == w._merged_heap(symbols)
+
+
 def test_bpe_forgets_words(library, monkeypatch):
     monkeypatch.setattr(bpe, "KEPT_CHARS", 50)
     monkeypatch.setattr(bpe, "_GROUP", 30)
