@@ -224,14 +224,17 @@ def learn(rows: list[tuple[dict[str, float], int]], precision: float = 0.9, leas
 def learn_rules(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DecisionList:
     """Fit the list on up to ``sample`` labelled documents, chosen by a hash of the id.
 
-    Labels of null and ids without a document are left out.
+    Labels of null and ids without a document are left out. Of labels that repeat an
+    id the least counts, of documents that do the one of the least statistics, so
+    that the sample keeps its bound.
     """
     usable = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("quality")).where(
         F.col("quality").isNotNull() & F.col("label_id").isNotNull()
     )
     chosen = (
         thinned(usable, F.col("label_id"), sample)
-        .dropDuplicates(["label_id"])
+        .groupBy("label_id")
+        .agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("label_id"), "label_id")
         .limit(sample)
     )
@@ -241,8 +244,9 @@ def learn_rules(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
         .select("doc_id", "quality", text_statistics(F.col("text")).alias("s"))
     )
     cols = features(F.col("s.w.n_words"), F.col("s"))
-    rows = stats.select("doc_id", "quality", *[c.alias(k) for k, c in cols.items()]).orderBy("doc_id").collect()
-    return learn([({k: float(r[k]) for k in cols}, r["quality"]) for r in rows])
+    least = F.min(F.struct(*[c.alias(k) for k, c in cols.items()])).alias("least")
+    rows = stats.groupBy("doc_id", "quality").agg(least).orderBy("doc_id").collect()
+    return learn([({k: float(r["least"][k]) for k in cols}, r["quality"]) for r in rows])
 
 
 def quality_columns(text: Column, rules: DecisionList) -> Column:

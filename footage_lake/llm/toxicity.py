@@ -117,14 +117,17 @@ def fit(rows: list[tuple[np.ndarray, int]], n_terms: int = TERMS, factors: int =
 def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """Fit on up to ``sample`` labelled documents with crc32(doc_id) mod 3 other than 1, chosen by a hash of the id.
 
-    Null labels and ids without a document are left out.
+    Null labels and ids without a document are left out. Of labels that repeat an id
+    the least counts, of documents that do the one of the least terms, so that the
+    sample keeps its bound.
     """
     usable = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where(
         F.col("toxic").isNotNull() & F.col("label_id").isNotNull() & (id_bucket(F.col("label_id"), 3) != 1)
     )
     chosen = (
         thinned(usable, F.col("label_id"), sample)
-        .dropDuplicates(["label_id"])
+        .groupBy("label_id")
+        .agg(F.min("toxic").alias("toxic"))
         .orderBy(F.xxhash64("label_id"), "label_id")
         .limit(sample)
     )
@@ -139,6 +142,8 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mach
         .join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
         .select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", "text")
         .mapInArrow(of_batch, "doc_id string, toxic int, terms binary")
+        .groupBy("doc_id", "toxic")
+        .agg(F.min("terms").alias("terms"))
         .collect()
     )
     rows.sort(key=lambda r: (len(r["doc_id"]), r["doc_id"], bytes(r["terms"])))

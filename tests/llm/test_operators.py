@@ -533,6 +533,17 @@ def test_quality_verdicts_by_the_list(docs, labels):
     assert quality_rules.keep_good(empty(docs), rules).count() == 0
 
 
+def test_learners_take_a_repeated_id_once(spark, docs, labels, monkeypatch):
+    """Copies of documents and labels change neither the rules nor the machine, and conflicting labels count as the least."""
+    many, twice = docs.unionByName(docs).unionByName(docs), labels.unionByName(labels.withColumn("quality", F.lit(2)).withColumn("toxic", F.lit(2)))
+    assert quality_rules.learn_rules(many, twice).rules == quality_rules.learn_rules(docs, labels).rules
+    fitted = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows: fitted.append([(bytes(t), y) for t, y in rows]))
+    toxicity.learn(docs, labels)
+    toxicity.learn(many, twice)
+    assert fitted[0] == fitted[1] and len(fitted[0]) > 20
+
+
 def test_decision_list_finds_planted_rules():
     rng = np.random.default_rng(0)
     rows = [({"x": float(a), "y": float(b)}, 0 if a > 0.7 and b < 0.4 else 1) for a, b in rng.random((1500, 2))]
