@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["project_id", "asset_id"]
+#: Microseconds of a time slot in which points and segments meet.
+SLOT = 10_000_000
 ATTRIBUTES = ["camera_position", "characters", "emotion", "action", "location", "dialogue", "coherence_score", "is_long_take"]
 WEIGHTS = {"camera_change": 0.35, "subject_change": 0.25, "emotion_break": 0.15, "action_break": 0.10, "plot_shift": 0.10, "dialogue_break": 0.05}
 
@@ -17,15 +19,20 @@ WEIGHTS = {"camera_change": 0.35, "subject_change": 0.25, "emotion_break": 0.15,
 def segment_at(points: DataFrame, segments: DataFrame, shift: int, name: str) -> DataFrame:
     """B1: struct ``name`` of the first segment with start <= t + shift < end, else of the last one.
 
-    The segments of an asset are aggregated to an array once, so a point is looked
-    up without pairing it with each of them; the array is bounded by the segments
-    of one asset.
+    Points and segments meet in slots of ``SLOT``, so neither a task nor a point
+    holds all segments of an asset; a segment has a row for each slot that it touches.
+    Points of an asset without segments are left out, points without a time get the last one.
     """
-    held = segments.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("seg_seq", "start_us", "end_us", *ATTRIBUTES))).alias("held"))
+    seg = segments.select(*KEYS, F.struct("seg_seq", "start_us", "end_us", *ATTRIBUTES).alias("_seg"))
+    last = seg.groupBy(*KEYS).agg(F.max("_seg").alias("_last"))
+    slot = lambda t: F.floor(t / SLOT)
+    start, end = F.col("_seg.start_us"), F.col("_seg.end_us")
+    slots = seg.where(start < end).withColumn("_slot", F.explode(F.sequence(slot(start), slot(end - 1))))
     t = F.col("t_us") + shift
-    hit = F.filter("held", lambda s: (s["start_us"] <= t) & (t < s["end_us"]))
-    found = F.coalesce(F.get(hit, F.lit(0)), F.element_at("held", -1))
-    return points.join(held, KEYS).withColumn(name, found).drop("held")
+    met = points.select(*KEYS, "t_us").distinct().withColumn("_slot", slot(t)).join(slots, [*KEYS, "_slot"])
+    hits = met.where((start <= t) & (t < end)).groupBy(*KEYS, "t_us").agg(F.min("_seg").alias("_hit"))
+    found = points.join(hits, [*KEYS, "t_us"], "left").join(last, KEYS)
+    return found.select(*[F.col(c) for c in points.columns], F.coalesce("_hit", "_last").alias(name))
 
 
 def _people(c: Column) -> Column:

@@ -71,6 +71,24 @@ def test_boundary_scores(spark, left, right, score, grade):
     assert kept["protected"] and kept["score"] == pytest.approx(score - 0.15)
 
 
+def test_segment_lookup_by_brute_force(spark):
+    """Overlapping, very long, empty and gapped segments; repeated points, points before, between and after them."""
+    spans = [("a", 0, 1_000_000, 4_000_000), ("a", 1, 2_000_000, 95_000_000), ("a", 2, 9_999_999, 10_000_001), ("a", 3, 120_000_000, 130_000_000), ("a", 4, 50, 50), ("b", 7, 0, 20_000_000)]
+    fields = [None, None, None, None, None, None, 0.5, False]
+    segs = spark.createDataFrame([("p", a, n, x, y, *fields) for a, n, x, y in spans], SEG)
+    times = [0, 900_000, 1_900_000, 1_900_000, 9_899_999, 9_900_000, 94_899_999, 94_900_000, 119_900_000, 125_000_000, 200_000_000, None]
+    points = spark.createDataFrame([("p", a, t, "x") for a in "abc" for t in times], "project_id string, asset_id string, t_us bigint, _seg string")
+    rows = segments.segment_at(points, segs, 100_000, "here").collect()
+
+    def first(asset, t):
+        own = [s for s in spans if s[0] == asset]
+        inside = [n for _, n, x, y in own if t is not None and x <= t + 100_000 < y]
+        return min(inside) if inside else max(n for _, n, _, _ in own)
+
+    assert len(rows) == 2 * len(times)
+    assert all(r["here"]["seg_seq"] == first(r["asset_id"], r["t_us"]) for r in rows)
+
+
 def test_take_selection(spark):
     s = selection.initial_status(shots(spark, {"quality_score": 3.0}, {"quality_score": 5.0}, {"state": "PROCESSED", "beat": "b2", "quality_score": 2.0}, {"beat": "b2", "quality_score": 5.0}, {"state": "ANALYZED", "beat": "b3"}, {"beat": None}, {"beat": "ERROR"}))
     assert statuses(s)["S005"] == statuses(s)["S006"] == "未匹配"
