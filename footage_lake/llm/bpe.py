@@ -181,10 +181,12 @@ class WordBpe:
         return ok
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of words: proposals where all pairs hold, else exact merging."""
+        """Ids of words: proposals where all pairs hold, else exact merging. Of no words, nothing."""
+        if not words:
+            return []
         symbols = [self._symbols(w) for w in words]
         tried = [self.proposed(w) for w in symbols]
-        counts = np.array([len(t) for t in tried])
+        counts = np.array([len(t) for t in tried], np.int64)
         flat = np.array([i for t in tried for i in t], np.int64)
         word = np.repeat(np.arange(len(words)), counts)
         inner = np.flatnonzero(word[1:] == word[:-1])
@@ -304,8 +306,9 @@ def encoder(path: str = VOCABULARY) -> WordBpe:
 def round_trip(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, digests of the ids and of the decoded text, a row per document.
 
-    Null and empty texts have no tokens. Repeated rows are encoded alike; an
-    empty table gives no rows; other columns are ignored.
+    Null and empty texts have no tokens; a text of special tokens alone has just
+    these. Texts of any length are encoded whole. Repeated rows are encoded alike; an
+    empty table gives no rows; other columns are ignored, whatever their names.
     """
 
     def of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -93,7 +93,9 @@ class Node:
 def parse(page: str | None, composed: bool = False) -> list[Node]:
     """Nodes in page order, parents first; the root is an empty box. A null page is empty.
 
-    Only pages that ``composed`` made say of their elements what is content.
+    Only pages that ``composed`` made say of their elements what is content. The time
+    is linear in the page: where the open elements of a name are, and which open element
+    is the innermost block, is kept while they open and close.
     """
     page = page or ""
     nodes = [Node("body", -1, 0)]
@@ -102,6 +104,15 @@ def parse(page: str | None, composed: bool = False) -> list[Node]:
     links = [0, 0]  # open links, characters inside them in the run
     quiet = 0  # place in the stack of the outermost rejected element, 0: none is open
     ends: dict[str, tuple[int, bool]] = {}  # per rejected name, where its next tag is and whether it is an end tag
+    places: dict[str, list[int]] = {}  # per name, places in the stack of its open elements
+    blocks: list[int] = []  # places in the stack of the open elements that are not inline
+    headless = False  # no end of a head lies ahead
+
+    def push(tag: str, owner: int) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        stack.append((tag, owner))
 
     def ended(tag: str, start: int) -> bool:
         """Whether the element that starts before ``start`` has an end tag."""
@@ -136,6 +147,10 @@ def parse(page: str | None, composed: bool = False) -> list[Node]:
         if any(t not in INLINE for t, _ in heard):
             flush()
         links[0] -= sum(t == "a" for t, _ in heard)
+        for t, _ in stack[k:]:
+            places[t].pop()
+        while blocks and blocks[-1] >= k:
+            blocks.pop()
         del stack[k:]
         if k <= quiet:
             quiet = 0
@@ -153,25 +168,24 @@ def parse(page: str | None, composed: bool = False) -> list[Node]:
             continue
         tag = tag.lower()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if stack[k][0] in HOLDERS and tag not in INLINE and tag not in _KIND:
-                    break
+            k = places[tag][-1] if places.get(tag) else 0
+            held = () if tag in INLINE or tag in _KIND else HOLDERS  # an unknown name does not end a list or table
+            if k and not any(places.get(t) and places[t][-1] > k for t in held):
+                close(k)
             continue
         if tag == "head":
-            at = _head_end(page, at)
+            after = at if headless else _head_end(page, at)
+            headless, at = after == at, after
             continue
         if tag in RAW and not (quiet and attrs.endswith("/")):
-            stop = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
+            stop = re.compile(f"</{tag}\\b[^>]*(?:>|\\Z)", re.I).search(page, at)
             at = stop.end() if stop else end
             continue
         if quiet or tag in REJECTED:
             own = not attrs.endswith("/") and tag not in VOID
             if own and (tag not in REJECTED or ended(tag, at)):
                 quiet = quiet or len(stack)
-                stack.append((tag, stack[-1][1]))
+                push(tag, stack[-1][1])
             continue
         if tag == "math" and attrs.endswith("/"):
             continue
@@ -185,15 +199,10 @@ def parse(page: str | None, composed: bool = False) -> list[Node]:
         if tag in INLINE:
             if tag == "a":
                 links[0] += 1
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             continue
-        for k in range(len(stack) - 1, 0, -1):  # what this element ends by starting
-            name = stack[k][0]
-            if name == "p" or name in CLOSES.get(tag, ()):
-                close(k)
-                break
-            if name not in INLINE:
-                break
+        if blocks and (stack[blocks[-1]][0] == "p" or stack[blocks[-1]][0] in CLOSES.get(tag, ())):
+            close(blocks[-1])  # this element ends it by starting
         flush()
         said = {a.lower(): (v or "").strip("\"'").lower() for a, v in _ATTR.findall(attrs)} if attrs and "=" in attrs or "hidden" in (attrs or "") else {}
         if "hidden" in said:
@@ -202,7 +211,7 @@ def parse(page: str | None, composed: bool = False) -> list[Node]:
         owner = stack[-1][1]
         nodes.append(Node(tag, owner, nodes[owner].depth + 1, tokens, said.get("data-truth") if composed else None))
         nodes[owner].kids.append(len(nodes) - 1)
-        stack.append((tag, len(nodes) - 1))
+        push(tag, len(nodes) - 1)
     flush()
     return nodes
 
@@ -353,12 +362,30 @@ def decoded(nodes: list[Node], odds: np.ndarray) -> str:
     return " ".join(out)
 
 
+# Words of attributes that say of a part of an article that it is none of its text.
+APART = set(
+    "nav navbar navigation breadcrumb breadcrumbs pagination pager sidebar widget widgets related recommended trending popular"
+    " ad ads adv advert advertisement adverts banner promo promotion sponsor sponsored sponsors cookie cookies consent gdpr popup modal overlay paywall disclaimer"
+    " form search login signup subscribe newsletter share sharing social comment comments reply replies respond disqus discussion feedback copyright".split()
+)
+
+
 def truths(nodes: list[Node]) -> np.ndarray:
-    """1 for nodes in an article (or marked so) and for those above kept text; 0 for the rest."""
-    own = np.zeros(len(nodes))
+    """1 for nodes in an article (or marked so) and for those above kept text; 0 for the rest.
+
+    Menus, forms, side matter, footers and what its attributes name as advert, notice,
+    share bar or reader comments are no content inside an article either.
+    """
+    own, lost = np.zeros(len(nodes)), np.zeros(len(nodes), bool)
     for k, x in enumerate(nodes):
         inside = own[x.up] if x.up >= 0 else 0
-        own[k] = {"1": 1, "0": 0, None: 1 if x.tag in ("article", "main") else 0 if x.tag in ("nav", "footer", "aside", "form", "header") and not inside else inside}[x.truth]
+        if x.truth is not None:
+            own[k] = x.truth == "1"
+            continue
+        top = x.tag in ("article", "main")
+        apart = x.tag in ("nav", "footer", "aside", "form") or x.tag == "header" and not inside or not top and not x.tokens.isdisjoint(APART)
+        lost[k] = x.up >= 0 and lost[x.up] or bool(inside) and apart
+        own[k] = not lost[k] and (top or inside and not apart)
     out = own.copy()
     for k in range(len(nodes) - 1, 0, -1):
         if out[k] and (nodes[k].text or nodes[k].kids):
@@ -459,8 +486,9 @@ def extracted(pages: DataFrame, trees: Trees) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     A null page is empty and gives the empty text. Without trained trees (no page
-    has a text) nothing is kept. Repeated rows come back as often as they
-    came; an empty table gives no rows; other columns are ignored.
+    has a text) nothing is kept. Pages of any length are read whole, in time linear in
+    their length. Repeated rows come back as often as they came; an empty table gives
+    no rows; other columns are ignored, whatever their names.
     """
     sent = pages.sparkSession.sparkContext.broadcast(trees)
 
@@ -483,4 +511,5 @@ def extracted(pages: DataFrame, trees: Trees) -> DataFrame:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
+    """``extracted`` with trees learned from the pages themselves; see there for nulls, empty tables and long pages."""
     return extracted(pages, learn(pages))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -239,6 +240,20 @@ def test_bpe_equals_the_library(docs, odd, library):
     assert bpe.round_trip(empty(docs)).count() == 0
 
 
+def test_bpe_of_special_tokens_alone(spark, library):
+    end, start = "<|endoftext|>", "<|startoftext|>"
+    encoder = bpe.WordBpe()
+    assert encoder.encode_words([]) == []
+    for batch in ([end], ["hello world"], [f"hello {end} world"], [end + start, "", start * 3], [f"{end}hello"]):
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.ids_of(batch)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in batch]
+    frame = spark.createDataFrame([(1, end)], "doc_id bigint, text string")
+    ids = np.array(library.encode(end, add_special_tokens=False).ids, "<u4").tobytes()
+    row = bpe.round_trip(frame).first()
+    assert (row["n_tokens"], row["ids_sha256"]) == (1, hashlib.sha256(ids).hexdigest())
+    assert sum(r["length"] for r in packing.packed(frame).collect()) == 2
+
+
 def test_bpe_on_random_strings(library):
     rng = np.random.default_rng(5)
     letters = list("abcdefghij'ABC .,!?%\t\n\x0b\x0c\x1c\x85 éÉßΑΣς12三́​İ😀ñ") + ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>"]
@@ -767,6 +782,20 @@ def test_parser_drops_no_text_behind_a_rejected_element(inside, want):
     assert " ".join(x.text for x in nodes if x.text) == want + " after"
 
 
+@pytest.mark.parametrize("page", ["<b>" * 170_000 + "</i>" * 130_000, "<b>" * 150_000 + "<p>" * 150_000, "<ul><foo>" * 60_000 + "</foo>" * 80_000, "<head>" * 170_000, "<title>" + "</title" * 150_000])
+def test_parser_is_linear_in_open_and_unmatched_tags(page):
+    start = time.process_time()
+    main_text.parse(page + "<p>end</p>")
+    assert time.process_time() - start < 10
+
+
+def test_parts_of_an_article_that_are_none_of_its_text():
+    apart = ['<div class="comments"><p>no</p><article>no</article></div>', "<form><p>no</p></form>", '<div class="advert">no</div>', "<aside>no</aside>", "<footer>no</footer>", '<ul class="share-bar social"><li>no</li></ul>']
+    nodes = main_text.parse("<html><body><header>no</header><article class='post comment'><header><h1>yes</h1></header><p>yes</p>" + "<p>yes</p>".join(apart) + "</article><div>no</div></body></html>")
+    assert {x.text for x, t in zip(nodes, main_text.truths(nodes), strict=True) if x.text and t} == {"yes"}
+    assert {x.text for x, t in zip(nodes, main_text.truths(nodes), strict=True) if x.text and not t} == {"no"}
+
+
 def test_decoding_never_keeps_below_a_rejected_node():
     nodes = main_text.parse("<div><p>a</p><div><p>b</p></div></div>")
     rng = np.random.default_rng(0)
