@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,3 +140,40 @@ def thinned(frame: DataFrame, key: Column, rows: int, n: int | None = None) -> D
     n = frame.count() if n is None else n
     share = min(1.0, 2 * max(rows, 500) / max(n, 1))
     return frame if share == 1.0 else frame.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+#: Vectors that one task adds up.
+FAN = 16
+
+
+def tree_sum(rows: DataFrame, of_task: Callable[[Iterator[pa.RecordBatch]], np.ndarray], kind: type) -> np.ndarray:
+    """The sum over the tasks of the vector that ``of_task`` makes of a task's batches; shorter vectors end in zeros.
+
+    Vectors are added up ``FAN`` at a time in tasks, then the last few on the driver, in
+    the order of the tasks' numbers in each. Without a task: no entries.
+    """
+
+    def row(task: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([total.astype(kind).tobytes()], pa.binary())], ["task", "total"])
+
+    def added(parts: list[tuple[int, bytes]]) -> np.ndarray:
+        vectors = [np.frombuffer(v, kind) for _, v in sorted(parts)]
+        out = np.zeros(max(map(len, vectors), default=0), kind)
+        for v in vectors:
+            out[: len(v)] += v
+        return out
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield row(TaskContext.get().partitionId(), of_task(batches))
+
+    def next_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [p for b in batches for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        if parts:
+            yield row(min(parts)[0], added(parts))
+
+    tasks = rows.rdd.getNumPartitions()
+    vectors = rows.mapInArrow(first, "task int, total binary")
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        vectors = vectors.repartition(tasks).mapInArrow(next_, "task int, total binary")
+    return added([(r["task"], bytes(r["total"])) for r in vectors.collect()])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footage_lake.llm import bpe, fingerprint, hmm, main_text, packing, quality_rules, secrets, simhash, token_counts, toxicity
+from footage_lake.llm import bpe, fingerprint, hmm, main_text, packing, quality_rules, secrets, simhash, spelling, token_counts, toxicity, whitening
 from footage_lake.llm.common import table
 
 
@@ -51,6 +51,14 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_report(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_fingerprints": op2_fingerprints,
@@ -62,6 +70,8 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_main_text": op10_main_text,
+    "op11_spelling": op11_spelling,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLE: dict[str, str] = {}
