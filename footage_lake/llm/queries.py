@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footage_lake.llm import bpe, fingerprint, hmm, main_text, packing, quality_rules, secrets, simhash, spelling, token_counts, toxicity, whitening
+from footage_lake.llm import bpe, fingerprint, hmm, main_text, packing, personal, quality_rules, secrets, simhash, spelling, token_counts, toxicity, whitening
 from footage_lake.llm.common import table
 
 
@@ -59,6 +59,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return personal.personal_report(documents, personal.learn(documents))
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_fingerprints": op2_fingerprints,
@@ -72,6 +77,7 @@ QUERIES = {
     "op10_main_text": op10_main_text,
     "op11_spelling": op11_spelling,
     "op12_whitening": op12_whitening,
+    "op13_personal": op13_personal,
 }
 
 ORACLE: dict[str, str] = {}
