@@ -86,7 +86,7 @@ PLANTED = [
     ("She was born 12.03.1984 in a village", "12.03.1984", "birth_date"),
     ("We met Dr. Peter Miller there", "Peter Miller", "name"),
 ]
-CLEAN = ["Order no 123-45-0000 shipped", "see section 12.03.2001 of the table", "part 4811 2233 4455 of lot", "version 300.2.1.999 released", "number 9807915762804490 in the list", "rows 4811 2233 4455 and 123-45-6789 of 12.03.2001", "Dr. No was shown", "set at noon dot com", "we look at example.com", "AB12 3456 7890 1234 is a serial"]
+CLEAN = ["Order no 123-45-0000 shipped", "see section 12.03.2001 of the table", "part 4811 2233 4455 of lot", "version 300.2.1.999 released", "number 9807915762804490 in the list", "rows 4811 2233 4455 and 123-45-6789 of 12.03.2001", "Dr. No was shown", "we look at example.com", "AB12 3456 7890 1234 is a serial"]
 
 
 def test_added_spans(spark):
