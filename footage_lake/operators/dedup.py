@@ -1,17 +1,24 @@
 """Duplicate takes: equal content, close perceptual hashes, close vectors.
 
-Shots carry ``idx``, their input order in the project; ties and the greedy choice
-depend on it. Pairs are formed inside (project, beat) with the closeness test in the
-join itself, so only close pairs leave it.
+Shots carry ``idx``, their input order in the project, which is distinct there; ties
+and the greedy choice depend on it. Pairs are formed inside (project, beat) of numbers
+and hashes or vectors alone; only the close ones get their shots by a join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footage_lake.functions.timecode import bit_hamming, direction_sign, hex_hamming
+from footage_lake.functions.ordered import few, numbered
+from footage_lake.functions.staged import staged
+from footage_lake.functions.timecode import direction_sign
+from footage_lake.operators.close_pairs import CELL, PART, Measure, close_pairs
 
 DISCARDED, PROTECTED, REVIEW, CANDIDATE, CORE, ALTERNATE, UNMATCHED = "废弃", "强制保留", "待复核", "候选", "核心", "备选", "未匹配"
 STRONG = ["情绪延续", "动作衔接", "对话衔接"]
@@ -31,15 +38,17 @@ def dedup_exact(shots: DataFrame, md5: str = "md5") -> DataFrame:
 
     Shots without a digest are left as they are, and so are the core and the protected ones.
     """
+    alone = shots.where(F.col(md5).isNull())
     w = Window.partitionBy("project_id", md5)
     order = w.orderBy(state_priority(F.col("state")).desc(), F.col("quality_score").desc(), "idx")
-    rows = shots.withColumn("rank_in_copies", F.row_number().over(order)).withColumn("keeper", F.first("shot_id").over(order))
-    lost = F.col(md5).isNotNull() & (F.col("rank_in_copies") > 1) & ~F.col("status").isin(CORE, PROTECTED)
+    rows = shots.where(F.col(md5).isNotNull()).withColumn("rank_in_copies", F.row_number().over(order)).withColumn("keeper", F.first("shot_id").over(order))
+    lost = (F.col("rank_in_copies") > 1) & ~F.col("status").isin(CORE, PROTECTED)
     reason = F.concat(F.lit("L1文件级重复(MD5 "), F.substring(md5, 1, 8), F.lit("...): 保留 "), F.col("keeper"))
     return (
         rows.withColumn("dedup_reason", F.when(lost, reason).otherwise(F.col("dedup_reason")))
         .withColumn("status", F.when(lost, DISCARDED).otherwise(F.col("status")))
         .drop("rank_in_copies", "keeper")
+        .unionByName(alone)
     )
 
 
@@ -67,54 +76,79 @@ def are_related(a: Column, b: Column) -> Column:
 PAIR = ["idx", "shot_id", "quality_score", "source_file", "source_path", "characters", "direction", "prev", "next"]
 
 
-def _pairs(shots: DataFrame, close, value: str, related: bool) -> DataFrame:
-    """Close pairs of a project's beat, the earlier row first; with an array column ``runs`` only of rows that agree in one of them."""
-    runs = "runs" in shots.columns
-    rows = shots if runs else shots.withColumn("runs", F.array(F.lit("")))
-    rows = rows.select("project_id", "beat", F.struct(*PAIR, value, "runs").alias("row"), F.posexplode("runs").alias("run", "at"))
-    side = lambda n: rows.select(*[F.col(c).alias(f"{n}_{c}") for c in ("project_id", "beat", "run", "at")], F.col("row").alias(n))
+def _told(found: DataFrame, candidates: DataFrame, value: str, related: bool) -> DataFrame:
+    """Close pairs (project_id, beat, i, j, value) with the shots and qualities of both; related ones go."""
+    side = lambda n: candidates.select(F.col("project_id").alias(f"{n}_project"), F.col("beat").alias(f"{n}_beat"), F.struct(*PAIR).alias(n))
+    at = lambda n, k: (F.col("project_id") == F.col(f"{n}_project")) & (F.col("beat") == F.col(f"{n}_beat")) & (F.col(k) == F.col(f"{n}.idx"))
+    rows = found.join(side("a"), at("a", "i")).join(side("b"), at("b", "j"))
     a, b = F.col("a"), F.col("b")
-    on = (F.col("a_project_id") == F.col("b_project_id")) & (F.col("a_beat") == F.col("b_beat")) & (F.col("a_run") == F.col("b_run")) & (F.col("a_at") == F.col("b_at"))
-    on = on & (a["idx"] < b["idx"]) & close(a[value], b[value])
-    if runs:
-        before = lambda s: F.slice(s["runs"], 1, F.col("a_run"))
-        on = on & ~F.exists(F.zip_with(before(a), before(b), lambda x, y: x == y), lambda same: same)
     if related:
-        on = on & ~are_related(a, b)
-    return side("a").join(side("b"), on).select(
-        F.col("a_project_id").alias("project_id"),
-        F.col("a_beat").alias("beat"),
-        a["idx"].alias("i"),
-        b["idx"].alias("j"),
-        a["shot_id"].alias("shot_a"),
-        b["shot_id"].alias("shot_b"),
-        a["quality_score"].alias("q_a"),
-        b["quality_score"].alias("q_b"),
-        a[value].alias("value_a"),
-        b[value].alias("value_b"),
-    )
+        rows = rows.where(~are_related(a, b))
+    return rows.select("project_id", "beat", "i", "j", a["shot_id"].alias("shot_a"), b["shot_id"].alias("shot_b"), a["quality_score"].alias("q_a"), b["quality_score"].alias("q_b"), F.col("value").alias(value))
+
 
+#: Shots of a beat up to which all are compared with all; in larger ones hashes meet by their segments.
+FEW_SHOTS = 512
+#: Bits in which a segment of two hashes may differ to be looked up.
+_FLIPS = 2
 
-def _bands(length: int, most: int) -> list[tuple[int, int]]:
-    """(start, size) of ``most`` + 1 runs of like size over ``length`` places: hashes that differ in ``most`` places agree in a run."""
-    n = min(most + 1, length)
-    cuts = [k * length // n for k in range(n + 1)]
-    return [(x, y - x) for x, y in zip(cuts, cuts[1:], strict=False)]
+
+def _budgets(most: int) -> list[int]:
+    """Per 16-bit segment the bits that may differ: hashes that differ in ``most`` bits keep one of these; -1: not looked up."""
+    whole, over = divmod(most + 1, 4)
+    return [whole - (k >= over) for k in range(4)]
+
+
+def _by_segments(rows: DataFrame, most: int) -> DataFrame:
+    """Pairs of rows (project_id, beat, idx, value) whose 64-bit values differ in ``most`` bits, up to 11.
+
+    A segment is looked up under itself and under each flip of one bit, on both sides: two
+    that differ in two bits meet halfway. A pair counts in its first segment within budget
+    only, and there only where the earlier row has the lower flip (or neither has one).
+    """
+    budgets = _budgets(most)
+    segment = lambda v, k: F.shiftrightunsigned(v, 16 * k).bitwiseAND(F.lit(65535))
+    flips = lambda n: F.array(*[F.lit(0 if b == 0 else 1 << b - 1).cast("bigint") for b in range(17 if n else 1)])
+
+    def side(n: str) -> DataFrame:
+        """The earlier row of a pair needs no flip where one bit may differ."""
+        looked = [_looked(F.col("value"), k, t, n) for k, t in enumerate(budgets) if t >= 0]
+        each = rows.select("project_id", "beat", "idx", "value", F.explode(F.flatten(F.array(*looked))).alias("at"))
+        return each.select(*[F.col(c).alias(f"{n}_{c}") for c in ("project_id", "beat", "idx", "value")], *[F.col(f"at.{c}").alias(f"{n}_{c}") for c in ("segment", "key", "flip")])
+
+    def _looked(value: Column, k: int, budget: int, n: str) -> Column:
+        every = flips(budget > (1 if n == "a" else 0))
+        return F.transform(every, lambda f: F.struct(F.lit(k).alias("segment"), segment(value, k).bitwiseXOR(f).alias("key"), f.alias("flip")))
+
+    c = F.col
+    x = c("a_value").bitwiseXOR(c("b_value"))
+    earlier = F.lit(False)
+    for k, t in enumerate(budgets):
+        earlier = earlier | ((c("a_segment") > k) & (F.bit_count(segment(x, k)) <= t))
+    on = [c(f"a_{n}") == c(f"b_{n}") for n in ("project_id", "beat", "segment", "key")]
+    once = (c("a_flip") < c("b_flip")) | ((c("a_flip") == 0) & (c("b_flip") == 0))
+    test = (c("a_idx") < c("b_idx")) & once & ~earlier & (F.bit_count(x) <= most)
+    met = side("a").join(side("b"), reduce(and_, on) & test)
+    return met.select(c("a_project_id").alias("project_id"), c("a_beat").alias("beat"), c("a_idx").alias("i"), c("b_idx").alias("j"), F.bit_count(x).cast("double").alias("value"))
 
 
 def hash_pairs(candidates: DataFrame, most: int = 10, mode: str = "bits", related: bool = True) -> DataFrame:
     """Pairs of candidates in a beat whose hashes (16 hex digits) differ in ``most`` places, bits or digits.
 
-    Joined on a run of places that both share, so that a beat's shots do not all
-    meet; a pair counts in its first common run. From 64 bits (16 digits) on all meet.
+    In beats of over ``FEW_SHOTS`` shots, hashes within 11 bits meet by a segment of 16
+    bits that differs in two at most; other beats, wider distances and digits compare
+    all hashes of a beat on arrays, in parts.
     """
-    distance = bit_hamming if mode == "bits" else hex_hamming
-    rows = candidates.where("phash IS NOT NULL")
-    places = F.concat(*[F.lpad(F.conv(F.substring("phash", k, 8), 16, 2), 32, "0") for k in (1, 9)]) if mode == "bits" else F.col("phash")
-    length = 64 if mode == "bits" else 16
-    runs = [F.substring(places, start + 1, size) for start, size in _bands(length, most)] if most < length else [F.lit("")]
-    found = _pairs(rows.withColumn("runs", F.array(*runs)), lambda x, y: distance(x, y) <= most, "phash", related)
-    return found.withColumn("distance", distance(F.col("value_a"), F.col("value_b"))).drop("value_a", "value_b")
+    number = lambda k: F.conv(F.substring("phash", k, 8), 16, 10).cast("bigint")
+    rows = candidates.where(F.col("phash").rlike("^[0-9a-fA-F]{16}$")).select("project_id", "beat", F.col("idx").cast("bigint").alias("idx"), F.shiftleft(number(1), 32).bitwiseOR(number(9)).alias("value"))
+    kind = Measure("bits" if mode == "bits" else "digits", most)
+    if mode != "bits" or most > 4 * (_FLIPS + 1) - 1:
+        found = close_pairs(rows, kind)
+    else:
+        sizes = rows.groupBy("project_id", "beat").agg(F.count("*").alias("n"))
+        marked = rows.join(few(sizes), ["project_id", "beat"])
+        found = close_pairs(marked.where(F.col("n") <= FEW_SHOTS), kind).unionByName(_by_segments(marked.where(F.col("n") > FEW_SHOTS), most))
+    return _told(found, candidates, "distance", related).withColumn("distance", F.col("distance").cast("int"))
 
 
 def unit(vector: Column) -> Column:
@@ -124,44 +158,87 @@ def unit(vector: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
+def vector_pairs(candidates: DataFrame, least: float = 0.92, related: bool = True, cell: int = CELL, part: int = PART) -> DataFrame:
+    """Pairs of candidates in a beat with cosine ``least`` or more; vectors are normalised once.
 
-def vector_pairs(candidates: DataFrame, least: float = 0.92, related: bool = True) -> DataFrame:
-    """Pairs of candidates in a beat with cosine ``least`` or more; vectors are normalised once."""
-    ready = candidates.where("vector IS NOT NULL").withColumn("vector", unit(F.col("vector")))
-    found = _pairs(ready, lambda x, y: dot(x, y) >= least, "vector", related)
-    return found.withColumn("similarity", dot(F.col("value_a"), F.col("value_b"))).drop("value_a", "value_b")
+    Exact: beats of over ``cell`` vectors are dealt to cells around pivots, with the vectors
+    near a border in both. Vectors with a null entry have no pair.
+    """
+    whole = candidates.where(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)))
+    rows = whole.select("project_id", "beat", "idx", unit(F.col("vector")).alias("value"))
+    return _told(close_pairs(rows, Measure("cosine", least), part, cell), candidates, "similarity", related)
+
+
+#: Close pairs of a beat that are walked in one run.
+WALK = 200_000
+
+
+def _walk(batches: Iterator[pa.RecordBatch], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Pairs in order in, told apart by project, beat and block; what each removes out. ``gone_i`` and ``gone_j`` say what was gone before the block."""
+    group, gone = None, set()
+    for b in batches:
+        out = []
+        for project, beat, block, i, j, shot_a, shot_b, q_a, q_b, gone_i, gone_j in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (project, beat, block) != group:
+                group, gone = (project, beat, block), set()
+            if gone_i or gone_j or i in gone or j in gone:
+                continue
+            first_wins = q_a >= q_b
+            gone.add(j if first_wins else i)
+            out.append((project, beat, block, *((j, shot_b, shot_a) if first_wins else (i, shot_a, shot_b))))
+        columns = zip(*out, strict=True) if out else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+
+def _removed(rows: DataFrame) -> DataFrame:
+    """(project_id, beat, block, idx, shot_id, kept_shot) that a walk over the pairs of each block removes."""
+    names = ["project_id", "beat", "block", "idx", "shot_id", "kept_shot"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    sorted_ = rows.select("project_id", "beat", "block", "i", "j", "shot_a", "shot_b", "q_a", "q_b", "gone_i", "gone_j").repartition("project_id", "beat", "block")
+    return sorted_.sortWithinPartitions("project_id", "beat", "block", "i", "j").mapInArrow(
+        lambda it: _walk(it, names, kinds), "project_id string, beat string, block bigint, idx bigint, shot_id string, kept_shot string"
+    )
 
 
-def resolve_greedy(pairs: DataFrame) -> DataFrame:
+def resolve_greedy(pairs: DataFrame, walk: int = WALK) -> DataFrame:
     """Losers of the greedy walk over close pairs, with the winner, per project and beat.
 
-    Pairs are taken in order of i, then j; a pair with a removed side is skipped;
-    the lower quality goes, on a tie the later; a losing i ends its row. Each choice
-    depends on those before, so a beat's close pairs pass one task, which holds the
-    numbers of the removed shots only.
+    Pairs are taken in order of i, then j; a pair with a removed side is skipped; the lower
+    quality goes, on a tie the later; a losing i ends its row. Beats of up to ``walk`` pairs
+    are walked in one run. Larger ones are cut into blocks of so many pairs, each walked
+    by itself under a guess of what the blocks before it removed, which is nothing at first and
+    then what they removed in the last round. A round that removes what the one before did
+    has guessed right in every block, so its result is that of the one walk; rounds are
+    at most one more than blocks, and few where blocks hardly touch each other.
     """
-    names = ["project_id", "beat", "shot_id", "kept_shot"]
-
-    def of_task(batches):
-        group, gone = None, set()
-        for b in batches:
-            out = []
-            for project, beat, i, j, shot_a, shot_b, q_a, q_b in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (project, beat) != group:
-                    group, gone = (project, beat), set()
-                if i in gone or j in gone:
-                    continue
-                first_wins = q_a >= q_b
-                gone.add(j if first_wins else i)
-                out.append((project, beat, *((shot_b, shot_a) if first_wins else (shot_a, shot_b))))
-            columns = zip(*out, strict=True) if out else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names)
-
-    rows = pairs.select("project_id", F.col("beat").cast("string").alias("beat"), "i", "j", F.col("shot_a").cast("string"), F.col("shot_b").cast("string"), "q_a", "q_b")
-    return rows.repartition("project_id", "beat").sortWithinPartitions("project_id", "beat", "i", "j").mapInArrow(of_task, ", ".join(f"{n} string" for n in names))
+    rows = pairs.select("project_id", F.col("beat").cast("string").alias("beat"), F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.col("shot_a").cast("string").alias("shot_a"), F.col("shot_b").cast("string").alias("shot_b"), F.col("q_a").cast("double").alias("q_a"), F.col("q_b").cast("double").alias("q_b"))
+    rows = staged(rows)
+    result = ["project_id", "beat", "shot_id", "kept_shot"]
+    no = {"gone_i": F.lit(False), "gone_j": F.lit(False)}
+    large = rows.groupBy("project_id", "beat").agg(F.count("*").alias("n")).where(F.col("n") > walk)
+    if large.isEmpty():
+        return _removed(rows.withColumns({"block": F.lit(0).cast("bigint"), **no})).select(result)
+    marked = rows.join(few(large), ["project_id", "beat"], "left")
+    small = _removed(marked.where("n IS NULL").withColumns({"block": F.lit(0).cast("bigint"), **no})).select(result)
+    placed = numbered(marked.where("n IS NOT NULL").drop("n"), "place", ["project_id", "beat"], {"_row": F.floor(F.col("i") / 256)}, ["i", "j"])
+    blocks = staged(placed.withColumn("block", F.floor((F.col("place") - 1) / walk).cast("bigint")).drop("place"))
+    most = blocks.agg(F.max("block")).first()[0] + 2
+    told = staged(_removed(blocks.withColumns(no)))
+    for _ in range(most):
+        first = told.groupBy("project_id", "beat", "idx").agg(F.min("block").alias("since"))
+        side = lambda n: first.select("project_id", "beat", F.col("idx").alias(n), F.col("since").alias(f"since_{n}"))
+        known = blocks.join(side("i"), ["project_id", "beat", "i"], "left").join(side("j"), ["project_id", "beat", "j"], "left")
+        before = lambda n: F.coalesce(F.col(f"since_{n}") < F.col("block"), F.lit(False))
+        again = staged(_removed(known.withColumns({"gone_i": before("i"), "gone_j": before("j")})))
+        if _same(told, again):
+            return small.unionByName(again.select(result))
+        told = again
+    raise RuntimeError("the walk over close pairs did not settle")
+
+
+def _same(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables have the same rows, none twice."""
+    return a.count() == b.count() and a.join(b, a.columns, "left_anti").isEmpty()
 
 
 def drop_losers(candidates: DataFrame, losers: DataFrame, level: str) -> DataFrame:
