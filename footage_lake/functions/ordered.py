@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
+
+from footage_lake.functions.staged import staged
 
 #: Rows of a side that is broadcast, at most.
 FEW = 500_000
@@ -38,3 +45,89 @@ def numbered(rows: DataFrame, name: str, keys: list[str], buckets: dict[str, Col
 def few(frame: DataFrame, most: int = FEW) -> DataFrame:
     """``frame``, to be broadcast if it has at most ``most`` rows."""
     return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame
+
+
+def beside(rows: DataFrame, keys: list[str], place: str, values: dict[str, Column], reach: int, block: int = 10_000) -> DataFrame:
+    """Adds for each of ``values`` the sum over the rows up to ``reach`` places before and after, the row itself left out.
+
+    ``place`` numbers the rows of a group from 1. Windows run in blocks of places; the
+    rows next to a border are copied to the block on its other side.
+    """
+    at = F.col(place) - 1
+    homes = F.array_distinct(F.array(*[F.floor((at + d) / block).cast("bigint") for d in (-reach, 0, reach)]))
+    dealt = rows.withColumns({f"_{n}": c for n, c in values.items()}).withColumn("_block", F.explode(homes))
+    w = Window.partitionBy(*keys, "_block").orderBy(place).rowsBetween(-reach, reach)
+    out = dealt.withColumns({n: F.sum(f"_{n}").over(w) - F.col(f"_{n}") for n in values})
+    return out.where(F.col("_block") == F.floor(at / block)).select(*[c for c in rows.columns if c not in values], *values)
+
+
+#: Rows that ``scanned`` walks in one run.
+RUN = 50_000
+_KINDS = {pa.string(): StringType(), pa.bool_(): BooleanType(), pa.float64(): DoubleType(), pa.int64(): LongType()}
+
+
+def scanned(rows: DataFrame, keys: list[str], place: str, start: Column, guess: Column, reads: list[str], step: Callable, adds: dict[str, pa.DataType], run: int = RUN) -> DataFrame:
+    """Rows with the columns ``adds`` of a walk in the order of ``place`` over each group, without one task per group.
+
+    ``place`` numbers a group's rows from 1. The state is an integer total: ``start`` at
+    first (of the group's first row), then what ``step(state, *values of reads)`` gives with the
+    added values. Groups are cut into blocks of ``run`` rows. Each block is walked from a
+    guess of the total before it: the start plus what the blocks before it add, by the sum
+    of ``guess`` (a long per row) at first, then by their own last walk. Blocks whose guess was
+    wrong are walked again until all hold; the first wrong block of a group is right
+    next time, so this ends, and the result is that of one walk. A last pass gives the rows.
+    """
+    placed = rows.withColumns({"_block": F.floor((F.col(place) - 1) / run).cast("bigint"), "_start": start.cast("bigint"), "_guess": F.coalesce(guess.cast("bigint"), F.lit(0))})
+    by = [*keys, "_block"]
+
+    def walked(from_: DataFrame, last: bool) -> DataFrame:
+        """Rows with the added columns, or, unless ``last``, a row per block with what it adds."""
+        data = from_.drop("_guess", "_start") if last else from_.select(*by, place, "_from", *[r for r in reads if r not in (*by, place)])
+        names = [*data.columns, *adds]
+        at, key_at = [data.columns.index(c) for c in ("_from", *reads)], [data.columns.index(k) for k in by]
+        kinds = StructType([*data.schema.fields, *[StructField(n, _KINDS[t]) for n, t in adds.items()]])
+        of_block = StructType([*[data.schema[k] for k in by], StructField("_from", LongType()), StructField("_adds", LongType())])
+
+        def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            group, first, state = None, None, None
+            for b in batches:
+                out, ended = [], []
+                for key, begin, *values in zip(zip(*(b.column(k).to_pylist() for k in key_at), strict=True), *(b.column(k).to_pylist() for k in at), strict=True):
+                    if key != group:
+                        if group is not None:
+                            ended.append((*group, first, state - first))
+                        group, first, state = key, begin, begin
+                    state, added = step(state, *values)
+                    out.append(added)
+                if last:
+                    yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([r[k] for r in out], t) for k, t in enumerate(adds.values())]], names)
+                elif ended:
+                    yield _batch(ended, of_block)
+            if group is not None and not last:
+                yield _batch([(*group, first, state - first)], of_block)
+
+        return data.repartition(*by).sortWithinPartitions(*by, place).mapInArrow(of_task, kinds if last else of_block)
+
+    sizes = placed.groupBy(*keys).agg(F.max("_block").alias("_last"))
+    if not sizes.where("_last > 0").isEmpty():
+        placed = staged(placed)
+        blocks = placed.groupBy(*by).agg(F.min_by("_start", place).alias("_start"), F.sum("_guess").alias("_adds"))
+        before = Window.partitionBy(*keys).orderBy("_block")
+        starts = lambda b: b.select(*by, "_start", (F.first("_start").over(before) + F.coalesce(F.sum("_adds").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_from"))
+        known = staged(starts(blocks))
+        wrong, done = known, None
+        while not wrong.isEmpty():
+            again = walked(placed.join(few(wrong.select(*by, "_from")), by), False)
+            kept = again if done is None else done.join(few(wrong.select(*by)), by, "left_anti").unionByName(again)
+            done = staged(kept)
+            known = staged(starts(done.join(few(known.select(*by, "_start")), by)))
+            wrong = known.join(few(done.select(*by, F.col("_from").alias("_was"))), by).where("_from <> _was").select(*by, "_from")
+        placed = placed.join(few(known.select(*by, "_from")), by)
+    else:
+        placed = placed.withColumn("_from", F.col("_start"))
+    return walked(placed, True).select(*rows.columns, *adds)
+
+
+def _batch(rows: list[tuple], schema: StructType) -> pa.RecordBatch:
+    arrow = to_arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)

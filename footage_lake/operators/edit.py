@@ -3,21 +3,22 @@
 Decisions have project_id, seq, shot_id, speed, notes and more; shots have
 duration_sec, fps, state, status, quality_score, tags, camera_movement. A decision
 without a shot stays as it is and counts by its time codes. The extension depends on
-what was written before, so its rows are walked project by project in one pass that
-holds a total only.
+what was written before, so its rows are walked in order; the total that a step needs is
+held in nanoseconds, so that blocks of a project can be walked by themselves (see
+``ordered.scanned``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from footage_lake.functions.ordered import numbered
+from footage_lake.functions.ordered import RUN, beside, numbered, scanned, sums_before
+from footage_lake.functions.staged import staged
 from footage_lake.functions.timecode import act_number, parse_duration, parse_speed, scene_number, tc_span
 from footage_lake.operators.dedup import ALTERNATE, CORE, PROTECTED, REVIEW
 
@@ -121,10 +122,10 @@ def compress_drop(decisions: DataFrame, shots: DataFrame, most: Column) -> DataF
     of_shot = rows.groupBy("project_id", "shot_id").agg(
         F.sum("len").alias("len"), F.min("seq").alias("first_seq"), F.max(F.coalesce("s_quality_score", F.lit(0.0))).alias("quality"), F.max(held).alias("held"), F.max("most").alias("most")
     )
-    of_project = Window.partitionBy("project_id")
-    before = of_project.orderBy("quality", "first_seq", "shot_id").rowsBetween(Window.unboundedPreceding, -1)
-    gone = F.coalesce(F.sum(F.when(F.col("held"), 0.0).otherwise(F.col("len"))).over(before), F.lit(0.0))
-    ranked = of_shot.withColumn("too_long", F.round(F.sum("len").over(of_project) - gone, 9) > F.col("most"))
+    length = F.round(F.col("len") * NANO).cast("bigint")
+    whole = of_shot.groupBy("project_id").agg(F.sum(length).alias("whole"))
+    ranked = sums_before(of_shot, ["project_id"], {"_quality": F.floor(F.col("quality") * 1000)}, ["quality", "first_seq", "shot_id"], {"gone": F.when(F.col("held"), F.lit(0)).otherwise(length)})
+    ranked = ranked.join(whole, "project_id").withColumn("too_long", (F.col("whole") - F.col("gone")) / NANO > F.col("most"))
     dropped = ranked.where("too_long AND NOT held").select("project_id", "shot_id")
     return decisions.join(dropped, ["project_id", "shot_id"], "left_anti")
 
@@ -135,45 +136,25 @@ def is_special_slow(tags: Column, fps: Column, movement: Column, min_fps: float
     return F.coalesce(tagged, F.lit(False)) | (fps >= min_fps) | F.coalesce(movement, F.lit("")).rlike("升格|子弹时间")
 
 
+def _placed(decisions: DataFrame) -> DataFrame:
+    """Decisions with their ``p_place`` in the project, from 1: by seq, then shot_id; rows equal in both in any one order."""
+    return numbered(decisions, "p_place", ["project_id"], {"_block": F.floor(F.col("seq") / 1000)}, ["seq", "shot_id", "speed", "tc_in"])
+
+
 def slow_caps(decisions: DataFrame, shots: DataFrame, min_fps: float = 60.0) -> DataFrame:
-    """How far each decision's shot may be stretched: 4x, 1.5x next to two specials, 1x under ``min_fps``; null: not at all."""
+    """How far each decision's shot may be stretched: 4x, 1.5x next to two specials, 1x under ``min_fps``; null: not at all.
+
+    Adds the decision's ``p_place`` in the project, by seq, then shot_id.
+    """
     rows = _with_shot(decisions, shots, ["duration_sec", "fps", "state", "tags", "camera_movement"])
     special = F.coalesce(is_special_slow(F.col("s_tags"), F.col("s_fps"), F.col("s_camera_movement"), min_fps), F.lit(False))
     rows = rows.withColumn("special", F.col("s_found") & special)
-    w = Window.partitionBy("project_id").orderBy("seq", "shot_id").rowsBetween(-2, 2)
-    near = F.sum(F.col("special").cast("int")).over(w) - F.col("special").cast("int")
+    rows = _placed(rows)
+    rows = beside(rows, ["project_id"], "p_place", {"near": F.col("special").cast("int")}, 2)
+    near = F.col("near")
     cap = F.when(F.col("s_fps") < min_fps, 1.0).when(F.col("special") & (near >= 2), 1.5).when(F.col("special"), 4.0).otherwise(2.0)
     may = F.col("s_found") & (F.coalesce("s_state", F.lit("")) != "PROCESSED")
-    return rows.withColumn("cap", F.when(may, cap)).drop("special", "s_fps", "s_state", "s_tags", "s_camera_movement")
-
-
-def walked(rows: DataFrame, order: list[str], reads: list[str], start, step, adds: dict[str, pa.DataType]) -> DataFrame:
-    """Rows of each project one after the other, with the columns ``adds`` that ``step`` gives; only its state is held.
-
-    ``start`` makes the state from the project's first values of ``reads``, and
-    ``step`` a new state and the added values from the state and a row's. Steps
-    depend on each other, so a project is one task.
-    """
-    names = [*rows.columns, *adds]
-    at = [rows.columns.index(c) for c in ("project_id", *reads)]
-
-    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        project, state = object(), None
-        for b in batches:
-            out = []
-            for p, *values in zip(*(b.column(k).to_pylist() for k in at), strict=True):
-                if p != project:
-                    project, state = p, start(*values)
-                state, added = step(state, *values)
-                out.append(added)
-            more = [pa.array([r[k] for r in out], t) for k, t in enumerate(adds.values())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names)
-
-    kinds = {pa.string(): "string", pa.bool_(): "boolean", pa.float64(): "double"}
-    shape = rows.schema
-    for n, t in adds.items():
-        shape = shape.add(n, kinds[t])
-    return rows.repartition("project_id").sortWithinPartitions("project_id", *order).mapInArrow(of_task, shape)
+    return rows.withColumn("cap", F.when(may, cap)).drop("special", "near", "s_fps", "s_state", "s_tags", "s_camera_movement")
 
 
 def written_speed(x: float) -> tuple[str, float]:
@@ -188,62 +169,69 @@ def written_speed(x: float) -> tuple[str, float]:
     return f"{tenth}x", float(tenth)
 
 
-def _slowed(decisions: DataFrame, shots: DataFrame, least: Column, min_fps: float) -> DataFrame:
-    """E8, with ``p_played``: the seconds that each decision then plays."""
-    rows = slow_caps(decisions, shots, min_fps)
-    total = F.round(F.sum("p_was").over(Window.partitionBy("project_id")), 6)
-    rows = rows.withColumn("p_was", _length(rows)).withColumns({"p_total": total, "p_least": least})
+#: Parts of a second in which totals are held.
+NANO = 1_000_000_000
+
+
+def _slowed(decisions: DataFrame, shots: DataFrame, least: Column, min_fps: float, run: int = RUN) -> DataFrame:
+    """E8, with ``p_played``: the seconds that each decision then plays. Guessed: shots play to their caps."""
+    rows = slow_caps(decisions, shots, min_fps).withColumn("p_least", least)
+    rows = staged(rows.withColumn("p_was", _length(rows)))
+    totals = rows.groupBy("project_id").agg(F.round(F.sum("p_was"), 6).alias("p_total"))
     m = parse_speed(F.col("speed"))
-    rows = rows.withColumn("p_now", F.col("s_duration_sec") / F.when(m > 0, m).otherwise(F.lit(1.0)))
+    rows = rows.join(totals, "project_id").withColumn("p_now", F.col("s_duration_sec") / F.when(m > 0, m).otherwise(F.lit(1.0)))
 
-    def step(total, speed, duration, cap, now, was, _, least):
-        deficit = least - total
+    def step(total, speed, duration, cap, now, was, least):
+        deficit = (round(least * NANO) - total) / NANO
         if cap is None or duration is None or deficit <= 0 or (room := duration * cap - now) <= 0:
             return total, (speed, False, was)
         said, x = written_speed(duration / (now + min(room, deficit)))
         plays = duration / x if x > 0 else 0.0
-        return total - was + plays, (said, True, plays)
+        return total + round((plays - was) * NANO), (said, True, plays)
 
-    reads = ["speed", "s_duration_sec", "cap", "p_now", "p_was", "p_total", "p_least"]
+    reads = ["speed", "s_duration_sec", "cap", "p_now", "p_was", "p_least"]
     adds = {"p_speed": pa.string(), "p_slowed": pa.bool_(), "p_played": pa.float64()}
-    done = walked(rows, ["seq", "shot_id"], reads, lambda *v: v[5], step, adds)
+    whole = F.round(F.greatest(F.col("s_duration_sec") * F.col("cap") - F.col("p_now"), F.lit(0.0)) * NANO)
+    done = scanned(rows, ["project_id"], "p_place", F.round(F.col("p_total") * NANO), whole, reads, step, adds, run)
     notes = F.when(F.col("p_slowed"), F.concat("notes", F.lit(" [自动延展: 慢放以补足时长]"))).otherwise(F.col("notes"))
     return done.withColumn("notes", notes).withColumn("speed", F.col("p_speed")).select(*decisions.columns, "p_played")
 
 
-def extend_slow(decisions: DataFrame, shots: DataFrame, least: DataFrame, min_fps: float = 60.0) -> DataFrame:
+def extend_slow(decisions: DataFrame, shots: DataFrame, least: DataFrame, min_fps: float = 60.0, run: int = RUN) -> DataFrame:
     """In order, shots are slowed up to their caps until the project lasts ``least`` (project_id, target_min).
 
     The written speed is rounded and what it plays feeds the next step. Decisions
     are told apart by their place, so a shot that is used twice is slowed twice.
     """
     rows = decisions.join(least.select("project_id", F.col("target_min").alias("p_lo")), "project_id")
-    return _slowed(rows, shots, F.col("p_lo"), min_fps).select(decisions.columns)
+    return _slowed(rows, shots, F.col("p_lo"), min_fps, run).select(decisions.columns)
 
 
-def _supplements(decisions: DataFrame, totals: DataFrame, supplements: DataFrame) -> DataFrame:
-    """The new decisions; ``totals`` has project_id, total_sec, target_min, target_max."""
+def _supplements(decisions: DataFrame, totals: DataFrame, supplements: DataFrame, run: int = RUN) -> DataFrame:
+    """The new decisions; ``totals`` has project_id, total_sec, target_min, target_max. Guessed: all are used."""
     unused = narrative_order(supplements.join(decisions.select("project_id", "shot_id"), ["project_id", "shot_id"], "left_anti"))
     rows = unused.select("project_id", "shot_id", "source_file", "tc_in", "tc_out", "duration_sec", "narrative_no").join(totals, "project_id")
 
-    def step(total, duration, least, most, _):
-        use = duration is not None and total < least and total + duration <= most
-        return (total + duration if use else total), (use,)
+    def step(total, duration, least, most):
+        added = None if duration is None else round(duration * NANO)
+        use = added is not None and total < round(least * NANO) and total + added <= round(most * NANO)
+        return (total + added if use else total), (use,)
 
-    used = walked(rows, ["narrative_no"], ["duration_sec", "target_min", "target_max", "total_sec"], lambda *v: v[3], step, {"used": pa.bool_()})
+    length, start = F.round(F.col("duration_sec") * NANO), F.round(F.col("total_sec") * NANO)
+    used = scanned(staged(rows), ["project_id"], "narrative_no", start, length, ["duration_sec", "target_min", "target_max"], step, {"used": pa.bool_()}, run)
     return used.where("used").select(
         "project_id", F.lit(0).alias("seq"), "shot_id", "source_file", "tc_in", "tc_out", F.lit("1x").alias("speed"), F.lit("补充插入").alias("technique"),
         F.lit("硬切").alias("transition"), F.lit("保留原声").alias("audio"), F.lit("补充时长 / 缺失情节点").alias("purpose"), F.lit("由时长不足自动从备选池补充").alias("notes"),
     )
 
 
-def extend_supplement(decisions: DataFrame, shots: DataFrame, supplements: DataFrame, targets: DataFrame) -> DataFrame:
+def extend_supplement(decisions: DataFrame, shots: DataFrame, supplements: DataFrame, targets: DataFrame, run: int = RUN) -> DataFrame:
     """Supplements in narrative order that are not used yet and fit under target_max, until target_min is met.
 
     ``targets`` has project_id, target_min, target_max. New decisions have seq 0.
     """
     totals = targets.join(projected_duration(decisions, shots), "project_id", "left").select("project_id", F.coalesce("total_sec", F.lit(0.0)).alias("total_sec"), "target_min", "target_max")
-    new = _supplements(decisions, totals, supplements)
+    new = _supplements(decisions, totals, supplements, run)
     return decisions.select(new.columns).unionByName(new)
 
 
@@ -257,16 +245,19 @@ def fit_duration(decisions: DataFrame, shots: DataFrame, supplements: DataFrame,
     """Projects over the band are compressed, under it extended, the others left alone.
 
     Whether to act is judged by time codes at 24 frames, the steps by the shots'
-    seconds. A project without decisions is extended from nothing.
+    seconds. A project without decisions is extended from nothing. Decisions and shots
+    are staged, as each step reads them.
     """
+    shots = staged(shots.select("project_id", "shot_id", "duration_sec", "fps", "state", "status", "quality_score", "tags", "camera_movement"))
+    decisions = staged(decisions)
     band = budget.select("project_id", "target_sec", "target_min", "target_max").join(projected_duration(decisions), "project_id", "left")
     total = F.coalesce("total_sec", F.lit(0.0))
     acts = F.when(F.col("target_sec") <= 0, "none").when(total > F.col("target_max"), "compress").when(total < F.col("target_min"), "extend").otherwise("none")
     band = band.select("project_id", F.col("target_min").alias("p_lo"), F.col("target_max").alias("p_hi"), acts.alias("p_mode"))
-    marked = decisions.join(band, "project_id", "left")
+    marked = staged(decisions.join(band, "project_id", "left"))
     of_mode = lambda m: marked.where(F.coalesce("p_mode", F.lit("none")) == m)
     shorter = compress_drop(compress_speed(of_mode("compress"), shots), shots, F.col("p_hi"))
-    slower = _slowed(of_mode("extend"), shots, F.col("p_lo"), min_fps)
+    slower = staged(_slowed(of_mode("extend"), shots, F.col("p_lo"), min_fps))
     lengths = slower.groupBy("project_id").agg(F.round(F.sum("p_played"), 6).alias("total_sec"))
     wanted = band.where("p_mode = 'extend'").join(lengths, "project_id", "left")
     totals = wanted.select("project_id", F.coalesce("total_sec", F.lit(0.0)).alias("total_sec"), F.col("p_lo").alias("target_min"), F.col("p_hi").alias("target_max"))
@@ -279,8 +270,9 @@ def fit_duration(decisions: DataFrame, shots: DataFrame, supplements: DataFrame,
 
 def final_order(decisions: DataFrame) -> DataFrame:
     """Own sequence first, supplements last by shot id, renumbered from 1."""
-    w = Window.partitionBy("project_id").orderBy(F.when(F.col("seq") == 0, 999_999).otherwise(F.col("seq")), "shot_id")
-    return decisions.withColumn("sequence", F.row_number().over(w))
+    late = F.col("seq") == 0
+    buckets = {"_late": late, "_block": F.floor(F.col("seq") / 1000), "_name": F.when(late, F.substring("shot_id", 1, 4)).otherwise("")}
+    return numbered(staged(decisions), "sequence", ["project_id"], buckets, ["seq", "shot_id"])
 
 
 def warnings_text(warnings: DataFrame) -> DataFrame:

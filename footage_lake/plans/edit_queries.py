@@ -119,7 +119,7 @@ every AS (SELECT project_id, seq, shot_id, speed, technique FROM short
   UNION ALL SELECT e.project_id, 0, e.shot_id, '1x', '补充插入' FROM extra e JOIN more m ON m.project_id = e.project_id AND m.k = e.k WHERE used)"""
 
 
-@query(f"WITH RECURSIVE {FIT} SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY CASE WHEN seq = 0 THEN 999999 ELSE seq END, shot_id) AS sequence, shot_id, speed, technique FROM every")
+@query(f"WITH RECURSIVE {FIT} SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY seq = 0, seq, shot_id) AS sequence, shot_id, speed, technique FROM every")
 def extend_to_target(spark, d):
     """Every tenth shot is used twice; even projects have three hours, the others twenty minutes."""
     shots = _selected(spark, d)
