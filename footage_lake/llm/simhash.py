@@ -306,20 +306,28 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 def near_duplicates(documents: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) per row.
 
-    Null and empty texts have fingerprint zero and are linked like any other. A
-    null doc_id is never the smallest; a component of null ids has a null id.
-    Repeated rows come back as often as they came. An empty table gives no rows;
-    other columns are ignored. See ``components`` for the error of too many rounds.
+    Null and empty texts have fingerprint zero and are linked like any other. Texts of
+    any length are read whole. A null doc_id is never the smallest; a component of null
+    ids has a null id. Repeated rows come back as often as they came. An empty table gives
+    no rows; other columns are ignored, whatever their names. Fingerprints of very many
+    rows are few, so their component is sent to the rows instead of these to one task. See
+    ``components`` for the error of too many rounds.
     """
     prints = stored(fingerprints(documents, shingle))
-    first = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    first = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("of_fp_rows")))
     nodes = stored(components(linked(first.select("fp"), distance)))
-    member = stored(first.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id"))
+    member = stored(first.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id", "of_fp_rows"))
     lowest = F.struct(F.col("first_id").isNull().alias("unnamed"), F.col("first_id").alias("id"))
-    of_print = with_least(member, member.count(), "root", lowest, "lowest").select(F.col("fp").alias("of_fp"), F.col("lowest.id").alias("component_id"))
-    return prints.join(of_print, F.col("fp") == F.col("of_fp")).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    sizes = member.agg(F.count("*"), F.sum("of_fp_rows")).first()
+    told = with_least(member, sizes[0], "root", lowest, "lowest").select(F.col("fp").alias("of_fp"), "of_fp_rows", F.col("lowest.id").alias("component_id"))
+    much = max(100, 2 * (sizes[1] or 0) // CENTRES)
+    hot = told.where(F.col("of_fp_rows") > much).select("of_fp", F.lit(True).alias("sent"), "component_id")
+    marked = prints.join(F.broadcast(hot), F.col("fp") == F.col("of_fp"), "left")
+    rest = told.where(F.col("of_fp_rows") <= much).select("of_fp", "component_id")
+    both = marked.where("sent").select("doc_id", "fp", "component_id").unionByName(
+        marked.where("sent IS NULL").select("doc_id", "fp").join(rest, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
     )
+    return both.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # ---------------------------------------------------------------- near copies by similarity
