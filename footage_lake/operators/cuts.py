@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footage_lake.functions.ordered import numbered
+from footage_lake.functions.spans import containing, outside
 from footage_lake.functions.timecode import sec_to_tc, shot_id
 
 KEYS = ["project_id", "asset_id"]
@@ -63,15 +64,8 @@ def activity_regions(scores: DataFrame, gap: int = GAP, least: int = LEAST_REGIO
 
 
 def outside_regions(points: DataFrame, regions: DataFrame, margin: int = MARGIN) -> DataFrame:
-    """T4: points that lie in no region shrunk by ``margin`` (an interval anti join on the asset)."""
-    r = regions.select(*[F.col(k).alias(f"r_{k}") for k in KEYS], "start_us", "end_us")
-    inside = (
-        (F.col("project_id") == F.col("r_project_id"))
-        & (F.col("asset_id") == F.col("r_asset_id"))
-        & (F.col("t_us") >= F.col("start_us") + margin)
-        & (F.col("t_us") <= F.col("end_us") - margin)
-    )
-    return points.join(r, inside, "left_anti")
+    """T4: points that lie in no region shrunk by ``margin`` (an anti join in time slots of the asset)."""
+    return outside(points, regions, KEYS, "t_us", F.col("start_us") + margin, F.col("end_us") - margin)
 
 
 def local_maxima(scores: DataFrame, window: int = WINDOW, *more: str) -> DataFrame:
@@ -217,15 +211,9 @@ def shots_from_cuts(times: DataFrame, fps: float = 24.0) -> DataFrame:
 
 def attach_transitions(shots: DataFrame, regions: DataFrame, margin: int = MARGIN) -> DataFrame:
     """Array ``soft_transitions`` of the regions that lie in the shot, give or take ``margin``."""
-    r = regions.select(*[F.col(k).alias(f"r_{k}") for k in KEYS], F.col("start_us").alias("r_start"), F.col("end_us").alias("r_end"))
-    inside = (
-        (F.col("project_id") == F.col("r_project_id"))
-        & (F.col("asset_id") == F.col("r_asset_id"))
-        & (F.col("r_start") >= F.col("start_us") - margin)
-        & (F.col("r_end") <= F.col("end_us") + margin)
-    )
-    found = shots.join(r, inside).groupBy("project_id", "shot_id").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("r_start").alias("start_us"), F.col("r_end").alias("end_us")))).alias("soft_transitions")
+    met = containing(shots, regions, KEYS, F.col("start_us") - margin, F.col("end_us") + margin, "start_us", "end_us")
+    found = met.groupBy("project_id", "shot_id").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("_start").alias("start_us"), F.col("_end").alias("end_us")))).alias("soft_transitions")
     )
     empty = F.array().cast("array<struct<start_us:bigint,end_us:bigint>>")
     return shots.join(found, ["project_id", "shot_id"], "left").withColumn("soft_transitions", F.coalesce("soft_transitions", empty))

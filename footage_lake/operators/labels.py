@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from footage_lake.functions.timecode import strip_fence
 
 UNSURE = "无法判断"
-SEGMENT = "struct<start:double,end:double,camera_position:string,characters:array<string>,emotion:string,action:string,location:string,dialogue:string,coherence_score:double,is_long_take:boolean>"
+#: Fields of a segment and their types.
+SEGMENT_FIELDS = {
+    "start": "double", "end": "double", "camera_position": "string", "characters": "array<string>", "emotion": "string", "action": "string",
+    "location": "string", "dialogue": "string", "coherence_score": "double", "is_long_take": "boolean",
+}
+SEGMENT = "struct<" + ",".join(f"{n}:{t}" for n, t in SEGMENT_FIELDS.items()) + ">"
 #: Label fields: the words that introduce them in free text, and the default.
 FRAME_FIELDS = {
     "shot_size": (["景别", "shot_size"], UNSURE),
@@ -44,11 +49,12 @@ def parse_frame_labels(frames: DataFrame, column: str = "response") -> DataFrame
 def segments_from_response(responses: DataFrame) -> DataFrame:
     """Segment rows of each asset's response; without any, one segment over the whole asset."""
     payload = parse_responses(responses, f"struct<segments:array<{SEGMENT}>>")
-    whole = F.array(F.struct(F.lit(0.0).alias("start"), (F.col("duration_us") / 1e6).alias("end"), *[F.lit(None).cast(t).alias(n) for n, t in (x.split(":", 1) for x in SEGMENT[7:-1].split(",")[2:])]))
+    more = {n: t for n, t in SEGMENT_FIELDS.items() if n not in ("start", "end")}
+    whole = F.array(F.struct(F.lit(0.0).alias("start"), (F.col("duration_us") / 1e6).alias("end"), *[F.lit(None).cast(t).alias(n) for n, t in more.items()]))
     listed = F.when(F.size("payload.segments") > 0, F.col("payload.segments")).otherwise(whole)
     rows = payload.select("project_id", "asset_id", F.posexplode(listed).alias("seg_seq", "s"))
     us = lambda c: F.round(F.col(c) * 1e6).cast("bigint")
-    rest = [F.col(f"s.{x.split(':')[0]}") for x in SEGMENT[7:-1].split(",")[2:]]
+    rest = [F.col(f"s.{n}") for n in more]
     return rows.select("project_id", "asset_id", "seg_seq", us("s.start").alias("start_us"), us("s.end").alias("end_us"), *rest)
 
 

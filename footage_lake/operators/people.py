@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from footage_lake.functions.spans import SLOT, overlapping
 from footage_lake.operators.close_pairs import PIVOTS, celled, pivots_of
 from footage_lake.operators.dedup import unit
 
@@ -33,12 +34,9 @@ def appearances(detections: DataFrame, gap: int = 3, fps: float = 24.0) -> DataF
 
 def people_in(shots: DataFrame, runs: DataFrame) -> DataFrame:
     """Sorted known names whose runs overlap the shot's start_sec..end_sec."""
-    r = runs.where(F.col("identity") != UNKNOWN).select(*[F.col(k).alias(f"r_{k}") for k in KEYS], "identity", F.col("start_sec").alias("r_start"), F.col("end_sec").alias("r_end"))
-    meet = (
-        (F.col("project_id") == F.col("r_project_id")) & (F.col("asset_id") == F.col("r_asset_id"))
-        & (F.col("r_start") <= F.col("end_sec")) & (F.col("r_end") >= F.col("start_sec"))
-    )
-    names = shots.join(r, meet).groupBy("project_id", "shot_id").agg(F.array_sort(F.collect_set("identity")).alias("people"))
+    known = runs.where(F.col("identity") != UNKNOWN)
+    met = overlapping(shots, known, KEYS, "start_sec", "end_sec", "start_sec", "end_sec", ["identity"], SLOT / 1e6)
+    names = met.groupBy("project_id", "shot_id").agg(F.array_sort(F.collect_set("identity")).alias("people"))
     return shots.join(names, ["project_id", "shot_id"], "left").withColumn("people", F.coalesce("people", F.array().cast("array<string>")))
 
 

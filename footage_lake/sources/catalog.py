@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from footage_lake.functions.ordered import numbered
 from footage_lake.functions.timecode import frame_rate
 
 VIDEO, IMAGE = ["mp4", "mov", "mkv", "avi", "mxf"], ["jpg", "jpeg", "png"]
@@ -88,12 +89,13 @@ def frame_scores_from_log(lines: DataFrame) -> DataFrame:
 def resolve_state(media: DataFrame, rules: DataFrame, most_rules: int = 10_000) -> DataFrame:
     """State of each path by the first of: global pattern, item pattern (both on the base name), longest directory, RAW.
 
-    Rules (tier 1..3, rule_seq, kind 'regex' or 'dir', pattern, state) are a small
-    configuration: their number is checked, then they go to every task as one array,
-    so paths are neither shuffled nor paired with them. A directory matches with its slash.
+    Rules (tier 1..3, rule_seq, kind 'regex' or 'dir', pattern, state) are mostly a small
+    configuration: up to ``most_rules`` go to every task as one array, so paths are
+    neither shuffled nor paired with them. Beyond, each path looks its directories up in
+    a join, and only patterns meet all names. A directory matches with its slash.
     """
     if rules.limit(most_rules + 1).count() > most_rules:
-        raise ValueError(f"there are more than {most_rules} rules")
+        return _resolved_by_joins(media, rules)
     place = F.when(F.col("kind") == "dir", -F.length("pattern")).otherwise(F.col("rule_seq"))
     rule = F.struct("tier", place.alias("place"), "rule_seq", "kind", "pattern", "state")
     held = rules.groupBy(F.lit(1).alias("one")).agg(F.sort_array(F.collect_list(rule)).alias("held"))
@@ -105,6 +107,22 @@ def resolve_state(media: DataFrame, rules: DataFrame, most_rules: int = 10_000)
     return rows.withColumn("state", F.coalesce(F.get(hit, F.lit(0))["state"], F.lit(DEFAULT_STATE))).drop("one", "held")
 
 
+def _resolved_by_joins(media: DataFrame, rules: DataFrame) -> DataFrame:
+    """``resolve_state`` for any number of rules."""
+    folder = F.regexp_replace("pattern", "/$", "")
+    place = F.when(F.col("kind") == "dir", -F.length("pattern")).otherwise(F.col("rule_seq"))
+    ranked = rules.select("kind", "pattern", folder.alias("folder"), F.struct("tier", place.alias("place"), "rule_seq", "kind", "pattern", "state").alias("rule"))
+    paths = media.select("path").where("path IS NOT NULL").distinct()
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    looked = paths.where(F.contains("path", F.lit("/"))).select("path", F.explode(above).alias("folder"))
+    of_folder = ranked.where("kind <> 'regex'").groupBy("folder").agg(F.min("rule").alias("rule"))
+    named = ranked.where("kind = 'regex'").select(F.col("pattern").alias("wanted"), "rule")
+    hits = looked.join(of_folder, "folder").select("path", "rule").unionByName(paths.join(named, F.rlike(F.element_at(parts, -1), F.col("wanted"))).select("path", "rule"))
+    first = hits.groupBy("path").agg(F.min("rule").alias("_rule"))
+    return media.join(first, "path", "left").select(*media.columns, F.coalesce(F.col("_rule.state"), F.lit(DEFAULT_STATE)).alias("state"))
+
+
 def collect_assets(parts: list[DataFrame], rules: DataFrame) -> DataFrame:
     """The paths of all folders once, with their states."""
     every = parts[0]
@@ -146,9 +164,9 @@ def resolve_clip(shots: DataFrame, catalog: DataFrame, folder: str) -> DataFrame
 
 def inventory_shots(assets: DataFrame) -> DataFrame:
     """A RAW row to review for each asset that could be read."""
-    n = F.row_number().over(Window.partitionBy("project_id").orderBy("path"))
-    return assets.where("duration_us > 0").select(
-        "project_id", F.format_string("S%03d", n).alias("shot_id"), F.lit("RAW").alias("state"), F.col("path").alias("source_path"),
+    rows = numbered(assets.where("duration_us > 0"), "number", ["project_id"], {"_head": F.substring("path", 1, 12)}, ["path"])
+    return rows.select(
+        "project_id", F.format_string("S%03d", "number").alias("shot_id"), F.lit("RAW").alias("state"), F.col("path").alias("source_path"),
         F.round(F.col("duration_us") / 1e6, 3).alias("duration_sec"), F.array(F.lit("cv_inventory"), F.lit("no_vlm_analysis")).alias("tags"), F.lit(True).alias("needs_review"),
     )
 

@@ -26,7 +26,7 @@ def read_decisions(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_scripts(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files with their names."""
-    return spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("script_id"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("script_id"), F.col("value").alias("text"))
 
 
 def write_stage(rows: DataFrame, path: str) -> None:
