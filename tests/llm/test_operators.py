@@ -809,3 +809,43 @@ def test_decoding_never_keeps_below_a_rejected_node():
                 value = sum(o if f else -o for o, f in zip(odds, on, strict=True))
                 best = max(best or (value, ""), (value, " ".join(x.text for x, f in zip(nodes, on, strict=True) if f and x.text)))
         assert kept == best[1]
+
+
+def planted_near_copies(documents, seed=11):
+    """(id, id of the edited copy, similarity) with the rows of both, for whole documents of 30 words on: words replaced until the shingle sets are 0.80 to 0.95 alike."""
+    rng = np.random.default_rng(seed)
+    rows, pairs = [], []
+    for k, (i, text) in enumerate(documents):
+        words = (text or "").split()
+        if len(words) < 30:
+            continue
+        words = [f"{w}{i}" if j % 7 == 0 else w for j, w in enumerate(words)]  # so that no two documents are alike
+        share = rng.uniform(0.80, 0.95)
+        edits = max(1, int(len(words) * (1 - share) / (1 + share) / 5))
+        other = list(words)
+        for at in rng.choice(len(words), edits, replace=False):
+            other[at] = f"edit{k}x{at}"
+        a, b = (simhash.copy_shingles(" ".join(w)) for w in (words, other))
+        shared = len(np.intersect1d(a, b))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        pairs.append((2 * k, 2 * k + 1, shared / (len(a) + len(b) - shared)))
+    return rows, pairs
+
+
+def recall_of_near_copies(spark, documents):
+    """Per similarity from 0.80 in steps of 0.05: planted pairs, and the share of them in one component; and pairs under 0.8 that are in one."""
+    rows, pairs = planted_near_copies(documents)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    of = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame).collect()}
+    out = {}
+    for low in (0.8, 0.85, 0.9, 0.95):
+        own = [of[a] == of[b] for a, b, s in pairs if low <= s < low + 0.05]
+        out[low] = (len(own), sum(own) / max(len(own), 1))
+    return out, sum(of[a] == of[b] for a, b, s in pairs if s < 0.8)
+
+
+def test_recall_of_planted_near_copies(spark):
+    documents = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("length(text) < 8000").limit(400).collect()]
+    found, wrong = recall_of_near_copies(spark, documents)
+    assert sum(n for n, _ in found.values()) > 150 and wrong == 0
+    assert all(share >= 0.99 for n, share in found.values() if n), found
