@@ -104,7 +104,8 @@ def fingerprint_report(documents: DataFrame, ranges: int | None = None) -> DataF
     A null text counts as empty. Order is by doc_id (of any type), null ids first;
     rows of one id follow each other in the order of a hash of their texts. A single
     document is its own next one. Repeated rows are neighbours of each other; an
-    empty table gives no rows; other columns are ignored. ``ranges`` is the number of
+    empty table gives no rows; other columns are ignored, whatever their names. Texts of
+    any length are counted whole. ``ranges`` is the number of
     tasks, by default that of the input or of the session's shuffles.
     """
     spark = documents.sparkSession

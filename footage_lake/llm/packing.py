@@ -145,7 +145,8 @@ def packed(documents: DataFrame, path: str = bpe.VOCABULARY, length: int = LENGT
 
     A document's tokens are its text's ids and the end id, so null and empty
     texts have one token. Repeated rows are packed as often as they come; an
-    empty table gives no rows; other columns are ignored. A sequence belongs to
+    empty table gives no rows; other columns are ignored, whatever their names. Texts of
+    any length are packed whole. A sequence belongs to
     one task, whose number makes the upper half of its id.
     """
 

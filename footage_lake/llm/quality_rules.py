@@ -272,7 +272,8 @@ def quality_report(documents: DataFrame, rules: DecisionList) -> DataFrame:
     """One row per document: counts, base verdict, verdict of the list.
 
     Null and empty texts have no words and fail the base test; repeated rows
-    are judged alike; an empty table gives no rows; other columns are ignored.
+    are judged alike, texts of any length whole; an empty table gives no rows; other
+    columns are ignored, whatever their names.
     """
     return documents.select("doc_id", quality_columns(F.col("text"), rules).alias("q")).select("doc_id", "q.*")
 

@@ -202,7 +202,7 @@ def secret_report(documents: DataFrame) -> DataFrame:
 
     Documents without a secret have zero counts and the digest of the empty
     string. Repeated rows are reported as often as they come; an empty table
-    gives no rows; other columns are ignored. The work grows with a text's length.
+    gives no rows; other columns are ignored, whatever their names. The work grows with a text's length.
     """
     count = lambda k: F.size(F.filter(F.col("s.base"), lambda x: x["kind"] == KINDS.index(k))).cast("long")
     return documents.select("doc_id", scan(F.col("text")).alias("s")).select(

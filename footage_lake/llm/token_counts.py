@@ -127,7 +127,8 @@ def token_counts(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, n_words, n_tokens, n_unknown of every whole text, words cut at the six ASCII blanks.
 
     Null and empty texts have no words. An unknown word is one token. Repeated
-    rows count alike; an empty table gives no rows; other columns are ignored.
+    rows count alike, texts of any length whole; an empty table gives no rows; other columns
+    are ignored, whatever their names.
     """
 
     def of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

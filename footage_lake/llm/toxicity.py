@@ -182,7 +182,8 @@ def toxicity_report(documents: DataFrame, machine: Machine) -> DataFrame:
     """doc_id, held_out, score, predicted, a row per document.
 
     Null and empty texts get the machine's bias. Repeated rows score alike; an
-    empty table gives no rows; no other column is looked at.
+    empty table gives no rows; texts of any length are scored whole; no other column is
+    looked at, whatever its name.
     """
     return documents.select(
         "doc_id",

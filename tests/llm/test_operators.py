@@ -198,6 +198,40 @@ def test_fingerprint_meets_next_document(docs, ranges):
     assert sum(r["near_edited"] > r["near_next"] for r in got.values()) > 0.97 * len(got)
 
 
+def plain_digest(text):
+    """The digest by loops: triplets of each window of five bytes in a dict, quartiles of the sorted counts."""
+    data, count = (text or "").encode(), Counter()
+    data = data.ljust(5, b"\0") if data else data
+    word = lambda x: x % 2**32
+    for at in range(len(data) - 4):
+        w = data[at : at + 5]
+        for (i, j, k), salt in zip(((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4)), (2, 3, 5, 7, 11, 13), strict=True):
+            h = word(w[i] * 0x9E3779B1)
+            h = word(word((h ^ w[j]) + salt) * 0x85EBCA77)
+            count[word((h ^ w[k]) * 0xC2B2AE3D) >> 24] += 1
+    ordered = sorted(count.get(b, 0) for b in range(256))
+    q1, q2, q3 = ordered[63], ordered[127], ordered[191]
+    levels = [sum(count.get(b, 0) > q for q in (q1, q2, q3)) for b in range(256)]
+    body = "".join(f"{sum(v << s for v, s in zip(levels[b : b + 4], (6, 4, 2, 0), strict=True)):02x}" for b in range(0, 256, 4))
+    return min(255, round(12 * math.log2(len((text or "").encode()) + 1))), (16 * q1 // max(q3, 1)) % 16, (16 * q2 // max(q3, 1)) % 16, levels, body
+
+
+def test_digests_and_likeness_by_plain_loops(docs):
+    some = [t for _, t in texts(docs) if len(t) < 3000][:60] + ["", "a", "abcd", "é" * 70, "漢字" * 50]
+    plain = [plain_digest(t) for t in some]
+    for t, (length, r1, r2, _, body) in zip(some, plain, strict=True):
+        assert fingerprint.digest(t) == f"{length:02x}{r1:x}{r2:x}{body}"
+    for a, b in zip(range(len(some)), range(1, len(some)), strict=False):
+        cost = abs(plain[a][0] - plain[b][0]) / 4
+        for x, y in zip(plain[a][3], plain[b][3], strict=True):
+            cost += {0: 0, 1: 1, 2: 2, 3: 6}[abs(x - y)]
+        for k in (1, 2):
+            step = abs(plain[a][k] - plain[b][k])
+            cost += min(step, 16 - step) / 2
+        want = 1.0 if plain[a] == plain[b] else max(0.0, 1 - cost / (1.4 * 256))
+        assert fingerprint.likeness(fingerprint.digest(some[a]), fingerprint.digest(some[b])) == pytest.approx(want)
+
+
 def test_fingerprint_of_text_ids_and_one_id(spark, docs):
     named = docs.select(F.concat(F.lit("n"), F.lpad(F.col("doc_id").cast("string"), 5, "0")).alias("doc_id"), "text")
     plain = {f"n{r['doc_id']:05d}": tuple(r)[1:] for r in fingerprint.fingerprint_report(docs).collect()}
