@@ -66,7 +66,7 @@ RUN = 50_000
 _KINDS = {pa.string(): StringType(), pa.bool_(): BooleanType(), pa.float64(): DoubleType(), pa.int64(): LongType()}
 
 
-def scanned(rows: DataFrame, keys: list[str], place: str, start: Column, guess: Column, reads: list[str], step: Callable, adds: dict[str, pa.DataType], run: int = RUN) -> DataFrame:
+def scanned(rows: DataFrame, keys: list[str], place: str, start: Column, guess: Column, reads: list[str], step: Callable, adds: dict[str, pa.DataType], run: int = RUN, meets: bool = False) -> DataFrame:
     """Rows with the columns ``adds`` of a walk in the order of ``place`` over each group, without one task per group.
 
     ``place`` numbers a group's rows from 1. The state is an integer total: ``start`` at
@@ -76,6 +76,10 @@ def scanned(rows: DataFrame, keys: list[str], place: str, start: Column, guess:
     of ``guess`` (a long per row) at first, then by their own last walk. Blocks whose guess was
     wrong are walked again until all hold; the first wrong block of a group is right
     next time, so this ends, and the result is that of one walk. A last pass gives the rows.
+
+    Where the state is no sum but a place or a length, walks from different states soon
+    meet: with ``meets`` a block starts from what the block before ended with in its last
+    walk, and ``guess`` of a row is the state after it.
     """
     placed = rows.withColumns({"_block": F.floor((F.col(place) - 1) / run).cast("bigint"), "_start": start.cast("bigint"), "_guess": F.coalesce(guess.cast("bigint"), F.lit(0))})
     by = [*keys, "_block"]
@@ -95,7 +99,7 @@ def scanned(rows: DataFrame, keys: list[str], place: str, start: Column, guess:
                 for key, begin, *values in zip(zip(*(b.column(k).to_pylist() for k in key_at), strict=True), *(b.column(k).to_pylist() for k in at), strict=True):
                     if key != group:
                         if group is not None:
-                            ended.append((*group, first, state - first))
+                            ended.append((*group, first, state if meets else state - first))
                         group, first, state = key, begin, begin
                     state, added = step(state, *values)
                     out.append(added)
@@ -104,16 +108,21 @@ def scanned(rows: DataFrame, keys: list[str], place: str, start: Column, guess:
                 elif ended:
                     yield _batch(ended, of_block)
             if group is not None and not last:
-                yield _batch([(*group, first, state - first)], of_block)
+                yield _batch([(*group, first, state if meets else state - first)], of_block)
 
         return data.repartition(*by).sortWithinPartitions(*by, place).mapInArrow(of_task, kinds if last else of_block)
 
     sizes = placed.groupBy(*keys).agg(F.max("_block").alias("_last"))
     if not sizes.where("_last > 0").isEmpty():
         placed = staged(placed)
-        blocks = placed.groupBy(*by).agg(F.min_by("_start", place).alias("_start"), F.sum("_guess").alias("_adds"))
+        guessed = F.max_by("_guess", place) if meets else F.sum("_guess")
+        blocks = placed.groupBy(*by).agg(F.min_by("_start", place).alias("_start"), guessed.alias("_adds"))
         before = Window.partitionBy(*keys).orderBy("_block")
-        starts = lambda b: b.select(*by, "_start", (F.first("_start").over(before) + F.coalesce(F.sum("_adds").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_from"))
+        if meets:
+            begin = F.coalesce(F.lag("_adds").over(before), F.col("_start"))
+        else:
+            begin = F.first("_start").over(before) + F.coalesce(F.sum("_adds").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = lambda b: b.select(*by, "_start", begin.alias("_from"))
         known = staged(starts(blocks))
         wrong, done = known, None
         while not wrong.isEmpty():

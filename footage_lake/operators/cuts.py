@@ -7,11 +7,13 @@ by project and asset; windows over the same keys share one shuffle.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footage_lake.functions.ordered import numbered
-from footage_lake.functions.spans import containing, outside
+from footage_lake.functions.ordered import RUN, numbered, scanned
+from footage_lake.functions.spans import containing, outside, overlapping
+from footage_lake.functions.staged import staged
 from footage_lake.functions.timecode import sec_to_tc, shot_id
 
 KEYS = ["project_id", "asset_id"]
@@ -121,17 +123,15 @@ def hard_cuts(scores: DataFrame, regions: DataFrame | None = None, least: float
     return merge_candidates(outside_regions(peaks, regions).select(*KEYS, "t_us", "cut_score"))
 
 
-def _times(cuts: DataFrame) -> DataFrame:
-    """Array ``inner`` of each asset's cut times; bounded by the cuts of one asset."""
-    return cuts.groupBy(*KEYS).agg(F.collect_list("t_us").alias("inner"))
+def _ends(assets: DataFrame) -> DataFrame:
+    """Rows t_us of 0 and the duration of each asset."""
+    return assets.select(*KEYS, F.explode(F.array(F.lit(0).cast("bigint"), "duration_us")).alias("t_us"))
 
 
-def _spans(cuts: DataFrame, assets: DataFrame) -> DataFrame:
-    """start_us, end_us between 0, the cuts and the duration of each asset that has a cut."""
-    every = F.concat(F.array(F.lit(0).cast("bigint"), "duration_us"), "inner")
-    rows = _times(cuts).join(assets, KEYS).select(*KEYS, F.sort_array(F.array_distinct(every)).alias("times"))
-    spans = rows.select(*KEYS, "times", F.posexplode(F.slice("times", 1, F.size("times") - 1)).alias("k", "start_us"))
-    return spans.select(*KEYS, "start_us", F.get("times", F.col("k") + 1).alias("end_us"))
+def _spans(points: DataFrame) -> DataFrame:
+    """start_us, end_us from each point to the next of its asset."""
+    spans = points.select(*KEYS, F.col("t_us").alias("start_us"), F.lead("t_us").over(_over()).alias("end_us"))
+    return spans.where("end_us IS NOT NULL")
 
 
 def refine_long_spans(scores: DataFrame, cuts: DataFrame, regions: DataFrame, assets: DataFrame, long: int = LONG, least: float = LONG_PROMINENCE) -> DataFrame:
@@ -141,31 +141,24 @@ def refine_long_spans(scores: DataFrame, cuts: DataFrame, regions: DataFrame, as
     asset without a cut gets none here. All cuts are then chained again and the
     earliest of each chain stays.
     """
-    spans = _spans(cuts, assets).where(F.col("end_us") - F.col("start_us") > long)
-    s = spans.select(*[F.col(k).alias(f"s_{k}") for k in KEYS], F.col("start_us").alias("span"), "end_us")
-    here = (
-        (F.col("project_id") == F.col("s_project_id"))
-        & (F.col("asset_id") == F.col("s_asset_id"))
-        & F.col("t_us").between(F.col("span") - MARGIN, F.col("end_us") + MARGIN)
-    )
-    points = scores.join(s, here).select(*KEYS, "span", "t_us", "cut_score")
+    cuts = cuts.select(*KEYS, "t_us")
+    ends = _ends(assets.join(cuts.select(*KEYS).distinct(), KEYS, "left_semi"))
+    spans = _spans(cuts.unionByName(ends).distinct()).where(F.col("end_us") - F.col("start_us") > long)
+    s = spans.select(*KEYS, F.col("start_us").alias("span"), (F.col("start_us") - MARGIN).alias("low"), (F.col("end_us") + MARGIN).alias("high"))
+    points = overlapping(scores.select(*KEYS, "t_us", "cut_score"), s, KEYS, "t_us", "t_us", "low", "high", ["span"])
     peaks = prominence(local_maxima(points, WINDOW, "span"), WINDOW, CONTEXT, False, "span")
     peaks = outside_regions(peaks.where(F.col("is_max") & (F.col("prominence") >= least)), regions)
-    c = cuts.select(*[F.col(k).alias(f"c_{k}") for k in KEYS], F.col("t_us").alias("c_us"))
-    near = (F.col("project_id") == F.col("c_project_id")) & (F.col("asset_id") == F.col("c_asset_id")) & (F.abs(F.col("t_us") - F.col("c_us")) <= MERGE)
-    free = peaks.join(c, near, "left_anti")
+    free = outside(peaks, cuts, KEYS, "t_us", F.col("t_us") - MERGE, F.col("t_us") + MERGE)
     best = free.groupBy(*KEYS, "span").agg(F.max_by("t_us", F.struct("prominence", -F.col("t_us"))).alias("t_us")).drop("span")
-    more = _times(best).withColumnRenamed("inner", "more")
-    both = F.array_distinct(F.concat("inner", F.coalesce("more", F.array().cast("array<bigint>"))))
-    every = _times(cuts).join(more, KEYS, "left").select(*KEYS, F.explode(both).alias("t_us"), F.lit(0.0).alias("zero"))
+    every = cuts.unionByName(best).distinct().withColumn("zero", F.lit(0.0))
     return merge_candidates(every, MERGE, "zero").select(*KEYS, "t_us")
 
 
 def kept_times(times: Column, least: int = MIN_SHOT, tail: bool = True) -> Column:
     """Fold over sorted times: a time stays if it is ``least`` after the last that stayed; the last always does.
 
-    With ``tail`` a last span shorter than ``least`` loses the inner cut before it. What
-    stays is one time for each ``least`` of the asset at most, which bounds the array.
+    With ``tail`` a last span shorter than ``least`` loses the inner cut before it. For an
+    array at hand; ``kept_cuts`` takes rows.
     """
     inner = F.slice(times, 2, F.greatest(F.size(times) - 2, F.lit(0)))
     first, last = F.get(times, F.lit(0)), F.element_at(times, -1)
@@ -178,12 +171,37 @@ def kept_times(times: Column, least: int = MIN_SHOT, tail: bool = True) -> Colum
     return F.when(F.size(times) < 2, times).otherwise(F.array_append(kept, last))
 
 
-def cut_times(cuts: DataFrame, assets: DataFrame, least: int = MIN_SHOT) -> DataFrame:
-    """Sorted array ``times`` of 0, the cuts and the duration per asset, short spans merged."""
-    found = _times(cuts)
-    every = F.concat(F.array(F.lit(0).cast("bigint"), "duration_us"), F.coalesce("inner", F.array().cast("array<bigint>")))
-    times = F.sort_array(F.array_distinct(F.filter(every, lambda t: (t >= 0) & (t <= F.col("duration_us")))))
-    return assets.where("duration_us > 0").join(found, KEYS, "left").select(*KEYS, "duration_us", kept_times(times, least).alias("times"))
+def _kept(least: int):
+    """The step of a walk over times: the state is the last time that stayed."""
+
+    def step(last: int, t: int) -> tuple[int, tuple[bool]]:
+        return (t, (True,)) if t - last >= least else (last, (False,))
+
+    return step
+
+
+def kept_cuts(cuts: DataFrame, assets: DataFrame, least: int = MIN_SHOT, tail: bool = True, run: int = RUN) -> DataFrame:
+    """Rows t_us of 0, the cuts that stay and the duration of each asset that has a length.
+
+    The rule is that of ``kept_times``. The cuts of an asset are walked in blocks of ``run``
+    from a guess of the last cut that stayed, and again where it was wrong; no array or task
+    holds an asset. A cut less than ``least`` before the end never decides on another one, so
+    with ``tail`` all of them go first.
+    """
+    whole = assets.where("duration_us > 0").select(*KEYS, "duration_us")
+    inner = cuts.select(*KEYS, "t_us").distinct().join(whole, KEYS).where((F.col("t_us") > 0) & (F.col("t_us") < F.col("duration_us")))
+    if tail:
+        inner = inner.where(F.col("duration_us") - F.col("t_us") >= least)
+    # the walk reads the cuts several times, so they are found once
+    inner = numbered(staged(inner.drop("duration_us")), "place", KEYS, {"_far": F.floor(F.col("t_us") / (1000 * least)).cast("bigint")}, ["t_us"])
+    walked = scanned(inner, KEYS, "place", F.lit(0), F.col("t_us"), ["t_us"], _kept(least), {"stays": pa.bool_()}, run, meets=True)
+    return walked.where("stays").select(*KEYS, "t_us").unionByName(_ends(whole))
+
+
+def cut_times(cuts: DataFrame, assets: DataFrame, least: int = MIN_SHOT, tail: bool = True) -> DataFrame:
+    """The times of ``kept_cuts`` as one sorted array ``times`` per asset."""
+    found = kept_cuts(cuts, assets, least, tail).groupBy(*KEYS).agg(F.sort_array(F.collect_list("t_us")).alias("times"))
+    return assets.select(*KEYS, "duration_us").join(found, KEYS)
 
 
 def merge_short(times: Column, least: int = MIN_SHOT) -> Column:
@@ -191,10 +209,9 @@ def merge_short(times: Column, least: int = MIN_SHOT) -> Column:
     return kept_times(times, least, tail=False)
 
 
-def shots_from_cuts(times: DataFrame, fps: float = 24.0) -> DataFrame:
-    """A row per span with its number in the asset, a shot id in the project, time codes and seconds."""
-    spans = times.select(*KEYS, F.posexplode(F.slice("times", 1, F.size("times") - 1)).alias("seq", "start_us"), "times")
-    spans = spans.withColumn("end_us", F.get("times", F.col("seq") + 1)).drop("times")
+def shots_from_cuts(points: DataFrame, fps: float = 24.0) -> DataFrame:
+    """A row per span between times of ``kept_cuts`` with its number in the asset, a shot id in the project, time codes and seconds."""
+    spans = _spans(points).withColumn("seq", F.row_number().over(Window.partitionBy(*KEYS).orderBy("start_us")) - 1)
     spans = numbered(spans, "number", ["project_id"], {"_asset": F.col("asset_id")}, ["start_us"])
     rate = lambda c: sec_to_tc(F.col(c) / 1e6, fps)
     return spans.select(
@@ -231,8 +248,7 @@ def detect_shots(scores: DataFrame, assets: DataFrame) -> DataFrame:
     cuts = hard_cuts(scores, regions).select(*KEYS, "t_us")
     cuts = refine_long_spans(scores, cuts, regions, assets)
     # an asset without scores has no cut, so its times are those of whole_asset_fallback
-    times = cut_times(cuts, assets)
-    return attach_transitions(shots_from_cuts(times), regions)
+    return attach_transitions(shots_from_cuts(kept_cuts(cuts, assets)), regions)
 
 
 def scene_peaks(scores: DataFrame, threshold: float = 0.1, window: int = MERGE) -> DataFrame:

@@ -6,11 +6,12 @@ transition, audio, notes; shots have source_file, source_path, fps.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footage_lake.functions.ordered import sums_before
+from footage_lake.functions.ordered import numbered, sums_before
 from footage_lake.functions.timecode import export_speed, reel_name, sec_to_tc, tc_to_sec
+from footage_lake.sources.tables import framed, whole
 
 
 def matched(decisions: DataFrame, shots: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -51,11 +52,15 @@ def edl_lines(rows: DataFrame) -> DataFrame:
     return layout(rows).select("project_id", "entry", F.posexplode(lines).alias("line_no", "line"))
 
 
+def edl_document(rows: DataFrame, title: str = "TIMELINE") -> DataFrame:
+    """K6: the EDL document of each project in lines, for ``write_lines``."""
+    lines = edl_lines(rows).select("project_id", F.lit(3).alias("section"), F.col("entry").alias("place"), F.col("line_no").cast("bigint").alias("nth"), F.col("line").alias("value"))
+    return framed(lines, rows, {0: f"TITLE: {title}", 1: "FCM: NON-DROP FRAME", 2: ""})
+
+
 def edl_text(rows: DataFrame, title: str = "TIMELINE") -> DataFrame:
-    """One EDL document per project; a project's lines are bounded by its decisions."""
-    lines = edl_lines(rows).groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("entry", "line_no", "line"))).alias("rows"))
-    head = F.lit(f"TITLE: {title}\nFCM: NON-DROP FRAME\n\n")
-    return lines.select("project_id", F.concat(head, F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("value"))
+    """One EDL document per project, in a row."""
+    return whole(edl_document(rows, title), "\n")
 
 
 def timeline_entries(rows: DataFrame) -> DataFrame:
@@ -68,9 +73,9 @@ def timeline_entries(rows: DataFrame) -> DataFrame:
 
 def xml_assets(rows: DataFrame) -> DataFrame:
     """Distinct source files numbered by first use in the project."""
-    w = Window.partitionBy("project_id").orderBy("first_entry", "source_file")
     used = layout(rows).groupBy("project_id", "source_file").agg(F.min("entry").alias("first_entry"), F.min("source_path").alias("source_path"))
-    return used.select("project_id", F.concat(F.lit("r"), (F.row_number().over(w) + 1).cast("string")).alias("asset_ref"), "source_file", "source_path")
+    used = numbered(used, "number", ["project_id"], {"_block": F.floor(F.col("first_entry") / 1000)}, ["first_entry", "source_file"])
+    return used.select("project_id", F.concat(F.lit("r"), (F.col("number") + 1).cast("string")).alias("asset_ref"), "source_file", "source_path")
 
 
 def _escaped(c: str):
@@ -93,15 +98,19 @@ def xml_spine(rows: DataFrame) -> DataFrame:
     return clips.select("project_id", "entry", F.array_join(F.array_compact(F.array(dissolve, clip)), "").alias("fragment"))
 
 
+def xml_document(rows: DataFrame) -> DataFrame:
+    """K7: the exchange document of each project in lines, assets by their number, clips by their entry, for ``write_lines``."""
+    number = F.substring("asset_ref", 2, 10).cast("int")
+    asset = F.concat(F.lit('<asset id="'), "asset_ref", F.lit('" src="'), _escaped("source_path"), F.lit('"/>'))
+    line = lambda section, place, value: ["project_id", F.lit(section).alias("section"), place.alias("place"), F.lit(0).cast("bigint").alias("nth"), value.alias("value")]
+    lines = xml_assets(rows).select(*line(1, number, asset)).unionByName(xml_spine(rows).select(*line(3, F.col("entry"), F.col("fragment"))))
+    head = '<?xml version="1.0" encoding="UTF-8"?><fcpxml version="1.9"><resources>'
+    return framed(lines, rows, {0: head, 2: "</resources><spine>", 4: "</spine></fcpxml>"})
+
+
 def xml_text(rows: DataFrame) -> DataFrame:
-    """One exchange document per project."""
-    a = xml_assets(rows).groupBy("project_id").agg(F.sort_array(F.collect_list(F.concat(F.lit('<asset id="'), "asset_ref", F.lit('" src="'), _escaped("source_path"), F.lit('"/>')))).alias("assets"))
-    s = xml_spine(rows).groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("entry", "fragment"))).alias("spine"))
-    body = F.concat(
-        F.lit('<?xml version="1.0" encoding="UTF-8"?><fcpxml version="1.9"><resources>'), F.array_join("assets", ""), F.lit("</resources><spine>"),
-        F.array_join(F.transform("spine", lambda x: x["fragment"]), ""), F.lit("</spine></fcpxml>"),
-    )
-    return a.join(s, "project_id").select("project_id", body.alias("value"))
+    """One exchange document per project, in a row."""
+    return whole(xml_document(rows), "")
 
 
 def final_rows(rows: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ def _refined(spark, d):
 
 def _cut_shots(spark, d):
     refined, regions, assets = _refined(spark, d)
-    return cuts.shots_from_cuts(cuts.cut_times(refined, assets)), regions, assets
+    return cuts.shots_from_cuts(cuts.kept_cuts(refined, assets)), regions, assets
 
 
 @query(f"WITH {BASE} SELECT project_id, asset_id, round(baseline, 6) AS baseline FROM base")

@@ -168,16 +168,22 @@ def timeline_entries(spark, d):
     return rows.select("project_id", F.col("entry").cast("bigint").alias("entry"), "shot_id", "source_file", "source.tc_in", "source.tc_out", "record.rec_in", "record.rec_out", "speed", "technique")
 
 
-@query(f"""WITH {CODED}, lines AS (SELECT project_id, entry, list_filter([CASE WHEN entry < 1000 THEN lpad(CAST(entry AS VARCHAR), 3, '0') ELSE CAST(entry AS VARCHAR) END || '  ' || rpad(left(upper(source_file), 8), 8, ' ') || '  V     C        ' || tc_in || ' ' || tc_out || ' ' || rec_in || ' ' || rec_out,
-  CASE speed WHEN '1x' THEN NULL WHEN '50%' THEN '* SPEED: 50.0%' WHEN '200%' THEN '* SPEED: 200.0%' ELSE '* SPEED: 250.0%' END, '* FROM CLIP NAME: ' || source_file, ''], lambda x: x IS NOT NULL) AS l FROM coded)
+EDL = """lines AS (SELECT project_id, entry, list_filter([CASE WHEN entry < 1000 THEN lpad(CAST(entry AS VARCHAR), 3, '0') ELSE CAST(entry AS VARCHAR) END || '  ' || rpad(left(upper(source_file), 8), 8, ' ') || '  V     C        ' || tc_in || ' ' || tc_out || ' ' || rec_in || ' ' || rec_out,
+  CASE speed WHEN '1x' THEN NULL WHEN '50%' THEN '* SPEED: 50.0%' WHEN '200%' THEN '* SPEED: 200.0%' ELSE '* SPEED: 250.0%' END, '* FROM CLIP NAME: ' || source_file, ''], lambda x: x IS NOT NULL) AS l FROM coded)"""
+
+
+@query(f"""WITH {CODED}, {EDL}
 SELECT project_id, entry, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM lines""")
 def edl_lines(spark, d):
     return timeline.edl_lines(_laid(spark, d)).select("project_id", F.col("entry").cast("bigint").alias("entry"), F.col("line_no").cast("bigint").alias("line_no"), "line")
 
 
+SPINE = """SELECT l.project_id, l.entry, '<asset-clip name="' || shot_id || '" ref="r' || CAST(ref AS VARCHAR) || '" offset="' || CAST(start_us AS VARCHAR) || '/1000000s" duration="' || CAST(len_us AS VARCHAR) || '/1000000s">' ||
+CASE speed WHEN '1x' THEN '' WHEN '50%' THEN '<timeMap speed="0.50"/>' WHEN '200%' THEN '<timeMap speed="2.00"/>' ELSE '<timeMap speed="2.50"/>' END || '</asset-clip>' AS fragment FROM laid l JOIN refs USING (project_id, source_file)"""
+
+
 @query(f"""WITH {LAYOUT}, refs AS (SELECT project_id, source_file, row_number() OVER (PARTITION BY project_id ORDER BY min(entry), source_file) + 1 AS ref FROM laid GROUP BY project_id, source_file)
-SELECT l.project_id, l.entry, '<asset-clip name="' || shot_id || '" ref="r' || CAST(ref AS VARCHAR) || '" offset="' || CAST(start_us AS VARCHAR) || '/1000000s" duration="' || CAST(len_us AS VARCHAR) || '/1000000s">' ||
-CASE speed WHEN '1x' THEN '' WHEN '50%' THEN '<timeMap speed="0.50"/>' WHEN '200%' THEN '<timeMap speed="2.00"/>' ELSE '<timeMap speed="2.50"/>' END || '</asset-clip>' AS fragment FROM laid l JOIN refs USING (project_id, source_file)""")
+{SPINE}""")
 def xml_spine(spark, d):
     return timeline.xml_spine(_laid(spark, d)).withColumn("entry", F.col("entry").cast("bigint"))
 
@@ -205,9 +211,8 @@ def clips_with_files(spark, d):
 @query(f"WITH {TIMES} SELECT project_id, asset_id, array_to_string(list_append(k, duration_us), ',') AS times FROM kept")
 def cut_merge_short(spark, d):
     refined, _, assets = _refined(spark, d)
-    every = F.sort_array(F.array_distinct(F.concat(F.array(F.lit(0).cast("bigint"), "duration_us"), F.coalesce("inner", F.array().cast("array<bigint>")))))
-    rows = assets.join(cuts._times(refined), cuts.KEYS, "left").withColumn("every", every)
-    return rows.select(*cuts.KEYS, F.array_join(cuts.merge_short(F.col("every")).cast("array<string>"), ",").alias("times"))
+    rows = cuts.cut_times(refined, assets, tail=False)
+    return rows.select(*cuts.KEYS, F.array_join(F.col("times").cast("array<string>"), ",").alias("times"))
 
 
 @query(f"WITH {b.FS} SELECT project_id, asset_id, duration_us, '0,' || CAST(duration_us AS VARCHAR) AS times FROM assets WHERE CAST(asset_id AS BIGINT) % 10 = 0")

@@ -34,10 +34,52 @@ def write_stage(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("project_id").parquet(path)
 
 
-def stage_documents(rows: DataFrame, name: str) -> DataFrame:
-    """K1: one JSON document per project of its rows; bounded by the rows of one project."""
+#: Columns of a document in lines: sections come in order, lines of a section in the order of place, then nth.
+LINE = ["project_id", "section", "place", "nth", "value"]
+
+
+def framed(lines: DataFrame, projects: DataFrame, frame: dict[int, str]) -> DataFrame:
+    """``lines`` (section, place, nth, value by project) with the fixed lines of ``frame``, by section, for each of ``projects``."""
+    fixed = F.explode(F.array(*[F.struct(F.lit(k).alias("section"), F.lit(v).alias("value")) for k, v in frame.items()]))
+    none = F.lit(None).cast(lines.schema["place"].dataType)
+    rows = projects.select("project_id").distinct().select("project_id", fixed.alias("f"))
+    return lines.select(*LINE).unionByName(rows.select("project_id", "f.section", none.alias("place"), F.lit(0).cast("bigint").alias("nth"), "f.value"))
+
+
+def stage_lines(rows: DataFrame, name: str) -> DataFrame:
+    """K1: the JSON document of each project in lines: a head, a line for each row in the order of its values, a foot.
+
+    Equal rows are counted before they are ordered; the first of a project alone has no comma before it.
+    """
     record = F.struct(*[c for c in rows.columns if c != "project_id"])
-    return rows.groupBy("project_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(record)).alias(name))).alias("value"))
+    counted = rows.select("project_id", record.alias("place")).groupBy("project_id", "place").agg(F.count("*").alias("n"))
+    first = counted.groupBy("project_id").agg(F.min("place").alias("first"))
+    each = counted.join(first, "project_id").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
+    comma = F.when((F.col("nth") == 1) & F.col("place").eqNullSafe(F.col("first")), "").otherwise(",")
+    lines = each.select("project_id", F.lit(1).alias("section"), "place", "nth", F.concat(comma, F.to_json("place")).alias("value"))
+    return framed(lines, rows, {0: f'{{"{name}":[', 2: "]}"})
+
+
+def whole(lines: DataFrame, joint: str) -> DataFrame:
+    """One text per project of its lines; for projects that fit a row (``write_lines`` has no such bound)."""
+    rows = lines.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("section", "place", "nth", "value"))).alias("rows"))
+    return rows.select("project_id", F.array_join(F.transform("rows", lambda r: r["value"]), joint).alias("value"))
+
+
+def stage_documents(rows: DataFrame, name: str) -> DataFrame:
+    """K1: one JSON document per project of its rows, in a row; ``stage_lines`` is for projects of any size."""
+    return whole(stage_lines(rows, name), "")
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """K1, K6, K7: documents of any size as ordered text files in the project's folder.
+
+    Lines are cut into ranges by project and order, so a large project is written by many
+    tasks; its files, read in the order of their names, are its document.
+    """
+    order = [F.col(c).asc_nulls_first() for c in LINE[:-1]]
+    dealt = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.select("project_id", "value").write.mode("overwrite").partitionBy("project_id").text(path)
 
 
 #: K3: columns of the decision table and their headings.
