@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -66,7 +67,7 @@ RUN = 50_000
 _KINDS = {pa.string(): StringType(), pa.bool_(): BooleanType(), pa.float64(): DoubleType(), pa.int64(): LongType()}
 
 
-def scanned(rows: DataFrame, keys: list[str], place: str, start: Column, guess: Column, reads: list[str], step: Callable, adds: dict[str, pa.DataType], run: int = RUN, meets: bool = False) -> DataFrame:
+def scanned(rows: DataFrame, keys: list[str], place: str, start: Column, guess: Column, reads: list[str], step: Callable, adds: dict[str, pa.DataType], run: int = RUN) -> DataFrame:
     """Rows with the columns ``adds`` of a walk in the order of ``place`` over each group, without one task per group.
 
     ``place`` numbers a group's rows from 1. The state is an integer total: ``start`` at
@@ -76,10 +77,6 @@ def scanned(rows: DataFrame, keys: list[str], place: str, start: Column, guess:
     of ``guess`` (a long per row) at first, then by their own last walk. Blocks whose guess was
     wrong are walked again until all hold; the first wrong block of a group is right
     next time, so this ends, and the result is that of one walk. A last pass gives the rows.
-
-    Where the state is no sum but a place or a length, walks from different states soon
-    meet: with ``meets`` a block starts from what the block before ended with in its last
-    walk, and ``guess`` of a row is the state after it.
     """
     placed = rows.withColumns({"_block": F.floor((F.col(place) - 1) / run).cast("bigint"), "_start": start.cast("bigint"), "_guess": F.coalesce(guess.cast("bigint"), F.lit(0))})
     by = [*keys, "_block"]
@@ -99,7 +96,7 @@ def scanned(rows: DataFrame, keys: list[str], place: str, start: Column, guess:
                 for key, begin, *values in zip(zip(*(b.column(k).to_pylist() for k in key_at), strict=True), *(b.column(k).to_pylist() for k in at), strict=True):
                     if key != group:
                         if group is not None:
-                            ended.append((*group, first, state if meets else state - first))
+                            ended.append((*group, first, state - first))
                         group, first, state = key, begin, begin
                     state, added = step(state, *values)
                     out.append(added)
@@ -108,20 +105,16 @@ def scanned(rows: DataFrame, keys: list[str], place: str, start: Column, guess:
                 elif ended:
                     yield _batch(ended, of_block)
             if group is not None and not last:
-                yield _batch([(*group, first, state if meets else state - first)], of_block)
+                yield _batch([(*group, first, state - first)], of_block)
 
         return data.repartition(*by).sortWithinPartitions(*by, place).mapInArrow(of_task, kinds if last else of_block)
 
     sizes = placed.groupBy(*keys).agg(F.max("_block").alias("_last"))
     if not sizes.where("_last > 0").isEmpty():
         placed = staged(placed)
-        guessed = F.max_by("_guess", place) if meets else F.sum("_guess")
-        blocks = placed.groupBy(*by).agg(F.min_by("_start", place).alias("_start"), guessed.alias("_adds"))
+        blocks = placed.groupBy(*by).agg(F.min_by("_start", place).alias("_start"), F.sum("_guess").alias("_adds"))
         before = Window.partitionBy(*keys).orderBy("_block")
-        if meets:
-            begin = F.coalesce(F.lag("_adds").over(before), F.col("_start"))
-        else:
-            begin = F.first("_start").over(before) + F.coalesce(F.sum("_adds").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        begin = F.first("_start").over(before) + F.coalesce(F.sum("_adds").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         starts = lambda b: b.select(*by, "_start", begin.alias("_from"))
         known = staged(starts(blocks))
         wrong, done = known, None
@@ -137,6 +130,141 @@ def scanned(rows: DataFrame, keys: list[str], place: str, start: Column, guess:
     return walked(placed, True).select(*rows.columns, *adds)
 
 
+#: A block of ``gated`` is this many times ``least`` long.
+SPAN = 10_000
+#: Before all marks.
+NEVER = -(1 << 62)
+
+
+def gated(rows: DataFrame, keys: list[str], mark: str, reach: str, least: int, start: int, name: str, span: int = SPAN) -> DataFrame:
+    """Rows with a boolean ``name``: whether a row opens, walked in the order of ``mark``, then ``reach``.
+
+    A row opens if its ``reach`` is ``least`` or more past the mark of the last row that
+    opened (``start`` before the first). Both are longs without nulls, and ``reach`` grows
+    with ``mark`` (mark <= reach).
+
+    Groups are cut into blocks of ``span`` times ``least`` of ``mark``. What a block does
+    depends only on which of its first rows opens first, so a first pass walks from each of
+    these at once (walks that open the same row are one from there on) and gives, for each
+    block, the last mark by the first opening. A second pass, over these few rows a block,
+    finds the mark that each block starts from; a third one gives the rows. The
+    number of passes does not depend on the data, and a task holds no block, only the
+    walks that have not met: at most as many as rows have their mark within ``least``.
+    """
+    by = [*keys, "_block"]
+    placed = rows.withColumn("_block", F.floor(F.col(mark) / (span * max(least, 1))).cast("bigint"))
+    schema = placed.schema
+    of_walks = StructType([*[schema[k] for k in by], *[StructField(n, LongType()) for n in ("_nth", "_upto", "_ends")]])
+    of_starts = StructType([*[schema[k] for k in by], StructField("_from", LongType())])
+
+    def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, walk = None, None
+        for b in batches:
+            out = []
+            for *key, m, r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != group:
+                    if group is not None:
+                        out += [(*group, n, *end) for n, end in enumerate(walk.ends())]
+                    group, walk = key, _Walks(m + least)
+                walk.add(m, r, least)
+            if out:
+                yield _batch(out, of_walks)
+        if group is not None:
+            yield _batch([(*group, n, *end) for n, end in enumerate(walk.ends())], of_walks)
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, block, last, begin, met = None, None, start, start, False
+        for b in batches:
+            out = []
+            for *key, at, _, upto, ends in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != group:
+                    group, block, last = key, None, start
+                if at != block:
+                    block, begin, met = at, last, False
+                    out.append((*key, at, begin))
+                if not met and upto - begin >= least:
+                    last, met = ends, True
+            if out:
+                yield _batch(out, of_starts)
+
+    first = placed.select(*by, mark, reach).repartition(*by).sortWithinPartitions(*by, mark, reach).mapInArrow(walks, of_walks)
+    begins = first.repartition(*keys).sortWithinPartitions(*by, "_nth").mapInArrow(starts, of_starts)
+    data = placed.unionByName(begins, allowMissingColumns=True)
+    names = [*data.columns, name]
+    at = [names.index(c) for c in (mark, reach, "_from")]
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = start
+        for b in batches:
+            out = []
+            for m, r, begin in zip(*(b.column(k).to_pylist() for k in at), strict=True):
+                if begin is not None:
+                    last = begin
+                opens = begin is None and r - last >= least
+                last = m if opens else last
+                out.append(opens)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], names)
+
+    kinds = StructType([*[StructField(f.name, f.dataType) for f in data.schema.fields], StructField(name, BooleanType())])
+    # the row that tells a block's start comes first
+    dealt = data.repartition(*by).sortWithinPartitions(*by, F.col("_from").isNull(), mark, reach)
+    return dealt.mapInArrow(opened, kinds).where("_from IS NULL").select(*rows.columns, name)
+
+
+class _Walks:
+    """Walks over a block from each row that may be the first to open there."""
+
+    def __init__(self, until: int) -> None:
+        self.until = until  # a first opening reaches this at the latest
+        self.free = True
+        self.upto: list[int] = []  # reach of the last row of each run of first openings
+        self.walk: list[int] = []  # the walk of a run, or the one it went over into
+        self.live: deque[tuple[int, int]] = deque()  # (last mark, walk), by mark
+
+    def _root(self, k: int) -> int:
+        while self.walk[k] != k:
+            self.walk[k] = self.walk[self.walk[k]]
+            k = self.walk[k]
+        return k
+
+    def add(self, m: int, r: int, least: int) -> None:
+        joint = None
+        while self.live and r - self.live[0][0] >= least:
+            _, k = self.live.popleft()
+            if joint is None:
+                joint = k
+            else:
+                self.walk[k] = joint
+        if self.live and self.live[-1][0] == m:
+            if joint is not None:
+                self.walk[joint] = self.live[-1][1]
+            joint = self.live[-1][1]
+        elif joint is not None:
+            self.live.append((m, joint))
+        if self.free:
+            self.free = r < self.until
+            if joint is None:
+                joint = len(self.walk)
+                self.live.append((m, joint))
+            if self.walk and joint < len(self.walk) and self._root(len(self.walk) - 1) == joint:
+                self.upto[-1] = r
+            else:
+                self.upto.append(r)
+                self.walk.append(joint)
+
+    def ends(self) -> Iterator[tuple[int, int]]:
+        """(upto, last mark) in the order of the first openings; neighbours that end alike are one."""
+        last = {k: m for m, k in self.live}
+        run = None
+        for k, upto in enumerate(self.upto):
+            end = last[self._root(k)]
+            if run is not None and end != run[1]:
+                yield run
+            run = (upto, end)
+        if run is not None:
+            yield run
+
+
 def _batch(rows: list[tuple], schema: StructType) -> pa.RecordBatch:
     arrow = to_arrow_schema(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)

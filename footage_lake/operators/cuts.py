@@ -7,11 +7,10 @@ by project and asset; windows over the same keys share one shuffle.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footage_lake.functions.ordered import RUN, numbered, scanned
+from footage_lake.functions.ordered import SPAN, gated, numbered
 from footage_lake.functions.spans import containing, outside, overlapping
 from footage_lake.functions.staged import staged
 from footage_lake.functions.timecode import sec_to_tc, shot_id
@@ -171,30 +170,20 @@ def kept_times(times: Column, least: int = MIN_SHOT, tail: bool = True) -> Colum
     return F.when(F.size(times) < 2, times).otherwise(F.array_append(kept, last))
 
 
-def _kept(least: int):
-    """The step of a walk over times: the state is the last time that stayed."""
-
-    def step(last: int, t: int) -> tuple[int, tuple[bool]]:
-        return (t, (True,)) if t - last >= least else (last, (False,))
-
-    return step
-
-
-def kept_cuts(cuts: DataFrame, assets: DataFrame, least: int = MIN_SHOT, tail: bool = True, run: int = RUN) -> DataFrame:
+def kept_cuts(cuts: DataFrame, assets: DataFrame, least: int = MIN_SHOT, tail: bool = True, span: int = SPAN) -> DataFrame:
     """Rows t_us of 0, the cuts that stay and the duration of each asset that has a length.
 
-    The rule is that of ``kept_times``. The cuts of an asset are walked in blocks of ``run``
-    from a guess of the last cut that stayed, and again where it was wrong; no array or task
-    holds an asset. A cut less than ``least`` before the end never decides on another one, so
-    with ``tail`` all of them go first.
+    The rule is that of ``kept_times``. The cuts of an asset are walked in blocks of time,
+    each from all the cuts that may be its first to stay (``ordered.gated``); no array or
+    task holds an asset, and the number of passes is fixed. A cut less than ``least`` before
+    the end never decides on another one, so with ``tail`` all of them go first.
     """
     whole = assets.where("duration_us > 0").select(*KEYS, "duration_us")
     inner = cuts.select(*KEYS, "t_us").distinct().join(whole, KEYS).where((F.col("t_us") > 0) & (F.col("t_us") < F.col("duration_us")))
     if tail:
         inner = inner.where(F.col("duration_us") - F.col("t_us") >= least)
-    # the walk reads the cuts several times, so they are found once
-    inner = numbered(staged(inner.drop("duration_us")), "place", KEYS, {"_far": F.floor(F.col("t_us") / (1000 * least)).cast("bigint")}, ["t_us"])
-    walked = scanned(inner, KEYS, "place", F.lit(0), F.col("t_us"), ["t_us"], _kept(least), {"stays": pa.bool_()}, run, meets=True)
+    # the walk reads the cuts twice, so they are found once
+    walked = gated(staged(inner.drop("duration_us")), KEYS, "t_us", "t_us", least, 0, "stays", span)
     return walked.where("stays").select(*KEYS, "t_us").unionByName(_ends(whole))
 
 

@@ -5,11 +5,10 @@ Texts are rows of (script_id, text).
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footage_lake.functions.ordered import RUN, numbered, scanned, sums_before
+from footage_lake.functions.ordered import NEVER, SPAN, gated, sums_before
 
 # The forms of a scene heading, at the start of a line.
 HEADINGS = [
@@ -58,29 +57,22 @@ def chunks(text: Column, most: int = CHUNK) -> Column:
     return F.aggregate(F.split(text, "\n", -1), start, step, lambda acc: F.array_append(acc["done"], acc["cur"]))
 
 
-def _full(most: int):
-    """The step of a walk over lengths of paragraphs: the state is the length of the open chunk, -1 before the first."""
-
-    def step(length: int, more: int) -> tuple[int, tuple[bool]]:
-        return (more, (True,)) if length >= 0 and length + more > most else (max(length, 0) + more, (False,))
-
-    return step
-
-
-def chunked_lines(lines: DataFrame, most: int = CHUNK, run: int = RUN) -> DataFrame:
+def chunked_lines(lines: DataFrame, most: int = CHUNK, span: int = SPAN) -> DataFrame:
     """(script_id, chunk_no, chunk) of texts that come as rows (script_id, line_no, line), the rule of ``chunks``.
 
-    A text is walked in blocks of ``run`` lines from a guess of the open chunk's length, and
-    again where it was wrong, so that no row, array or task holds a text; only a chunk's own
-    lines come together. Lines of one number are ordered by their text; a null line is empty.
+    A line opens a chunk if it ends more than ``most`` characters after the open chunk began.
+    A text is walked in blocks of places (``ordered.gated``), so that no row, array or task
+    holds a text; only a chunk's own lines come together. Lines of one number are ordered by
+    their text; a null line is empty.
     """
-    far = {"_far": F.floor(F.col("line_no") / 10_000).cast("bigint")}
+    keys, order = ["script_id"], ["line_no", "line"]
     rows = lines.select("script_id", "line_no", F.coalesce("line", F.lit("")).alias("line")).withColumn("n_chars", F.length("line").cast("bigint"))
-    placed = numbered(rows, "place", ["script_id"], far, ["line_no", "line"])
-    walked = scanned(placed, ["script_id"], "place", F.lit(-1), F.col("n_chars"), ["n_chars"], _full(most), {"opens": pa.bool_()}, run, meets=True)
+    far = {"_far": F.floor(F.col("line_no") / 10_000).cast("bigint")}
+    placed = sums_before(rows, keys, far, order, {"begins": F.col("n_chars")}).withColumn("ends", F.col("begins") + F.col("n_chars"))
+    walked = gated(placed, keys, "begins", "ends", most + 1, NEVER, "opens", span)
     opens = F.col("opens").cast("bigint")
-    at = sums_before(walked, ["script_id"], {"_far": F.floor(F.col("place") / 10_000)}, ["place"], {"chunk_no": opens}).withColumn("chunk_no", F.col("chunk_no") + opens)
-    parts = at.groupBy("script_id", "chunk_no").agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("rows"))
+    at = sums_before(walked, keys, far, ["begins", "ends", *order], {"chunk_no": opens}).withColumn("chunk_no", F.col("chunk_no") + opens - 1)
+    parts = at.groupBy("script_id", "chunk_no").agg(F.sort_array(F.collect_list(F.struct("begins", "ends", *order))).alias("rows"))
     return parts.select("script_id", "chunk_no", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("chunk"))
 
 

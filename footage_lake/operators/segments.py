@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from footage_lake.functions.spans import at_slots, slot_of
+
 KEYS = ["project_id", "asset_id"]
-#: Microseconds of a time slot in which points and segments meet.
-SLOT = 10_000_000
 ATTRIBUTES = ["camera_position", "characters", "emotion", "action", "location", "dialogue", "coherence_score", "is_long_take"]
 WEIGHTS = {"camera_change": 0.35, "subject_change": 0.25, "emotion_break": 0.15, "action_break": 0.10, "plot_shift": 0.10, "dialogue_break": 0.05}
 
@@ -19,17 +19,19 @@ WEIGHTS = {"camera_change": 0.35, "subject_change": 0.25, "emotion_break": 0.15,
 def segment_at(points: DataFrame, segments: DataFrame, shift: int, name: str) -> DataFrame:
     """B1: struct ``name`` of the first segment with start <= t + shift < end, else of the last one.
 
-    Points and segments meet in slots of ``SLOT``, so neither a task nor a point
-    holds all segments of an asset; a segment has a row for each slot that it touches.
+    Points and segments meet in time slots, so neither a task nor a point holds all
+    segments of an asset. A segment has rows in the slots where it starts and ends; of
+    those that cover a slot whole the first one is found for the slot, so segments of
+    hours are not dealt to all their slots.
     Points of an asset without segments are left out, points without a time get the last one.
     """
     seg = segments.select(*KEYS, F.struct("seg_seq", "start_us", "end_us", *ATTRIBUTES).alias("_seg"))
     last = seg.groupBy(*KEYS).agg(F.max("_seg").alias("_last"))
-    slot = lambda t: F.floor(t / SLOT)
     start, end = F.col("_seg.start_us"), F.col("_seg.end_us")
-    slots = seg.where(start < end).withColumn("_slot", F.explode(F.sequence(slot(start), slot(end - 1))))
     t = F.col("t_us") + shift
-    met = points.select(*KEYS, "t_us").distinct().withColumn("_slot", slot(t)).join(slots, [*KEYS, "_slot"])
+    asked = points.select(*KEYS, "t_us").distinct().withColumn("_slot", slot_of(t))
+    slots = at_slots(seg.where(start < end), KEYS, start, end - 1, F.col("_seg"), points=asked).withColumnRenamed("_value", "_seg")
+    met = asked.join(slots, [*KEYS, "_slot"])
     hits = met.where((start <= t) & (t < end)).groupBy(*KEYS, "t_us").agg(F.min("_seg").alias("_hit"))
     found = points.join(hits, [*KEYS, "t_us"], "left").join(last, KEYS)
     return found.select(*[F.col(c) for c in points.columns], F.coalesce("_hit", "_last").alias(name))

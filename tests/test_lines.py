@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from footage_lake.functions import ordered
 from footage_lake.operators import cuts, scripts, timeline
 from footage_lake.sources import tables
 
@@ -29,14 +30,15 @@ def test_cut_times_equal_the_fold_in_blocks_of_any_size(spark, tail):
     ends = {"a": 20_000, "b": 30_000, "c": 5_000, "d": 1_000, "none": 9_000, "zero": 0}
     times = {k: [rng.randint(-500, e + 500) for _ in range(e // 150)] for k, e in ends.items()}
     times["c"] = [1_000, 1_000, 4_500, 4_100]
-    # steps just under and at the least length: a wrong guess does not meet the right walk for long
+    # steady steps: walks from different cuts never meet
     times["d"], ends["d"] = list(range(0, 24_000, 700)), 24_000
+    times["e"], ends["e"] = list(range(0, 90_000, 30)), 90_000
     made = spark.createDataFrame([("p", k, t) for k, ts in times.items() for t in ts], CUT)
     whole = spark.createDataFrame([("p", k, e) for k, e in ends.items()] + [("p", "null", None)], ASSET)
     want = {k: stays(times.get(k, []), e, 1000, tail) for k, e in ends.items() if e > 0}
-    for run in (16, 10_000):
+    for span in (1, 3, 10_000):
         got = {}
-        for r in cuts.kept_cuts(made, whole, 1000, tail, run).collect():
+        for r in cuts.kept_cuts(made, whole, 1000, tail, span).collect():
             got.setdefault(r["asset_id"], []).append(r["t_us"])
         assert {k: sorted(v) for k, v in got.items()} == want
     arrays = {r["asset_id"]: r["times"] for r in cuts.cut_times(made, whole, 1000, tail).collect()}
@@ -47,6 +49,27 @@ def test_cut_times_equal_the_fold_in_blocks_of_any_size(spark, tail):
     assert folded == {k: want[k] for k in folded}
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_walks_of_a_block_equal_a_walk_from_each_state(seed):
+    """Every state before a block, by one table of the block; rows without a length and equal marks among them."""
+    rng = random.Random(seed)
+    least, rows, at = rng.choice([1, 5, 20]), [], rng.randint(0, 9)
+    for _ in range(rng.randint(1, 60)):
+        n = rng.choice([0, 0, 1, 2, 7, 30]) if seed % 2 else 0
+        rows.append((at, at + n))
+        at += n if seed % 2 else rng.choice([1, 2, 3, 9])
+    walks = ordered._Walks(rows[0][0] + least)
+    for m, r in rows:
+        walks.add(m, r, least)
+    table = list(walks.ends())
+    assert all(a[1] != b[1] for a, b in zip(table, table[1:], strict=False))
+    for last in [ordered.NEVER, *range(rows[0][0] - 2 * least, rows[0][0] + 1)]:
+        want = last
+        for m, r in rows:
+            want = m if r - want >= least else want
+        assert next((end for upto, end in table if upto - last >= least), last) == want
+
+
 def test_cut_times_of_no_cuts(spark):
     got = cuts.kept_cuts(spark.createDataFrame([], CUT), spark.createDataFrame([("p", "a", 5)], ASSET)).collect()
     assert sorted(r["t_us"] for r in got) == [0, 5]
@@ -70,8 +93,8 @@ def test_chunks_of_lines_equal_the_fold(spark):
     rows = [(k, 2 * n + 7, p) for k, ps in texts.items() for n, p in enumerate(ps)]
     lines = spark.createDataFrame(rows, "script_id string, line_no int, line string").withColumn("chunk", F.lit("clash"))
     want = {(k, n): c for k, ps in texts.items() for n, c in enumerate(chunked(ps, 20))}
-    for run in (16, 10_000):
-        got = {(r["script_id"], r["chunk_no"]): r["chunk"] for r in scripts.chunked_lines(lines, 20, run).collect()}
+    for span in (1, 4, 10_000):
+        got = {(r["script_id"], r["chunk_no"]): r["chunk"] for r in scripts.chunked_lines(lines, 20, span).collect()}
         assert got == want
     whole = spark.createDataFrame([(k, "\n".join(ps)) for k, ps in texts.items()], "script_id string, text string")
     at_once = whole.select("script_id", F.posexplode(scripts.chunks(F.col("text"), 20)).alias("n", "c")).collect()

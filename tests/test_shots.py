@@ -73,7 +73,7 @@ def test_boundary_scores(spark, left, right, score, grade):
 
 def test_segment_lookup_by_brute_force(spark):
     """Overlapping, very long, empty and gapped segments; repeated points, points before, between and after them."""
-    spans = [("a", 0, 1_000_000, 4_000_000), ("a", 1, 2_000_000, 95_000_000), ("a", 2, 9_999_999, 10_000_001), ("a", 3, 120_000_000, 130_000_000), ("a", 4, 50, 50), ("b", 7, 0, 20_000_000)]
+    spans = [("a", 0, 1_000_000, 4_000_000), ("a", 1, 2_000_000, 95_000_000), ("a", 2, 9_999_999, 10_000_001), ("a", 3, 120_000_000, 130_000_000), ("a", 4, 50, 50), ("b", 7, 0, 20_000_000), ("b", 9, -(2**50), 2**60), ("b", 8, 130_000_000, 9_000_000_000)]
     fields = [None, None, None, None, None, None, 0.5, False]
     segs = spark.createDataFrame([("p", a, n, x, y, *fields) for a, n, x, y in spans], SEG)
     times = [0, 900_000, 1_900_000, 1_900_000, 9_899_999, 9_900_000, 94_899_999, 94_900_000, 119_900_000, 125_000_000, 200_000_000, None]

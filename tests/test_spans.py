@@ -37,6 +37,29 @@ def test_a_million_pairs_do_not_meet(spark):
     assert spans.outside(points, regions, ["g"], "t", F.col("s"), F.col("e")).count() == 60_000
 
 
+def test_long_spans_have_few_places(spark):
+    """Each slot of a span is met in one of its places; a span of months has few of them."""
+    rng = random.Random(5)
+    own = [(k, (s := rng.randint(-300_000, 300_000)), s + rng.choice([0, 1, 2, 15, 16, 17, 255, 300, 5_000, 200_000])) for k in range(60)]
+    frame = spark.createDataFrame([*own, (90, 5, 4), (91, None, 4)], "k int, s bigint, e bigint")
+    found = {r["k"]: [(h["level"], h["node"]) for h in r["h"]] for r in frame.select("k", spans.homes_of(F.col("s"), F.col("e"), 1).alias("h")).collect()}
+    assert found[90] == found[91] == []
+    wide = lambda level: 16 ** max(level, 0)
+    for k, s, e in own:
+        assert sorted(t for level, n in found[k] for t in range(n * wide(level), (n + 1) * wide(level))) == list(range(s, e + 1))
+        assert len(found[k]) <= 2 + 32 * spans.LEVELS
+    asked = spark.range(-40, 40).select("id", spans.places_of(F.col("id")).alias("h")).collect()
+    assert all([(h["level"], h["node"]) for h in r["h"]] == [(-1, r["id"]), *[(k, r["id"] // 16**k) for k in range(5)]] for r in asked)
+
+
+def test_many_spans_of_hours_cover_points(spark):
+    """50,000 spans of ten hours and more over one asset: nodes are reduced before they meet the points, or 180 million rows would."""
+    points = spark.range(20_000).select(F.lit("a").alias("g"), (F.col("id") * 5_000_000).alias("t"))
+    long = spark.range(50_000).select(F.lit("a").alias("g"), (F.col("id") * 1_000).alias("s"), (F.col("id") * 1_000 + 40_000_000_000).alias("e"))
+    last = 49_999 * 1_000 + 40_000_000_000
+    assert spans.outside(points, long, ["g"], "t", F.col("s"), F.col("e")).count() == sum(k * 5_000_000 > last for k in range(20_000))
+
+
 def test_state_rules_by_joins_equal_the_array(spark):
     paths = ["/m/raw/a.mov", "/m/raw2/b.mov", "/m/raw/x/c_final.mov", "/n/d.mov", "e.mov", None, "/m/raw/a.mov", "/m/raw/x/sub/f.mov", "//g.mov"]
     rules = [(3, 1, "dir", "/m/raw", "RAW1"), (3, 2, "dir", "/m/raw/x/", "PROC"), (3, 3, "dir", "/", "TOP"), (1, 1, "regex", "final", "PROCESSED"), (2, 5, "regex", r"^d\\.", "ANALYZED"), (2, 4, "regex", r"^d", "FIRST")]
