@@ -55,24 +55,19 @@ def places_of(slot: Column) -> Column:
     return F.array(F.struct(level(EDGE), slot.alias("node")), *above)
 
 
-def at_slots(spans: DataFrame, keys: list[str], start: Column, end: Column, value: Column, slot: float = SLOT, points: DataFrame | None = None) -> DataFrame:
+def at_slots(spans: DataFrame, keys: list[str], start: Column, end: Column, value: Column, slot: float = SLOT, *, points: DataFrame) -> DataFrame:
     """(keys, _slot, _value): for each slot the values of spans that begin or end there, and the least of those that cover it, by node.
 
     For tests that one covering span decides. Nodes are reduced to their least value before
     they meet the slots, so rows grow with the spans and the length of an asset, not with
-    their product. With ``points`` (keys, _slot) only their slots are given, and ends may lie
-    as far away as they like.
+    their product. Only slots of ``points`` (keys, _slot) are covered.
     """
     homes = spans.select(*keys, value.alias("_value"), F.inline(homes_of(start, end, slot)).alias("_level", "_node"))
     edges = homes.where(F.col("_level") == EDGE).select(*keys, F.col("_node").alias("_slot"), "_value")
     nodes = homes.where(F.col("_level") != EDGE).groupBy(*keys, "_level", "_node").agg(F.min("_value").alias("_value"))
-    if points is None:
-        n = F.pow(F.lit(1 << _BITS), F.col("_level")).cast("bigint")
-        covers = nodes.select(*keys, F.explode(F.sequence(F.col("_node") * n, F.col("_node") * n + n - 1)).alias("_slot"), "_value")
-    else:
-        above = F.slice(places_of(F.col("_slot")), 2, LEVELS + 1)
-        asked = points.select(*keys, "_slot").where("_slot IS NOT NULL").distinct().select("*", F.inline(above).alias("_level", "_node"))
-        covers = asked.join(nodes, [*keys, "_level", "_node"]).groupBy(*keys, "_slot").agg(F.min("_value").alias("_value"))
+    above = F.slice(places_of(F.col("_slot")), 2, LEVELS + 1)
+    asked = points.select(*keys, "_slot").where("_slot IS NOT NULL").distinct().select("*", F.inline(above).alias("_level", "_node"))
+    covers = asked.join(nodes, [*keys, "_level", "_node"]).groupBy(*keys, "_slot").agg(F.min("_value").alias("_value"))
     return edges.unionByName(covers)
 
 
@@ -87,9 +82,9 @@ def _same(keys: list[str], test: Column) -> Column:
 
 
 def outside(points: DataFrame, spans: DataFrame, keys: list[str], t: str, start: Column, end: Column, slot: float = SLOT) -> DataFrame:
-    """The points whose ``t`` lies in no span start..end, ends included, of their keys; points without a time stay."""
-    met = at_slots(spans, keys, start, end, F.struct(start.alias("start"), end.alias("end")), slot)
-    taken = _renamed(met, keys, {"_start": F.col("_value.start"), "_end": F.col("_value.end"), "_at": F.col("_slot")})
+    """The points whose ``t`` lies in no span start..end, ends included, of their keys; points without a time stay. A span has a row for each slot that it touches."""
+    first, last = slot_of(F.col("_start"), slot), slot_of(F.col("_end"), slot)
+    taken = _renamed(spans, keys, {"_start": start, "_end": end}).where("_start <= _end").withColumn("_at", F.explode(F.sequence(first, last)))
     inside = _same(keys, F.col("_slot") == F.col("_at")) & (F.col(t) >= F.col("_start")) & (F.col(t) <= F.col("_end"))
     return points.withColumn("_slot", slot_of(F.col(t), slot)).join(taken, inside, "left_anti").drop("_slot")
 

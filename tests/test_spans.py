@@ -52,14 +52,6 @@ def test_long_spans_have_few_places(spark):
     assert all([(h["level"], h["node"]) for h in r["h"]] == [(-1, r["id"]), *[(k, r["id"] // 16**k) for k in range(5)]] for r in asked)
 
 
-def test_many_spans_of_hours_cover_points(spark):
-    """50,000 spans of ten hours and more over one asset: nodes are reduced before they meet the points, or 180 million rows would."""
-    points = spark.range(20_000).select(F.lit("a").alias("g"), (F.col("id") * 5_000_000).alias("t"))
-    long = spark.range(50_000).select(F.lit("a").alias("g"), (F.col("id") * 1_000).alias("s"), (F.col("id") * 1_000 + 40_000_000_000).alias("e"))
-    last = 49_999 * 1_000 + 40_000_000_000
-    assert spans.outside(points, long, ["g"], "t", F.col("s"), F.col("e")).count() == sum(k * 5_000_000 > last for k in range(20_000))
-
-
 def test_state_rules_by_joins_equal_the_array(spark):
     paths = ["/m/raw/a.mov", "/m/raw2/b.mov", "/m/raw/x/c_final.mov", "/n/d.mov", "e.mov", None, "/m/raw/a.mov", "/m/raw/x/sub/f.mov", "//g.mov"]
     rules = [(3, 1, "dir", "/m/raw", "RAW1"), (3, 2, "dir", "/m/raw/x/", "PROC"), (3, 3, "dir", "/", "TOP"), (1, 1, "regex", "final", "PROCESSED"), (2, 5, "regex", r"^d\\.", "ANALYZED"), (2, 4, "regex", r"^d", "FIRST")]
