@@ -49,7 +49,7 @@ def probe_errors(spark, d):
     return catalog.assets_from_probe(_probed(spark, d))[1]
 
 
-@query(f"""WITH a AS (SELECT *, page_id * 1000000 + 250000 AS us FROM pages WHERE {PROBED}) SELECT 'p' || CAST(page_id % 4 AS VARCHAR) AS project_id, 'S' || lpad(CAST(row_number() OVER (PARTITION BY page_id % 4 ORDER BY '/m/' || CAST(page_id AS VARCHAR)) AS VARCHAR), 3, '0') AS shot_id,
+@query(f"""WITH a AS (SELECT *, page_id * 1000000 + 250000 AS us FROM pages WHERE {PROBED}) SELECT 'p' || CAST(page_id % 4 AS VARCHAR) AS project_id, printf('S%03d', row_number() OVER (PARTITION BY page_id % 4 ORDER BY '/m/' || CAST(page_id AS VARCHAR))) AS shot_id,
 'RAW' AS state, '/m/' || CAST(page_id AS VARCHAR) AS source_path, page_id + 0.25::DOUBLE AS duration_sec, true AS needs_review FROM a""")
 def inventory_shots(spark, d):
     assets = catalog.assets_from_probe(_probed(spark, d))[0]
