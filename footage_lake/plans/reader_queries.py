@@ -55,6 +55,10 @@ def file_digests(spark, d):
     return dedup.content_md5(files.where("path LIKE '%.txt'")).select(F.regexp_extract("path", "project_id=([^/]+)", 1).alias("project_id"), "md5")
 
 
+#: Projects that a file of decisions holds, about.
+BLOCK = 10_000
+
+
 @query("""SELECT 'p' || CAST(o_custkey AS VARCHAR) AS project_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq, 'S' || CAST(o_orderkey AS VARCHAR) AS shot_id,
 CASE WHEN o_orderkey % 2 = 0 THEN '1x' END AS speed FROM orders""")
 def decision_files(spark, d):
@@ -66,14 +70,16 @@ def decision_files(spark, d):
     rows.write.json(folder)
     documents = spark.read.schema("project_id string, timeline array<struct<shot_id:string,speed:string>>").json(folder)
     one_a_file = shared_folder(spark)
-    # a document per line is written again as a file per block of projects, each an array, which a reader of whole documents takes
-    blocks = documents.groupBy(F.pmod(F.crc32("project_id"), F.lit(16)).alias("block")).agg(F.to_json(F.collect_list(F.struct("project_id", "timeline"))).alias("value"))
-    blocks.select("value").repartition(16).write.text(one_a_file)
+    # a document per line is written again as a file per block of projects, each an array, which a reader of whole documents takes;
+    # a folder per block, as a reader takes the first array of a file alone
+    number = max(16, -(-documents.count() // BLOCK))
+    blocks = documents.groupBy(F.pmod(F.crc32("project_id"), F.lit(number)).alias("block")).agg(F.to_json(F.collect_list(F.struct("project_id", "timeline"))).alias("value"))
+    blocks.write.partitionBy("block").text(one_a_file)
     read = tables.read_decisions(spark, one_a_file, "struct<shot_id:string,speed:string>")
     return read.select("project_id", F.col("seq").cast("bigint").alias("seq"), "shot_id", "speed")
 
 
-@query(f"""WITH a AS (SELECT *, page_id * 1000000 + 250000 AS us FROM pages WHERE {PROBED}) SELECT 'p' || CAST(page_id % 4 AS VARCHAR) AS project_id, 'S' || lpad(CAST(row_number() OVER (PARTITION BY page_id % 4 ORDER BY '/m/' || CAST(page_id AS VARCHAR)) AS VARCHAR), 3, '0') AS shot_id,
+@query(f"""WITH a AS (SELECT *, page_id * 1000000 + 250000 AS us FROM pages WHERE {PROBED}) SELECT 'p' || CAST(page_id % 4 AS VARCHAR) AS project_id, printf('S%03d', row_number() OVER (PARTITION BY page_id % 4 ORDER BY '/m/' || CAST(page_id AS VARCHAR))) AS shot_id,
 'PROCESSED' AS state, '/m/' || CAST(page_id AS VARCHAR) AS source_path, page_id + 0.25::DOUBLE AS duration_sec, 0::BIGINT AS n_tags, false AS needs_review FROM a""")
 def processed_shots(spark, d):
     """One shot over each asset."""
