@@ -131,3 +131,14 @@ def test_nearest_person_equals_brute_force(spark, part, n):
             assert got[k] == (f"n{near[k].argmax()}", pytest.approx(best))
         else:
             assert got[k][0] == "unknown"
+
+
+def test_close_pairs_are_told_tile_by_tile(spark):
+    """Of 1200 equal hashes all 719,400 pairs are close; a batch holds those of one tile at most."""
+    import pyarrow as pa
+
+    n, kinds = 1200, [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
+    columns = [pa.array([7] * n, pa.int64()), pa.array([True] * n), pa.array(["p"] * n), pa.array(["b"] * n), pa.array(range(n), pa.int64()), pa.array([5] * n, pa.int64())]
+    rows = pa.RecordBatch.from_arrays(columns, ["place", "own", "project_id", "beat", "idx", "value"])
+    sizes = [b.num_rows for b in close_pairs._found(iter([rows]), close_pairs.Measure("bits", 3), kinds)]
+    assert sum(sizes) == n * (n - 1) // 2 and max(sizes) <= close_pairs._ROWS * close_pairs._COLUMNS and len(sizes) > 1
