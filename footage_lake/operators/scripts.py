@@ -144,35 +144,31 @@ def render_outline(beats: DataFrame) -> DataFrame:
 
 
 def parse_outline(scripts: DataFrame, action_marks: str = "，、", unquote: bool = True) -> DataFrame:
-    """Beats of outlines: ``## `` sets the act, ``### `` starts a beat, bullets up to the next ``#`` line fill it."""
-    lines = scripts.select("script_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw")).select("script_id", "line_no", F.trim("raw").alias("line"))
-    w = Window.partitionBy("script_id").orderBy("line_no")
-    is_act, is_beat = F.col("line").startswith("## "), F.col("line").startswith("### ")
-    rows = lines.withColumns(
-        {
-            "act": F.last(F.when(is_act, F.trim(F.substring("line", 4, 10_000))), True).over(w),
-            "beat_seq": F.sum(is_beat.cast("int")).over(w),
-            "head_no": F.max(F.when(F.col("line").startswith("#"), F.col("line_no"))).over(w),
-            "beat_no": F.max(F.when(is_beat, F.col("line_no"))).over(w),
-        }
-    ).where(F.col("beat_no").isNotNull() & (F.col("head_no") == F.col("beat_no")))
-    key = F.regexp_extract("line", r"^-\s*([^：:\s]+)[：:]\s*(.+)$", 1)
-    value = F.trim(F.regexp_extract("line", r"^-\s*([^：:\s]+)[：:]\s*(.+)$", 2))
-    pick = lambda *names: F.coalesce(*[F.max_by(F.when(key == n, value), F.when(key == n, F.col("line_no"))) for n in names], F.lit(""))
-    beat_id = F.max(F.when(is_beat, F.trim(F.substring("line", 5, 10_000))))
+    """Beats of outlines: ``## `` sets the act, ``### `` starts a beat, bullets up to the next ``#`` line fill it.
+
+    A text is cut at its acts and these at their heads, so a beat is a row as soon as there
+    are rows, and no lines are sorted or grouped.
+    """
+    trimmed = F.array_join(F.transform(F.split("text", "\n", -1), lambda r: F.trim(r)), "\n")
+    head = lambda s, at: F.trim(F.substring(F.substring_index(s, "\n", 1), at, 10_000))
+    # ?d: only \n ends a line
+    in_act = lambda s: F.transform(F.split(s, r"(?md)^(?=#)", -1), lambda b: F.struct(F.when(s.startswith("## "), head(s, 4)).otherwise("").alias("act"), b.alias("body")))
+    every = F.filter(F.flatten(F.transform(F.split(trimmed, r"(?md)^(?=## )", -1), in_act)), lambda b: b["body"].startswith("### "))
+    rows = scripts.select("script_id", F.posexplode(every).alias("pos", "b")).select("script_id", (F.col("pos") + 1).cast("bigint").alias("beat_seq"), "b.act", "b.body")
+    bullet = r"^-\s*([^：:\s]+)[：:]\s*(.+)$"
+    said_lines = F.filter(F.split("body", "\n", -1), lambda r: r.startswith("-"))
+    told = F.transform(said_lines, lambda r: F.struct(F.regexp_extract(r, bullet, 1).alias("key"), F.trim(F.regexp_extract(r, bullet, 2)).alias("value")))
+    rows = rows.select("script_id", "beat_seq", "act", head(F.col("body"), 5).alias("beat_id"), told.alias("told"))
+    # the last bullet of a name counts
+    last = lambda n: F.try_element_at(F.filter("told", lambda t: t["key"] == n), F.lit(-1))["value"]
+    pick = lambda *names: F.coalesce(*[last(n) for n in names], F.lit(""))
     said = pick("关键台词", "dialogue")
     if unquote:
         said = F.regexp_replace(said, '^"(.*)"$', "$1")
-    beats = rows.groupBy("script_id", "beat_seq").agg(
-        F.coalesce(F.max("act"), F.lit("")).alias("act"),
-        beat_id.alias("beat_id"),
-        pick("地点", "location").alias("location"),
-        pick("时间", "time").alias("time"),
-        pick("内容", "content").alias("content"),
-        pick("情绪", "emotion").alias("emotion"),
-        pick("关键动作").alias("actions"),
-        said.alias("key_dialogue"),
-    )
+    beats = rows.select(
+        "script_id", "beat_seq", "act", "beat_id", pick("地点", "location").alias("location"), pick("时间", "time").alias("time"), pick("内容", "content").alias("content"), pick("情绪", "emotion").alias("emotion"),
+        pick("关键动作").alias("actions"), said.alias("key_dialogue"),
+    )
     actions = F.filter(F.transform(F.split("actions", f"[{action_marks}]"), lambda a: F.trim(a)), lambda a: F.length(a) > 0)
     return beats.select(
         "script_id", "beat_seq", "act", F.substring_index("beat_id", "-", 1).alias("scene"), "beat_id", "location", "time", "content", "emotion",
