@@ -51,3 +51,15 @@ def test_copies_are_walked_without_their_pairs(spark, monkeypatch):
     monkeypatch.setattr(dedup, "hash_pairs", None)
     out = dedup.dedup_group(shots).groupBy("status").count().collect()
     assert {r["status"]: r["count"] for r in out} == {dedup.CANDIDATE: 1, dedup.DISCARDED: 29_999}
+
+
+@pytest.mark.parametrize("block, most", [(10**6, 10), (40, 10), (64, 20)])
+def test_unrelated_pairs_as_numbers(spark, monkeypatch, block, most):
+    """Told without a join of the pairs to their shots."""
+    rows = [("p", "b" if k % 5 else "c", k, f"{h:016x}") for k, h in enumerate(close_hashes(300, 6))] + [("p", "b", 900, None)]
+    shots = linked(takes(spark, rows, "phash string"))
+    of = lambda pairs: sorted(map(tuple, pairs.select("project_id", "beat", "i", "j", "distance").collect()))
+    want = of(dedup.hash_pairs(shots, most))
+    monkeypatch.setattr(dedup.takes_walk.pairs, "__defaults__", (True, block))
+    monkeypatch.setattr(dedup, "_told", None)
+    assert of(dedup.hash_pairs(shots, most, shots=False)) == want and len(want) > 20
