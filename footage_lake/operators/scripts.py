@@ -65,13 +65,18 @@ def chunked_lines(lines: DataFrame, most: int = CHUNK, span: int = SPAN) -> Data
     holds a text; only a chunk's own lines come together. Lines of one number are ordered by
     their text; a null line is empty.
     """
-    keys, order = ["script_id"], ["line_no", "line"]
+    keys = ["script_id"]
     rows = lines.select("script_id", "line_no", F.coalesce("line", F.lit("")).alias("line")).withColumn("n_chars", F.length("line").cast("bigint"))
+    alone = rows.groupBy("script_id", "line_no").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and rows.where("script_id IS NULL OR line_no IS NULL").isEmpty()
+    order = ["line_no"] if alone else ["line_no", "line"]
     far = {"_far": F.floor(F.col("line_no") / 10_000).cast("bigint")}
-    placed = sums_before(rows, keys, far, order, {"begins": F.col("n_chars")}).withColumn("ends", F.col("begins") + F.col("n_chars"))
+    placed = sums_before(rows.drop("line") if alone else rows, keys, far, order, {"begins": F.col("n_chars")}).withColumn("ends", F.col("begins") + F.col("n_chars"))
     walked = gated(placed, keys, "begins", "ends", most + 1, NEVER, "opens", span)
     opens = F.col("opens").cast("bigint")
     at = sums_before(walked, keys, far, ["begins", "ends", *order], {"chunk_no": opens}).withColumn("chunk_no", F.col("chunk_no") + opens - 1)
+    if alone:
+        at = at.drop("n_chars").join(rows.drop("n_chars"), ["script_id", "line_no"])
+        order = ["line_no", "line"]
     parts = at.groupBy("script_id", "chunk_no").agg(F.sort_array(F.collect_list(F.struct("begins", "ends", *order))).alias("rows"))
     return parts.select("script_id", "chunk_no", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("chunk"))
 

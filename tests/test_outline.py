@@ -40,3 +40,18 @@ def test_outlines(spark):
 def test_beats_are_parsed_where_their_text_is(spark):
     beats = scripts.parse_outline(spark.createDataFrame([(1, ODD[0])], "script_id int, text string"))
     assert "Exchange" not in beats._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_are_walked_by_lengths_alone(spark, monkeypatch):
+    """Lines of distinct numbers meet their chunks once; lines of one number go with their text, as before."""
+    lines = [(s, 3 * n, "x" * ((7 * n + s) % 40)) for s in range(3) for n in range(60)]
+    seen, gated = [], scripts.gated
+    monkeypatch.setattr(scripts, "gated", lambda rows, *a: seen.append(rows.columns) or gated(rows, *a))
+    kind = "script_id int, line_no int, line string"
+    of = lambda rows: {(r["script_id"], r["chunk_no"]): r["chunk"] for r in scripts.chunked_lines(spark.createDataFrame(rows, kind), 100).collect()}
+    got, more = of(lines), of([*lines, (9, 1, "b"), (9, 1, "a"), (9, 0, None)])
+    assert "line" not in seen[0] and "line" in seen[1] and {k: v for k, v in more.items() if k[0] != 9} == got and more[9, 0] == "\na\nb"
+    for s in range(3):
+        whole = "\n".join(x[2] for x in lines if x[0] == s)
+        want = spark.createDataFrame([(whole,)], "text string").select(scripts.chunks(scripts.F.col("text"), 100)).first()[0]
+        assert [got[s, k] for k in range(len(want))] == want
