@@ -56,10 +56,11 @@ def live_cut_peaks(spark, d):
     """T5, T6 over the frame scores as a stream that starts a day after the epoch (a watermark starts there); a last row far ahead lets the watermark pass all others."""
     day = 86_400_000_000
     folder = shared_folder(spark)
-    scores = b.frame_scores(spark, d)
-    last = scores.groupBy().agg(F.max("t_us").alias("t_us")).select(F.lit("").alias("project_id"), F.lit("").alias("asset_id"), (F.col("t_us") + 3_600_000_000).alias("t_us"), F.lit(0.0).alias("cut_score"))
-    rows = scores.unionByName(last).select(*cuts.KEYS, F.timestamp_micros(F.col("t_us") + day).alias("at"), "cut_score")
+    rows = b.frame_scores(spark, d).select(*cuts.KEYS, F.timestamp_micros(F.col("t_us") + day).alias("at"), "cut_score")
     rows.write.parquet(f"{folder}/scores")
+    newest = spark.read.schema(rows.schema).parquet(f"{folder}/scores").agg(F.max("at").alias("at")).where("at IS NOT NULL")
+    last = newest.select(F.lit("").alias("project_id"), F.lit("").alias("asset_id"), (F.col("at") + F.expr("INTERVAL 1 HOUR")).alias("at"), F.lit(0.0).alias("cut_score"))
+    last.write.mode("append").parquet(f"{folder}/scores")
     stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/scores")
     peaks = live_peaks(stream)
     run = peaks.writeStream.format("parquet").option("path", f"{folder}/peaks").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()

@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from footage_lake.operators import cuts
 from footage_lake.streaming.peaks import live_peaks
 from footage_lake.streaming.regions import live_regions
@@ -55,3 +57,24 @@ def test_live_peaks_equal_the_batch(spark, tmp_path):
     got = {(r["asset_id"], r["t_us"]): r["prominence"] for r in spark.table("peaks").collect()}
     assert spark.table("peaks").count() == len(got) and 0 < before < len(got)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_state_of_a_long_asset_is_many_rows(spark, tmp_path):
+    """Points of one asset, uneven and next to borders of slots, are held slot by slot and judged as the batch does."""
+    rng = random.Random(3)
+    times = sorted({rng.randint(0, 120_000_000) for _ in range(1500)} | {k * 1_000_000 + d for k in range(0, 120, 7) for d in (-1, 0, 1, 100_000, 500_000, 500_001) if k or d >= 0})
+    scores = spark.createDataFrame([("p", "a", t, rng.choice([0.1, 0.1, 0.2, rng.random()])) for t in times], "project_id string, asset_id string, t_us bigint, cut_score double")
+    batch = cuts.prominence(cuts.local_maxima(scores)).where("is_max AND prominence >= 0.25").collect()
+    want = {r["t_us"]: r["prominence"] for r in batch}
+    rows = scores.select("project_id", "asset_id", F.timestamp_micros("t_us").alias("at"), "cut_score")
+    end = spark.createDataFrame([("p", "end", dt.datetime(1970, 1, 2, tzinfo=dt.UTC), 0.0)], rows.schema)
+    rows.unionByName(end).write.parquet(str(tmp_path / "in"))
+    q = live_peaks(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("append").format("memory").queryName("long").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+        held = max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"])
+    finally:
+        q.stop()
+    got = {r["t_us"]: r["prominence"] for r in spark.table("long").collect()}
+    assert held >= 60
+    assert got.keys() == want.keys() and len(want) > 50 and all(abs(got[t] - want[t]) < 1e-9 for t in want)
