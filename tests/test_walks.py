@@ -146,3 +146,28 @@ def test_scanned_blocks_equal_one_walk(spark, run, wild):
             want[g, k] = total
             total, _ = step(total, v)
     assert got == want
+
+
+@pytest.mark.parametrize("low, high, few", [(400.0, 420.0, True), (400.0, 401.0, False), (20.0, 60.0, True), (1e6, 2e6, False), (400.0, 406.0, True)])
+def test_supplements_out_of_reach_are_not_walked(spark, monkeypatch, low, high, few):
+    """Shots of beats that the walk can't reach are left out before it; what is used is that of one plain walk over all."""
+    rng = random.Random(int(high))
+    lengths = [None, -3.0, 2.5, 4.25, 5.5, 30.0, 12.0]
+    beat = lambda n: None if n == 39 else f"第{n}场" if n % 2 else f"b{n}"
+    act = lambda n: ["第1幕", "第一幕", "第2幕"][n % 3]
+    rows = [(p, f"S{k:04d}", f"f{k}", "00:00:00:00", "00:00:05:00", rng.choice(lengths), act(rng.randint(0, 2)), beat(rng.randint(0, 39))) for p in ("p0", "p1") for k in range(1000)]
+    spare = spark.createDataFrame(rows, "project_id string, shot_id string, source_file string, tc_in string, tc_out string, duration_sec double, act string, beat string")
+    totals = spark.createDataFrame([("p0", 7.5, low, high), ("p1", 60.0, low, high)], "project_id string, total_sec double, target_min double, target_max double")
+    decisions = spark.createDataFrame([("p0", "S0003"), ("p1", "S0001")], "project_id string, shot_id string")
+    walked = []
+    monkeypatch.setattr(edit, "scanned", lambda rows, *more: walked.append(rows.count()) or ordered.scanned(rows, *more))
+    got = {(r["project_id"], r["shot_id"]) for r in edit._supplements(decisions, totals, spare).collect()}
+    want, total = set(), {"p0": 7.5, "p1": 60.0}
+    in_order = edit.narrative_order(spare.join(decisions, ["project_id", "shot_id"], "left_anti")).orderBy("project_id", "narrative_no").collect()
+    for r in in_order:
+        p, n = r["project_id"], r["duration_sec"]
+        if n is not None and total[p] < low and total[p] + n <= high:
+            total[p] += n
+            want.add((p, r["shot_id"]))
+    assert got == want and (want or low < 60)
+    assert (walked[0] < 1000) == few
