@@ -97,6 +97,22 @@ def _meet(spans: DataFrame, start: str, end: str, points: DataFrame, t: str, key
     return dealt.join(at, _same(keys, place) & test)
 
 
+def within(points: DataFrame, spans: DataFrame, keys: list[str], t: str, start: str, end: str, carried: list[str], slot: float = SLOT) -> DataFrame:
+    """Each point with each of ``spans`` (its columns ``carried``) in whose start..end its ``t`` lies, ends included.
+
+    Slots that hold points find their spans in the tree, then points look into their slot alone, so
+    no point is copied for the levels of the tree.
+    """
+    held = _renamed(spans, keys, {"_start": F.col(start), "_end": F.col(end)} | {f"_c_{c}": F.col(c) for c in carried}).where("_start <= _end")
+    placed = points.withColumn("_slot", slot_of(F.col(t), slot))
+    asked = placed.select(*keys, "_slot").where("_slot IS NOT NULL").distinct().select("*", F.inline(places_of(F.col("_slot"))).alias("_p_level", "_p_node"))
+    dealt = held.select("*", F.inline(homes_of(F.col("_start"), F.col("_end"), slot)).alias("_h_level", "_h_node"))
+    place = (F.col("_h_level") == F.col("_p_level")) & (F.col("_h_node") == F.col("_p_node"))
+    of_slot = asked.join(dealt, _same(keys, place)).select(*held.columns, F.col("_slot").alias("_at"))
+    inside = _same(keys, F.col("_slot") == F.col("_at")) & (F.col(t) >= F.col("_start")) & (F.col(t) <= F.col("_end"))
+    return placed.join(of_slot, inside).select(*points.columns, *[F.col(f"_c_{c}").alias(c) for c in carried])
+
+
 def containing(spans: DataFrame, inner: DataFrame, keys: list[str], start: Column, end: Column, inner_start: str, inner_end: str, slot: float = SLOT) -> DataFrame:
     """Each span with each of ``inner`` (columns _start, _end) that lies in start..end: they meet where the inner one starts. One that ends before it starts lies nowhere."""
     held = _renamed(inner, keys, {"_start": F.col(inner_start), "_end": F.col(inner_end)}).where("_start <= _end")

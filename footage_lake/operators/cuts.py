@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footage_lake.functions.ordered import SPAN, gated, numbered
-from footage_lake.functions.spans import containing, outside, overlapping
+from footage_lake.functions.spans import containing, outside, within
 from footage_lake.functions.staged import staged
 from footage_lake.functions.timecode import sec_to_tc, shot_id
 
@@ -144,7 +144,7 @@ def refine_long_spans(scores: DataFrame, cuts: DataFrame, regions: DataFrame, as
     ends = _ends(assets.join(cuts.select(*KEYS).distinct(), KEYS, "left_semi"))
     spans = _spans(cuts.unionByName(ends).distinct()).where(F.col("end_us") - F.col("start_us") > long)
     s = spans.select(*KEYS, F.col("start_us").alias("span"), (F.col("start_us") - MARGIN).alias("low"), (F.col("end_us") + MARGIN).alias("high"))
-    points = overlapping(scores.select(*KEYS, "t_us", "cut_score"), s, KEYS, "t_us", "t_us", "low", "high", ["span"])
+    points = within(scores.select(*KEYS, "t_us", "cut_score"), s, KEYS, "t_us", "low", "high", ["span"])
     peaks = prominence(local_maxima(points, WINDOW, "span"), WINDOW, CONTEXT, False, "span")
     peaks = outside_regions(peaks.where(F.col("is_max") & (F.col("prominence") >= least)), regions)
     free = outside(peaks, cuts, KEYS, "t_us", F.col("t_us") - MERGE, F.col("t_us") + MERGE)
@@ -153,6 +153,13 @@ def refine_long_spans(scores: DataFrame, cuts: DataFrame, regions: DataFrame, as
     return merge_candidates(every, MERGE, "zero").select(*KEYS, "t_us")
 
 
+def refined_cuts(scores: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cuts, activity regions) of the scores. Regions and hard cuts are staged, as the steps read them several times; so should be ``scores``."""
+    regions = staged(activity_regions(scores))
+    hard = staged(hard_cuts(scores, regions).select(*KEYS, "t_us"))
+    return refine_long_spans(scores, hard, regions, assets), regions
+
+
 def kept_times(times: Column, least: int = MIN_SHOT, tail: bool = True) -> Column:
     """Fold over sorted times: a time stays if it is ``least`` after the last that stayed; the last always does.
 
@@ -217,7 +224,8 @@ def shots_from_cuts(points: DataFrame, fps: float = 24.0) -> DataFrame:
 
 def attach_transitions(shots: DataFrame, regions: DataFrame, margin: int = MARGIN) -> DataFrame:
     """Array ``soft_transitions`` of the regions that lie in the shot, give or take ``margin``."""
-    met = containing(shots, regions, KEYS, F.col("start_us") - margin, F.col("end_us") + margin, "start_us", "end_us")
+    shots = staged(shots)
+    met = containing(shots.select(*KEYS, "shot_id", "start_us", "end_us"), regions, KEYS, F.col("start_us") - margin, F.col("end_us") + margin, "start_us", "end_us")
     found = met.groupBy("project_id", "shot_id").agg(
         F.sort_array(F.collect_list(F.struct(F.col("_start").alias("start_us"), F.col("_end").alias("end_us")))).alias("soft_transitions")
     )
@@ -233,11 +241,10 @@ def whole_asset_fallback(assets: DataFrame, scores: DataFrame) -> DataFrame:
 
 def detect_shots(scores: DataFrame, assets: DataFrame) -> DataFrame:
     """Shots with soft transitions for every asset that has a length."""
-    regions = activity_regions(scores)
-    cuts = hard_cuts(scores, regions).select(*KEYS, "t_us")
-    cuts = refine_long_spans(scores, cuts, regions, assets)
+    scores, assets = staged(scores.select(*KEYS, "t_us", "cut_score")), staged(assets)
+    cuts, regions = refined_cuts(scores, assets)
     # an asset without scores has no cut, so its times are those of whole_asset_fallback
-    return attach_transitions(shots_from_cuts(kept_cuts(cuts, assets)), regions)
+    return attach_transitions(shots_from_cuts(staged(kept_cuts(cuts, assets))), regions)
 
 
 def scene_peaks(scores: DataFrame, threshold: float = 0.1, window: int = MERGE) -> DataFrame:

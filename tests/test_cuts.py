@@ -96,3 +96,18 @@ def test_plans(spark):
     frames = spark.createDataFrame([("p", "a", 9)], "project_id string, asset_id string, n_frames bigint")
     assert [r["frame_idx"] for r in cuts.frame_index_plan(frames).collect()] == [0, 4, 8]
     assert spark.range(1).select(cuts.visual_quality(F.lit(350.0))).first()[0] == 3.5
+
+
+def test_scores_are_computed_once(spark):
+    """Many steps read the scores; what made them runs once for each row."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    scores = series(spark, {20: 0.45, 50: 0.45, 75: 0.3})
+    found, _ = spans(spark, scores.mapInArrow(count, scores.schema))
+    assert found == spans(spark, scores)[0] and len(found) > 1
+    assert seen.value == 100

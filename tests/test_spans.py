@@ -62,3 +62,16 @@ def test_state_rules_by_joins_equal_the_array(spark):
     many = spark.range(1_000_000).select(F.lit(3).alias("tier"), F.col("id").cast("int").alias("rule_seq"), F.lit("dir").alias("kind"), F.concat(F.lit("/d/"), F.col("id").cast("string")).alias("pattern"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("state"))
     asked = spark.createDataFrame([("/d/123456/x/y.mov",), ("/d/99/z.mov",), ("/d/9999999/z.mov",)], "path string")
     assert sorted(r["state"] for r in catalog.resolve_state(asked, many).collect()) == ["RAW", "s123456", "s99"]
+
+
+@pytest.mark.parametrize("slot", [7, 50, 10_000])
+def test_points_within_spans(spark, slot):
+    """Short, long, empty and backward spans, points on their ends and without a time, against all pairs."""
+    rng = random.Random(slot)
+    points = [(g, k, rng.choice([None, rng.randint(-500, 5000)])) for g in "ab" for k in range(200)]
+    held = [(g, n, s, s + rng.choice([-3, 0, 1, 6, 7, 60, 900, 4000])) for g in "abc" for n, s in enumerate(rng.randint(-600, 5000) for _ in range(40))]
+    held += [("a", 100 + n, t, t) for n, (g, _, t) in enumerate(points) if g == "a" and t is not None and n < 20]
+    a = spark.createDataFrame(points, "g string, k int, t bigint")
+    b = spark.createDataFrame(held, "g string, n int, s bigint, e bigint")
+    got = sorted(tuple(r) for r in spans.within(a, b, ["g"], "t", "s", "e", ["n"], slot).collect())
+    assert got == sorted((g, k, t, n) for g, k, t in points for h, n, s, e in held if g == h and t is not None and s <= t <= e)
